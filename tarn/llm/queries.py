@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sql
+from .mixing import mix_sources
 from .neardup import near_duplicates
+from .quality import clean_lines
+from .urlrules import filter_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +19,18 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
-QUERIES = {"op4_near_duplicates": op4_near_duplicates}
-ORACLE: dict[str, str] = {}
+def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return clean_lines(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_near_duplicates": op4_near_duplicates, "op6_line_quality": op6_line_quality, "op7_url_rules": op7_url_rules, "op9_mix_sources": op9_mix_sources}
+ORACLE = {"op6_line_quality": sql.OP6, "op7_url_rules": sql.OP7, "op9_mix_sources": sql.OP9}
