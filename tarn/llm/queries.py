@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sql
 from .mixing import mix_sources
 from .neardup import near_duplicates
+from .packing import pack
+from .pii import find_pii
 from .quality import clean_lines
 from .urlrules import filter_urls
 
@@ -15,6 +17,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
+def op2_pack_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -32,5 +42,12 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_near_duplicates": op4_near_duplicates, "op6_line_quality": op6_line_quality, "op7_url_rules": op7_url_rules, "op9_mix_sources": op9_mix_sources}
+QUERIES = {
+    "op1_find_pii": op1_find_pii,
+    "op2_pack_mixture": op2_pack_mixture,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op6_line_quality": op6_line_quality,
+    "op7_url_rules": op7_url_rules,
+    "op9_mix_sources": op9_mix_sources,
+}
 ORACLE = {"op6_line_quality": sql.OP6, "op7_url_rules": sql.OP7, "op9_mix_sources": sql.OP9}
