@@ -31,7 +31,8 @@ EOS = 1
 #: More sources than this share this many queues by hash, so that what every task holds is bounded.
 MOST_QUEUES = 1024
 CACHED_WORDS = 300_000
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+#: White space on which Python and the tokenizer may disagree, by code point; a text with any is encoded as a whole.
+_ODD_SPACE = re.compile("[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
 
 
 class Encoder:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
+from .langid import identify
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .packing import pack
 from .pii import find_pii
 from .quality import clean_lines
 from .urlrules import filter_urls
+from .warc import archive_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +27,10 @@ def op2_pack_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_salvage_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_table(spark, sf_dir, "pages"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -42,12 +48,18 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_find_pii": op1_find_pii,
     "op2_pack_mixture": op2_pack_mixture,
+    "op3_salvage_warc": op3_salvage_warc,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_line_quality": op6_line_quality,
     "op7_url_rules": op7_url_rules,
     "op9_mix_sources": op9_mix_sources,
+    "op10_language_id": op10_language_id,
 }
 ORACLE = {"op6_line_quality": sql.OP6, "op7_url_rules": sql.OP7, "op9_mix_sources": sql.OP9}
