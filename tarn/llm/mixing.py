@@ -65,15 +65,19 @@ def mix_sources(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     """
     size = F.coalesce(F.regexp_count(F.col(text_column).cast("string"), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
     clash = {"size", "source_size", "target", "taken", "position"}
-    rest = [c for c in df.columns if c not in clash] if keep_text else []
+    rest = [c for c in df.columns if c not in clash] if keep_text else ["doc_id"]
     key = F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")))
-    slim = df.select(*rest, *([] if keep_text else [F.col(id_column).alias("doc_id")]), F.col(source_column).alias("__source"), size.alias("size"), key.alias("__key"), F.col(id_column).alias("__id"))
-    rows = materialize(slim, "sizes")
-    n = rows.count()
+    own = {"__source": F.col(source_column), "size": size, "__key": key, "__id": F.col(id_column)}
+    rows = df.withColumns(own if keep_text else own | {"doc_id": F.col(id_column)}).select(*rest, *own)
+    slim = rows if not keep_text else rows.select(*own)
+    counted = materialize(slim, "sizes")
+    if not keep_text:
+        rows = counted
+    n = counted.count()
     buckets = max(1, n // max(BUCKET_ROWS, isqrt(n)))
     bucket = F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("long")
     rows = rows.withColumn("__bucket", bucket)
-    by_bucket = materialize(rows.groupBy("__source", "__bucket").agg(F.sum("size").alias("n")), "bucket-sizes")
+    by_bucket = materialize(counted.withColumn("__bucket", bucket).groupBy("__source", "__bucket").agg(F.sum("size").alias("n")), "bucket-sizes")
     sources = source_targets(by_bucket.groupBy(F.col("__source").alias("source")).agg(F.sum("n").alias("source_size")))
     ahead = by_bucket.withColumn("ahead", F.coalesce(F.sum("n").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     known = ahead.join(sources, F.col("__source").eqNullSafe(F.col("source"))).select(F.col("__source").alias("s"), F.col("__bucket").alias("b"), "ahead", "source_size", "target", "start", "end")
@@ -87,5 +91,6 @@ def mix_sources(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     before = F.col("__rounds") * F.col("__start") + F.least(F.col("__start"), F.col("__last"))
     placed = placed.withColumn("taken", taken.cast("long"))
     placed = placed.withColumn("position", F.when(F.col("taken") > 0, position(before.cast("double") / F.col("__goal"), F.col("start"), F.col("end"))))
-    out = placed.select(*(rest or ["doc_id"]), "size", "source_size", "target", "taken", "position")
-    return out.repartitionByRange(F.col("position").asc_nulls_last(), F.xxhash64(*( [id_column] if keep_text else ["doc_id"]))).sortWithinPartitions(F.col("position").asc_nulls_last())
+    out = placed.select(*rest, "size", "source_size", "target", "taken", "position", F.col("__key").alias("__tie"))
+    order = [F.col("position").asc_nulls_last(), F.col("__tie")]
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).drop("__tie")
