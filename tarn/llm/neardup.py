@@ -8,8 +8,8 @@ with probability equal to the Jaccard similarity, with concentration as for inde
 Documents of equal shingle sets are one class before anything is compared. Class representatives that share a
 band are candidates. Each round compares a bucket's members with one hub, so its cost is linear; members already
 linked drop out. What then remains in buckets of several components is compared in blocks: first by sketches
-(pairs ``margin`` standard errors below the threshold are dismissed), then on full sets. No pair inside one
-component is ever made, and no bucket is capped.
+(pairs ``MARGIN`` standard errors below the threshold are dismissed), then on full sets. No pair inside one
+component is compared, only links leave a block, and no bucket is capped.
 """
 
 from __future__ import annotations
@@ -96,6 +96,16 @@ def shingle_table(df: DataFrame, ids: DataFrame, k: int, id_column: str, text_co
     return texts.join(few, "doc_id", "left_semi").mapInArrow(rows, "doc_id long, items binary")
 
 
+def alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    both = np.concatenate([p, q])
+    both.sort(kind="stable")  # two sorted runs: a merge
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= percent * (len(p) + len(q) - common)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those (a, b) whose full sets have 100 * intersection >= percent * union."""
 
@@ -103,12 +113,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
-                    both = np.concatenate([p, q])
-                    both.sort(kind="stable")  # two sorted runs: a merge
-                    common = int(np.count_nonzero(both[1:] == both[:-1]))
-                    good[i] = 100 * common >= percent * (len(p) + len(q) - common)
+                good[i] = alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["a", "b"])
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
@@ -135,30 +140,46 @@ def _ordered(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def block_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket but different components, all but one of whose components meet the whole bucket in blocks; sketches dismiss the hopeless ones."""
+def block_links(entries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links between components of one bucket: members outside its largest component meet the whole bucket in blocks.
+
+    A pair is looked at only in the bucket of the first band that it shares. Sketches dismiss the hopeless pairs, full
+    sets decide the others, and what a block has linked is one component from then on, so that a block gives fewer
+    links than it has rows.
+    """
     by_component = entries.groupBy("key", "component").agg(F.count("*").alias("n"))
     per_key = by_component.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds")).filter("kinds > 1")
-    sized = entries.join(per_key.select("key", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"), F.col("top.component").alias("largest")), "key")
-    targets = sized.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False))
-    askers = sized.filter("component <> largest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+    per_key = per_key.select("key", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("total") - F.col("top.n")) / BLOCK).cast("int").alias("turns"), F.col("top.component").alias("largest"))
+    sized = entries.join(per_key, "key").withColumn("asks", F.col("component") != F.col("largest"))
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    targets = sized.withColumn("block", own("blocks")).withColumn("turn", every("turns")).withColumn("asker", F.lit(False))
+    askers = sized.filter("asks").withColumn("turn", own("turns")).withColumn("block", every("blocks")).withColumn("asker", F.lit(True))
+    columns = ["key", "band", "block", "turn", "doc_id", "component", "asks", "asker"]
     p = percent / 100
     least = (p - MARGIN * np.sqrt(p * (1 - p) / BINS)) * BINS
 
     def compare(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy(zero_copy_only=False)
-        ids, of = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
+        asker, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("asker", "asks"))
+        ids, of = table.column("doc_id").to_numpy(), table.column("component").to_numpy().copy()
+        band = table.column("band")[0].as_py()
         brief = np.frombuffer(b"".join(table.column("brief").to_pylist()), np.uint8).reshape(-1, BINS)
-        there, a, b = ~asks, [], []
-        for i in np.flatnonzero(asks):
-            fit = there & (of != of[i])
-            fit[fit] = np.count_nonzero(brief[fit] == brief[i], axis=1) >= least
-            a.append(np.minimum(ids[i], ids[fit]))
-            b.append(np.maximum(ids[i], ids[fit]))
-        return pa.table({"a": np.concatenate(a) if a else np.empty(0, np.int64), "b": np.concatenate(b) if b else np.empty(0, np.int64)})
-
-    columns = ["key", "block", "doc_id", "component", "brief", "asks"]
-    return targets.select(columns).unionByName(askers.select(columns)).groupBy("key", "block").applyInArrow(compare, "a long, b long").distinct()
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items")]
+        a, b = [], []
+        for i in np.flatnonzero(asker):
+            fit = np.flatnonzero(~asker & (of != of[i]) & (~asks | (ids > ids[i])))
+            fit = fit[np.count_nonzero(brief[fit] == brief[i], axis=1) >= least]
+            fit = fit[(bands[fit] == bands[i]).argmax(axis=1) == band]
+            for j in fit.tolist():
+                if of[i] != of[j] and alike(items[i], items[j], percent):
+                    a.append(ids[i])
+                    b.append(ids[j])
+                    of[of == of[j]] = of[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    rows = targets.select(columns).unionByName(askers.select(columns)).join(members, "doc_id")
+    return rows.groupBy("key", "block", "turn").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -174,8 +195,11 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_column: str
     classes = rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "bands", "brief")).alias("m"))
     reps = materialize(classes.select("digest", "m.doc_id", "m.bands", "m.brief"), "classes")
 
-    entries = reps.select("doc_id", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("key"), "doc_id")
-    shared = entries.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key")
+    entries = reps.select("doc_id", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("key"), "band", "doc_id")
+    sums = [F.sum(F.xxhash64("doc_id", F.lit(i)).cast("decimal(20,0)")).alias(f"sum{i}") for i in range(2)]
+    shared = entries.groupBy("key").agg(F.min("band").alias("band"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), *sums).filter("least < most")
+    # of buckets with the same members, that of the first band stays
+    shared = shared.groupBy("least", "most", "sum0", "sum1").agg(F.min(F.struct("band", "key")).alias("m")).select("m.key")
     entries = materialize(entries.join(shared, "key", "left_semi").withColumn("component", F.col("doc_id")), "buckets")
     links = None
     if not entries.isEmpty():
@@ -199,10 +223,9 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_column: str
                 continue
             joined = components(reduce(DataFrame.unionByName, found))
             entries = materialize(
-                open_.select("key", "doc_id").join(joined, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "buckets"
+                open_.select("key", "band", "doc_id").join(joined, F.col("doc_id") == F.col("node"), "left").select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("component")), "buckets"
             )
-        rest = block_pairs(entries.join(reps.select("doc_id", "brief"), "doc_id"), percent)
-        confirm(rest)
+        found.append(materialize(block_links(entries, reps.select("doc_id", "bands", "brief").join(sets, "doc_id"), percent), "links"))
         links = reduce(DataFrame.unionByName, found)
     of = reps.select("digest", F.col("doc_id").alias("rep"))
     if links is not None and not links.isEmpty():
