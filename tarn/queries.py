@@ -1,12 +1,632 @@
-"""Queries over lake tables, and the same results as SQL over the raw tables."""
+"""Queries over lake tables, and the same results as DuckDB SQL over the raw tables.
+
+Each query builds what it needs in a fresh lake under a temporary folder that lives as long as the process.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import atexit
+import shutil
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .api import Lake
+from .streaming.writer import batch_sink
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+_LAKES: dict[tuple, Lake] = {}
+
+
+def fresh(spark: SparkSession) -> Lake:
+    folder = tempfile.mkdtemp(prefix="tarn-lake-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return Lake(spark, f"{folder}/catalog.db")
+
+
+def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def loaded(spark: SparkSession, sf_dir: str) -> Lake:
+    """A lake that holds every table as it is; queries only read it."""
+    key = (id(spark), sf_dir)
+    if key not in _LAKES:
+        lake = _LAKES[key] = fresh(spark)
+        for t in "region nation customer supplier part orders lineitem events embeddings conversations".split():
+            lake.create_table_as(raw(spark, sf_dir, t), t)
+    return _LAKES[key]
+
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+Q1 = """SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS DOUBLE) AS sum_qty, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) AS sum_base, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS DOUBLE) AS sum_disc,
+round(avg(l_quantity), 6) AS avg_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus"""
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag", "l_linestatus").count()
+    lake = fresh(spark)
+    lake.create_table_as(raw(spark, sf_dir, "lineitem"), "lineitem")
+    lake.table("lineitem", where="l_shipdate <= TIMESTAMP_NTZ '1998-09-02 00:00:00'").createOrReplaceTempView("lineitem")
+    return spark.sql(Q1)
+
+
+def over(lake: Lake, sql: str, *tables: str) -> DataFrame:
+    """SQL over lake tables."""
+    for t in tables:
+        lake.table(t).createOrReplaceTempView(t)
+    return lake.spark.sql(sql)
+
+
+# --- scans and sinks
+
+
+@query("SELECT * FROM orders")
+def scan_roundtrip(spark, d):
+    return loaded(spark, d).table("orders")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000")
+def scan_projection_filter(spark, d):
+    return loaded(spark, d).table("orders", columns=["o_orderkey", "o_totalprice"], where="o_totalprice > 100000")
+
+
+@query("SELECT * FROM orders")
+def append_two_batches(spark, d):
+    lake, o = fresh(spark), raw(spark, d, "orders")
+    lake.write(o.filter("o_orderkey % 2 = 0"), "o")
+    lake.write(o.filter("o_orderkey % 2 = 1"), "o", "append")
+    return lake.table("o")
+
+
+@query("SELECT * FROM orders WHERE o_orderstatus = 'F'")
+def overwrite(spark, d):
+    lake, o = fresh(spark), raw(spark, d, "orders")
+    lake.write(o, "o")
+    lake.write(o.filter("o_orderstatus = 'F'"), "o", "overwrite")
+    return lake.table("o")
+
+
+@query("SELECT * FROM nation")
+def truncate_insert(spark, d):
+    lake, n = fresh(spark), raw(spark, d, "nation")
+    lake.write(n, "n")
+    lake.truncate("n")
+    lake.insert(n, "n")
+    return lake.table("n")
+
+
+@query("SELECT * FROM orders WHERE o_orderkey % 2 = 0")
+def time_travel_version(spark, d):
+    lake, o = fresh(spark), raw(spark, d, "orders")
+    v = lake.create_table_as(o.filter("o_orderkey % 2 = 0"), "o")
+    lake.insert(o.filter("o_orderkey % 2 = 1"), "o")
+    return lake.table("o", version=v)
+
+
+@query("SELECT * FROM orders WHERE o_orderkey % 2 = 0")
+def time_travel_timestamp(spark, d):
+    lake, o = fresh(spark), raw(spark, d, "orders")
+    v = lake.create_table_as(o.filter("o_orderkey % 2 = 0"), "o")
+    when = next(r["snapshot_time"] for r in lake.list_snapshots() if r["snapshot_id"] == v)
+    lake.insert(o.filter("o_orderkey % 2 = 1"), "o")
+    return lake.table("o", timestamp=when)
+
+
+@query("SELECT * FROM customer")
+def add_files(spark, d):
+    lake = fresh(spark)
+    lake.create_table("c", raw(spark, d, "customer").schema)
+    lake.add_files("c", [f"{d}/customer.parquet"])
+    return lake.table("c")
+
+
+@query("SELECT c_custkey AS id, c_name, c_acctbal, CAST(NULL AS VARCHAR) AS note FROM customer WHERE c_custkey > 10 AND c_custkey % 5 <> 0")
+def add_files_rename_delete(spark, d):
+    lake = fresh(spark)
+    lake.create_table("c", raw(spark, d, "customer").schema)
+    lake.add_files("c", [f"{d}/customer.parquet"])
+    lake.rename_column("c", "c_custkey", "id")
+    lake.drop_column("c", "c_nationkey")
+    lake.drop_column("c", "c_mktsegment")
+    lake.add_column("c", "note", "varchar")
+    lake.delete("c", "id <= 10")
+    lake.delete("c", "id % 5 = 0")
+    return lake.table("c")
+
+
+@query("SELECT vec_id, label, len(embedding) AS dims, round(CAST(embedding[1] AS DOUBLE), 5) AS first FROM embeddings")
+def nested_list_roundtrip(spark, d):
+    return loaded(spark, d).table("embeddings").select("vec_id", "label", F.size("embedding").cast("long").alias("dims"), F.round(F.col("embedding")[0].cast("double"), 5).alias("first"))
+
+
+@query("SELECT n_nationkey AS k FROM nation UNION ALL SELECT n_nationkey + 100 AS k FROM nation")
+def schema_namespaces(spark, d):
+    lake, n = fresh(spark), raw(spark, d, "nation")
+    lake.create_schema("other")
+    lake.write(n.select(F.col("n_nationkey").alias("k")), "t")
+    lake.write(n.select((F.col("n_nationkey") + 100).alias("k")), "t", schema="other")
+    return lake.table("t").union(lake.table("t", schema="other"))
+
+
+@query("SELECT * FROM (VALUES ('created_schema', 1), ('created_table', 1), ('inserted_into_table', 3), ('deleted_from_table', 2), ('altered_table', 1)) t(kind, n)")
+def snapshots_log(spark, d):
+    lake, n = fresh(spark), raw(spark, d, "nation")
+    lake.write(n, "n")
+    lake.delete("n", "n_nationkey = 1")
+    lake.update("n", {"n_name": "x"}, "n_nationkey = 2")
+    lake.add_column("n", "c", "int")
+    lake.insert(n.limit(1), "n")
+    made = lake.snapshot_changes().select(F.explode(F.split("changes_made", ",")).alias("c"))
+    return made.groupBy(F.regexp_extract("c", "^[a-z_]+", 0).alias("kind")).agg(F.count("*").cast("int").alias("n"))
+
+
+@query("SELECT 'orders' AS table_name, 1 AS file_count, count(*) AS live_row_count FROM orders")
+def table_info(spark, d):
+    lake = fresh(spark)
+    lake.create_table_as(raw(spark, d, "orders").coalesce(1), "orders")
+    return lake.table_info().select("table_name", F.col("file_count").cast("int"), "live_row_count")
+
+
+# --- delete, update, merge
+
+
+@query("SELECT * FROM orders WHERE NOT (o_totalprice > 150000 AND o_orderstatus = 'O')")
+def delete_pred(spark, d):
+    lake = fresh(spark)
+    lake.create_table_as(raw(spark, d, "orders"), "o")
+    lake.delete("o", "o_totalprice > 150000 AND o_orderstatus = 'O'")
+    return lake.table("o")
+
+
+@query("SELECT * FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 <> 0")
+def delete_repeat(spark, d):
+    lake = fresh(spark)
+    lake.create_table_as(raw(spark, d, "orders"), "o")
+    lake.delete("o", "o_orderkey % 3 = 0")
+    lake.delete("o", "o_orderkey % 3 = 0 OR o_orderkey % 2 = 0")
+    return lake.table("o")
+
+
+@query("SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders WHERE NOT coalesce(nullif(o_orderstatus, 'F') = 'O', false)")
+def delete_null_pred(spark, d):
+    lake = fresh(spark)
+    lake.create_table_as(raw(spark, d, "orders").selectExpr("o_orderkey", "nullif(o_orderstatus, 'F') AS s"), "o")
+    lake.delete("o", "s = 'O'")
+    return lake.table("o")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def update_literal(spark, d):
+    lake = fresh(spark)
+    lake.create_table_as(raw(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o")
+    lake.update("o", {"o_orderstatus": "Z"}, "o_orderkey % 10 = 0")
+    return lake.table("o")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 1 THEN o_custkey * 2 ELSE o_custkey END AS o_custkey FROM orders")
+def update_expr(spark, d):
+    lake = fresh(spark)
+    lake.create_table_as(raw(spark, d, "orders").select("o_orderkey", "o_custkey"), "o")
+    lake.update("o", {"o_custkey": F.col("o_custkey") * 2}, F.col("o_orderkey") % 7 == 1)
+    return lake.table("o")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'E' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 4 <> 0")
+def update_then_delete(spark, d):
+    lake = fresh(spark)
+    lake.create_table_as(raw(spark, d, "orders").selectExpr("o_orderkey", "o_orderstatus AS s"), "o")
+    lake.update("o", {"s": "E"}, "o_orderkey % 2 = 0")
+    lake.delete("o", "s = 'E' AND o_orderkey % 4 = 0")
+    return lake.table("o")
+
+
+def _half(spark, d) -> tuple[Lake, DataFrame]:
+    lake, o = fresh(spark), raw(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    lake.create_table_as(o.filter("o_orderkey % 3 <> 0"), "o")
+    return lake, o.filter("o_orderkey % 2 = 0").withColumn("o_orderstatus", F.lit("M"))
+
+
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN 'M' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0")
+def merge_upsert(spark, d):
+    lake, source = _half(spark, d)
+    lake.merge("o", source, "o_orderkey", when_matched_update=True)
+    return lake.table("o")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 <> 0")
+def merge_matched_delete(spark, d):
+    lake, source = _half(spark, d)
+    lake.merge("o", source, "o_orderkey", when_matched_delete=True, when_not_matched_insert=False)
+    return lake.table("o")
+
+
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'M' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0")
+def merge_insert_only(spark, d):
+    lake, source = _half(spark, d)
+    lake.merge("o", source, "o_orderkey")
+    return lake.table("o")
+
+
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'M' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 2 = 0")
+def merge_by_source_delete(spark, d):
+    lake, source = _half(spark, d)
+    lake.merge("o", source, "o_orderkey", when_not_matched_by_source_delete=True)
+    return lake.table("o")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey + 1 ELSE -1 END AS o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0")
+def merge_by_source_update(spark, d):
+    lake, source = _half(spark, d)
+    lake.merge("o", source, "o_orderkey", when_matched_update={"o_custkey": F.col("o_custkey") + 1}, when_not_matched_insert=False, when_not_matched_by_source_update={"o_custkey": -1})
+    return lake.table("o")
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'first' ELSE role END AS role FROM conversations")
+def merge_composite_key(spark, d):
+    lake, c = fresh(spark), raw(spark, d, "conversations").select("conv_id", "turn", "role")
+    lake.create_table_as(c, "c")
+    lake.merge("c", c.filter("turn = 0").withColumn("role", F.lit("first")), ["conv_id", "turn"], when_matched_update=True)
+    return lake.table("c")
+
+
+# --- schema evolution
+
+
+def _two(spark, d, change) -> Lake:
+    """Nations 0-12, a change of schema, nations 13-24 under the new one."""
+    lake, n = fresh(spark), raw(spark, d, "nation")
+    lake.create_table_as(n.filter("n_nationkey < 13"), "n")
+    change(lake, n.filter("n_nationkey >= 13"))
+    return lake
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, CASE WHEN n_nationkey >= 13 THEN '7' END AS extra FROM nation")
+def add_column(spark, d):
+    def change(lake, n):
+        lake.add_column("n", "extra", "varchar", default="1")
+        lake.insert(n.withColumn("extra", F.lit("7")), "n")
+
+    return _two(spark, d, change).table("n")
+
+
+@query("SELECT n_nationkey, n_regionkey FROM nation")
+def drop_column(spark, d):
+    def change(lake, n):
+        lake.drop_column("n", "n_name")
+        lake.insert(n.drop("n_name"), "n")
+
+    return _two(spark, d, change).table("n")
+
+
+@query("SELECT n_nationkey, n_name AS label, n_regionkey FROM nation WHERE n_name <> 'x'")
+def rename_column(spark, d):
+    def change(lake, n):
+        lake.rename_column("n", "n_name", "label")
+        lake.insert(n.withColumnRenamed("n_name", "label"), "n")
+
+    return _two(spark, d, change).table("n", where="label <> 'x'")
+
+
+@query("SELECT n_nationkey, n_regionkey, coalesce(CASE WHEN n_nationkey >= 13 THEN 5 END, -1) AS n_name FROM nation")
+def drop_readd(spark, d):
+    def change(lake, n):
+        lake.drop_column("n", "n_name")
+        lake.add_column("n", "n_name", "int")
+        lake.insert(n.withColumn("n_name", F.lit(5)), "n")
+
+    return _two(spark, d, change).table("n").withColumn("n_name", F.coalesce("n_name", F.lit(-1)))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
+def set_type(spark, d):
+    def change(lake, n):
+        lake.set_type("n", "n_nationkey", "bigint")
+        lake.set_type("n", "n_regionkey", "varchar")
+        lake.insert(n, "n")
+
+    return _two(spark, d, change).table("n")
+
+
+@query("SELECT n_nationkey AS k, n_name AS a, CASE WHEN n_nationkey >= 13 THEN n_regionkey ELSE -1 END AS c FROM nation")
+def struct_evolution(spark, d):
+    lake, n = fresh(spark), raw(spark, d, "nation")
+    lake.create_table_as(n.filter("n_nationkey < 13").selectExpr("n_nationkey AS k", "struct(n_name AS a, n_regionkey AS b) AS s"), "n")
+    lake.set_type("n", "s", "struct(a text, c int)")
+    lake.insert(n.filter("n_nationkey >= 13").selectExpr("n_nationkey AS k", "struct(n_name AS a, n_regionkey AS c) AS s"), "n")
+    return lake.table("n").select("k", "s.a", F.coalesce("s.c", F.lit(-1)).alias("c"))
+
+
+@query("SELECT n_nationkey, n_name AS label, n_regionkey FROM nation WHERE NOT starts_with(n_name, 'NATION_1')")
+def rename_then_delete(spark, d):
+    lake = fresh(spark)
+    lake.create_table_as(raw(spark, d, "nation"), "n")
+    lake.rename_column("n", "n_name", "label")
+    lake.delete("n", "startswith(label, 'NATION_1')")
+    return lake.table("n")
+
+
+# --- layout and pruning
+
+
+def _partitioned(spark, d, table: str, keys: list) -> Lake:
+    lake, rows = fresh(spark), raw(spark, d, table)
+    lake.create_table("t", rows.schema)
+    lake.set_partitioned_by("t", keys)
+    lake.insert(rows, "t")
+    return lake
+
+
+def _pruned(lake: Lake, where: str) -> DataFrame:
+    """The rows, and whether files were skipped."""
+    some, every = lake.files_scanned("t", where)
+    return lake.table("t", where=where).withColumn("skips", F.lit(some < every))
+
+
+@query("SELECT *, true AS skips FROM orders WHERE o_orderstatus = 'F'")
+def partition_identity(spark, d):
+    return _pruned(_partitioned(spark, d, "orders", ["o_orderstatus"]), "o_orderstatus = 'F'")
+
+
+@query("SELECT *, true AS skips FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01 00:00:00'")
+def partition_year(spark, d):
+    return _pruned(_partitioned(spark, d, "orders", [("o_orderdate", "year")]), "o_orderdate < '1996-01-01'")
+
+
+@query("SELECT *, true AS skips FROM orders WHERE o_orderdate >= TIMESTAMP '1997-03-01 00:00:00' AND o_orderdate < TIMESTAMP '1997-04-01 00:00:00'")
+def partition_month(spark, d):
+    return _pruned(_partitioned(spark, d, "orders", [("o_orderdate", "month")]), "o_orderdate >= '1997-03-01' AND o_orderdate < '1997-04-01'")
+
+
+@query("SELECT event_id, ts, value, true AS skips FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-06 00:00:00'")
+def partition_day(spark, d):
+    return _pruned(_partitioned(spark, d, "events", [("ts", "day")]), "ts >= '2024-01-05' AND ts < '2024-01-06'").select("event_id", "ts", "value", "skips")
+
+
+@query("SELECT event_id, ts, true AS skips FROM events WHERE ts >= TIMESTAMP '2024-01-05 06:00:00' AND ts < TIMESTAMP '2024-01-05 08:00:00'")
+def partition_hour(spark, d):
+    lake, rows = fresh(spark), raw(spark, d, "events").filter("ts >= '2024-01-05' AND ts < '2024-01-06'")
+    lake.create_table("t", rows.schema)
+    lake.set_partitioned_by("t", [("ts", "hour")])
+    lake.insert(rows, "t")
+    return _pruned(lake, "ts >= '2024-01-05 06:00:00' AND ts < '2024-01-05 08:00:00'").select("event_id", "ts", "skips")
+
+
+@query("SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1996-06-01 00:00:00'")
+def partition_evolution(spark, d):
+    lake, o = fresh(spark), raw(spark, d, "orders")
+    lake.create_table("t", o.schema)
+    lake.set_partitioned_by("t", ["o_orderstatus"])
+    lake.insert(o.filter("o_orderkey % 2 = 0"), "t")
+    lake.set_partitioned_by("t", [("o_orderdate", "year")])
+    lake.insert(o.filter("o_orderkey % 2 = 1"), "t")
+    return lake.table("t", where="o_orderdate >= '1996-06-01'")
+
+
+@query("SELECT *, true AS skips FROM orders WHERE o_orderkey = 77")
+def stats_pruning(spark, d):
+    lake, o = fresh(spark), raw(spark, d, "orders")
+    lake.create_table("t", o.schema)
+    lake.insert(o.repartitionByRange(4, "o_orderkey"), "t")
+    return _pruned(lake, "o_orderkey = 77")
+
+
+@query("SELECT * FROM orders WHERE o_custkey BETWEEN 10 AND 20")
+def sorted_write(spark, d):
+    lake, o = fresh(spark), raw(spark, d, "orders")
+    lake.create_table("t", o.schema)
+    lake.set_sorted_by("t", [("o_custkey", "DESC", "NULLS_FIRST")])
+    lake.insert(o, "t")
+    return lake.table("t", where="o_custkey BETWEEN 10 AND 20")
+
+
+# --- inlined rows and the change feed
+
+
+@query("SELECT * FROM nation")
+def inlined_read(spark, d):
+    lake, n = fresh(spark), raw(spark, d, "nation")
+    lake.create_table("n", n.schema)
+    lake.insert(n.filter("n_nationkey < 10"), "n", inline_limit=20)
+    lake.insert(n.filter("n_nationkey >= 10"), "n", inline_limit=20)
+    return lake.table("n")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_nationkey % 5 <> 0")
+def inlined_delete_update(spark, d):
+    lake, n = fresh(spark), raw(spark, d, "nation")
+    lake.create_table("n", n.schema)
+    lake.insert(n, "n", inline_limit=100)
+    lake.delete("n", "n_nationkey % 5 = 0")
+    lake.update("n", {"n_name": "even"}, "n_nationkey % 2 = 0")
+    return lake.table("n")
+
+
+@query("SELECT n_nationkey AS id, n_name, n_regionkey FROM nation")
+def inlined_rename(spark, d):
+    lake, n = fresh(spark), raw(spark, d, "nation")
+    lake.create_table("n", n.schema)
+    lake.insert(n, "n", inline_limit=100)
+    lake.rename_column("n", "n_nationkey", "id")
+    return lake.table("n")
+
+
+def _story(spark, d) -> tuple[Lake, int]:
+    lake, n = fresh(spark), raw(spark, d, "nation")
+    start = lake.create_table_as(n.filter("n_nationkey < 10"), "n")
+    lake.insert(n.filter("n_nationkey >= 10"), "n")
+    lake.delete("n", "n_nationkey IN (3, 12)")
+    lake.delete("n", "n_nationkey IN (3, 4, 13)")
+    lake.update("n", {"n_name": "u"}, "n_nationkey = 20")
+    return lake, start
+
+
+_CHANGES = """SELECT 1 AS s, 'insert' AS change_type, n_nationkey, n_name FROM nation WHERE n_nationkey >= 10
+UNION ALL SELECT 2, 'delete', n_nationkey, n_name FROM nation WHERE n_nationkey IN (3, 12) UNION ALL SELECT 3, 'delete', n_nationkey, n_name FROM nation WHERE n_nationkey IN (4, 13)
+UNION ALL SELECT 4, 'update_preimage', n_nationkey, n_name FROM nation WHERE n_nationkey = 20 UNION ALL SELECT 4, 'update_postimage', n_nationkey, 'u' FROM nation WHERE n_nationkey = 20"""
+
+
+def _numbered(df: DataFrame, start: int) -> DataFrame:
+    return df.withColumn("s", (F.col("snapshot_id") - start).cast("int"))
+
+
+@query("SELECT 1 AS s, n_nationkey FROM nation WHERE n_nationkey >= 10 UNION ALL SELECT 4, 20")
+def cdc_inserts(spark, d):
+    lake, start = _story(spark, d)
+    return _numbered(lake.insertions("n", start), start).select("s", "n_nationkey")
+
+
+@query("SELECT * FROM (VALUES (2, 3), (2, 12), (3, 4), (3, 13), (4, 20)) t(s, n_nationkey)")
+def cdc_deletes(spark, d):
+    lake, start = _story(spark, d)
+    return _numbered(lake.deletions("n", start), start).select("s", "n_nationkey")
+
+
+@query(_CHANGES)
+def cdc_updates(spark, d):
+    lake, start = _story(spark, d)
+    return _numbered(lake.changes("n", start), start).select("s", "change_type", "n_nationkey", "n_name")
+
+
+@query(_CHANGES)
+def cdc_after_compaction(spark, d):
+    lake, start = _story(spark, d)
+    lake.rewrite_data_files("n")
+    return _numbered(lake.changes("n", start), start).select("s", "change_type", "n_nationkey", "n_name")
+
+
+# --- maintenance
+
+
+@query("SELECT * FROM orders WHERE o_orderkey % 4 <> 0")
+def rewrite(spark, d):
+    lake, o = fresh(spark), raw(spark, d, "orders")
+    lake.create_table_as(o.filter("o_orderkey % 2 = 0"), "o")
+    lake.insert(o.filter("o_orderkey % 2 = 1"), "o")
+    lake.delete("o", "o_orderkey % 4 = 0")
+    lake.rewrite_data_files("o")
+    return lake.table("o")
+
+
+@query("SELECT 'now' AS at, o_orderkey FROM orders UNION ALL SELECT 'then', o_orderkey FROM orders WHERE o_orderkey % 2 = 0")
+def merge_adjacent_time_travel(spark, d):
+    lake, o = fresh(spark), raw(spark, d, "orders").select("o_orderkey")
+    v = lake.create_table_as(o.filter("o_orderkey % 2 = 0"), "o")
+    lake.insert(o.filter("o_orderkey % 2 = 1"), "o")
+    lake.merge_adjacent_files("o")
+    return lake.table("o").select(F.lit("now").alias("at"), "o_orderkey").union(lake.table("o", version=v).select(F.lit("then"), "o_orderkey"))
+
+
+@query("SELECT * FROM nation WHERE n_nationkey % 2 = 1")
+def expire_keep_last(spark, d):
+    lake, n = fresh(spark), raw(spark, d, "nation")
+    lake.write(n, "n")
+    lake.overwrite(n.filter("n_nationkey % 2 = 1"), "n")
+    lake.expire_snapshots(keep_last_n=1)
+    lake.cleanup_old_files(cleanup_all=True)
+    return lake.table("n")
+
+
+@query("SELECT * FROM nation")
+def vacuum(spark, d):
+    lake, n = fresh(spark), raw(spark, d, "nation")
+    lake.write(n, "n")
+    n.write.parquet(lake.catalog.data_path + "main/n/stray")
+    lake.vacuum()
+    return lake.table("n")
+
+
+# --- streams
+
+
+@query("SELECT event_id, user_id, value FROM events")
+def stream_writer(spark, d):
+    lake, e = fresh(spark), raw(spark, d, "events").select("event_id", "user_id", "value")
+    with lake.stream_writer("e", flush_threshold=3000) as w:
+        for i in range(5):
+            w.append(e.filter(F.col("event_id") % 5 == i))
+    return lake.table("e")
+
+
+@query("SELECT event_id, event_type FROM events")
+def foreach_batch_sink(spark, d):
+    lake = fresh(spark)
+    folder = tempfile.mkdtemp(prefix="tarn-stream-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    schema = raw(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select("event_id", "event_type")
+    commit = batch_sink(lake, "e", "load")
+
+    def twice(df, batch_id):  # a batch that is delivered again is committed once
+        commit(df, batch_id)
+        commit(df, batch_id)
+
+    q = stream.writeStream.foreachBatch(twice).option("checkpointLocation", folder).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return lake.table("e")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def tumbling_window(spark, d):
+    return loaded(spark, d).table("events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+@query("SELECT b AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS b FROM events) GROUP BY b")
+def sliding_window(spark, d):
+    return loaded(spark, d).table("events").groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k"""
+)
+def session_window(spark, d):
+    return loaded(spark, d).table("events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
+
+
+# --- host algebra over lake tables
+
+
+def _sql(name: str, sql: str, *tables: str, oracle: str | None = None) -> None:
+    QUERIES[name] = lambda spark, d: over(loaded(spark, d), sql, *tables)
+    ORACLE[name] = oracle or sql
+
+
+_sql("q1_pricing_summary", Q1, "lineitem")
+_sql("q3_shipping_priority", "SELECT l_orderkey, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS DOUBLE) AS revenue, o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderdate < TIMESTAMP '1997-03-15 00:00:00' AND l_shipdate > TIMESTAMP '1997-03-15 00:00:00' GROUP BY l_orderkey, o_orderdate", "customer", "orders", "lineitem")
+_sql("q5_local_supplier", "SELECT n_name, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS DOUBLE) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name", "customer", "orders", "lineitem", "supplier", "nation", "region")
+_sql("q6_forecast_revenue", "SELECT CAST(sum(CAST(l_extendedprice * l_discount AS DECIMAL(18,4))) AS DOUBLE) AS revenue FROM lineitem WHERE l_discount BETWEEN 0.02 AND 0.07 AND l_quantity < 24", "lineitem")
+_sql("semi_join", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 150000)", "customer", "orders")
+_sql("anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", "customer", "orders")
+_sql("rank_lag_windows", "SELECT o_custkey, o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r, coalesce(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), -1) AS prev FROM orders", "orders")
+_sql("cube_counts", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)", "orders")
+_sql("rollup_counts", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)", "lineitem")
+_sql("set_operations", "(SELECT s_nationkey AS k FROM supplier INTERSECT SELECT c_nationkey FROM customer) UNION ALL (SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier)", "supplier", "customer", "nation")
+_sql("top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25", "orders")
+_sql("count_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_returnflag", "lineitem")
+_sql("json_props", "SELECT event_type, sum(CAST(get_json_object(props, '$.k') AS BIGINT)) AS k FROM events GROUP BY event_type", "events", oracle="SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY event_type")
+_sql("distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem", "lineitem")
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY o_orderstatus")
+def stored_view(spark, d):
+    lake = fresh(spark)
+    lake.create_table_as(raw(spark, d, "orders"), "orders")
+    lake.create_view("big", "SELECT o_orderstatus, count(*) FROM orders WHERE o_totalprice > 1000 GROUP BY o_orderstatus", column_aliases=["status", "n"])
+    return lake.view("big")
+
+
+@query("SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders")
+def row_numbers(spark, d):
+    return loaded(spark, d).table("orders").select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long").alias("nth"))
