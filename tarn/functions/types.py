@@ -208,7 +208,14 @@ def pack_value(value, kind: str):
         return value // dt.timedelta(microseconds=1)
     if isinstance(value, (dt.date, dt.time, dt.datetime, Decimal)):
         return to_text(value)
-    return json.dumps(value, default=lambda v: v.asDict() if hasattr(v, "asDict") else to_text(v))
+    return json.dumps(_plain(value), default=to_text)
+
+
+def _plain(value):
+    """Rows as lists of their fields, for JSON."""
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    return [_plain(v) for v in value] if isinstance(value, (list, tuple)) else value
 
 
 def unpack_value(value, t: T.DataType):
@@ -232,7 +239,7 @@ def unpack_value(value, t: T.DataType):
         return dt.timedelta(microseconds=int(value))
     if isinstance(t, T.StructType):
         v = json.loads(value) if isinstance(value, str) else value
-        return tuple(unpack_value(v.get(f.name), f.dataType) for f in t.fields)
+        return tuple(unpack_value(x, f.dataType) for x, f in zip(v, t.fields, strict=False))
     if isinstance(t, T.ArrayType):
         return [unpack_value(x, t.elementType) for x in (json.loads(value) if isinstance(value, str) else value)]
     if isinstance(t, T.MapType):
