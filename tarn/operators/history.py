@@ -65,6 +65,8 @@ class History:
         for s, gone_files in sorted(ended.items()):
             frames += [p.withColumn("_row_snapshot", F.lit(s).cast("long")) for p in sc.files_frame(gone_files, sc.delete_files(s - 1), True, upto=end)]
         for k in sorted({r["end_snapshot"] for it in self.catalog.rows("SELECT table_name FROM {inlined_data_tables} WHERE table_id = ?", sc.t.id) for r in self.catalog.rows(f"SELECT DISTINCT end_snapshot FROM \"{it['table_name']}\" WHERE end_snapshot > ? AND end_snapshot <= ?", start, end)}):
+            if k in skip:
+                continue
             frames.append(sc.inlined("end_snapshot = ?", k, internal=True).withColumn("_row_snapshot", F.lit(k).cast("long")))
         return self._feed(sc.united(frames, True), sc)
 
