@@ -232,4 +232,4 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_column: str
         of = of.join(components(links), F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     else:
         of = of.withColumnRenamed("rep", "component")
-    return rows.select("doc_id", "n_shingles", "digest").join(of, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return rows.select("doc_id", "n_shingles", "digest").join(of, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

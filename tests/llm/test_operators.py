@@ -1,0 +1,293 @@
+"""Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import gzip
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tarn.llm import langid, mixing, neardup, packing, pii, quality, spotsigs, urlrules, warc
+from tarn.llm.chat import escape, format_conversations, read_back, unescape
+from tarn.llm.template import Template, TemplateError
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept int, taken int"
+
+
+def words(rng, n, size=40):
+    return " ".join(f"w{rng.randint(0, size)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rng = random.Random(3)
+    texts = [words(rng, rng.randint(0, 60)) for _ in range(60)]
+    texts += [None, "", " \n\t ", "a b", "A  B", "a\nb c d", words(rng, 30_000, 9000)]
+    base = words(rng, 60, 5000).split()
+    for _ in range(60):  # near copies of one text, some of them far from each other
+        edit = list(base)
+        for _ in range(rng.randint(0, 5)):
+            edit[rng.randrange(len(edit))] = f"e{rng.randint(0, 999)}"
+        texts.append(" ".join(edit))
+    rows = [(i * 3 + 1, t, rng.choice(["en", "de", None]), rng.choice(["a", "b", "c", None, ""]), len(t or ""), 0, 0) for i, t in enumerate(texts)]
+    rows += [rows[5], rows[5], (None, texts[0], "en", "a", 1, 0, 0)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def shingles(text, k):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+@pytest.mark.parametrize("k", [4, 5])
+def test_near_duplicates(docs, empty, k):
+    rows = docs.select("doc_id", "text").collect()
+    sets = [(i, shingles(t, k)) for i, t in rows]
+    up = {i: i for i, _ in rows if i is not None}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if i is not None and j is not None and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = sorted((root(i), root(j)))
+                up[y] = x
+    got = neardup.near_duplicates(docs, k).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r["doc_id"] is None:
+            assert r["component_id"] is None and r["kept"]
+        else:
+            assert r["component_id"] == root(r["doc_id"]) and r["kept"] == (root(r["doc_id"]) == r["doc_id"])
+    assert sorted(r["n_shingles"] for r in got) == sorted(len(s) for _, s in sets)
+    assert neardup.near_duplicates(empty, k).count() == 0
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(1)
+    a = np.unique(rng.integers(0, 1 << 62, 900).astype(np.uint64))
+    b = np.unique(np.concatenate([a[:800], rng.integers(0, 1 << 62, 100).astype(np.uint64)]))
+    one = np.array([7], np.uint64)
+    x, y, z = neardup.fast_sketches([a, b, one])
+    assert (x != np.iinfo(np.uint64).max).all() and (z != np.iinfo(np.uint64).max).all()
+    assert abs((x == y).mean() - 0.8) < 0.15
+
+
+def test_pii(spark, docs, empty):
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def holds(kind, s):
+        d = re.sub("[^0-9]", "", s)
+        return {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in s.split(".")), "card": 16 <= len(d) <= 19 and pii.luhn(d), "phone": 8 <= len(d) <= 15}[kind]
+
+    rng, a = random.Random(2), pii.automaton()
+    texts = ["".join(rng.choice("0123456789@.+-() ax%é") for _ in range(rng.randint(0, 70))) for _ in range(5000)]
+    texts += ["4111 1111 1111 1111", "x" * 50_000 + "a@b.co", "0" * 6000 + ".1.2.3", "a@b@c.de", "+1 (555) 010-9999."]
+    for t in texts:
+        want = [(k, m.start(), m.end()) for k, p in kinds.items() for m in re.finditer(p, t) if (k != "ip" or all(len(x.lstrip("0")) < 4 for x in m[0].split("."))) and holds(k, m[0] if k != "ip" else ".".join(x.lstrip("0") or "0" for x in m[0].split(".")))]
+        assert [s for s in pii.find(t, a) if s[0] in pii.BASE_KINDS] == want, t[:80]
+    more = 'see https://x.example/a?b=1. iban DE89 3704 0044 0532 0130 00 and token = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e"; ssn 123-45-6789, account no. 12345678'
+    assert [k for k, _, _ in pii.find(more, a) if k not in pii.BASE_KINDS] == ["url", "account", "account", "account", "secret"]
+    assert pii.redact("mail a@b.co now", pii.find("mail a@b.co now", a)) == "mail <EMAIL> now"
+    got = pii.find_pii(docs)
+    assert got.count() == docs.count() and got.filter("base_sha256 is null").count() == 0 and pii.find_pii(empty).count() == 0
+    clean = pii.redact_pii(docs)
+    assert clean.columns == docs.columns and clean.filter("text is null").count() == 1
+
+
+def test_packing(docs, empty):
+    encoder = packing.Encoder(packing.default_tokenizer())
+    for targets in (None, {"a": 1, "b": 3, None: 1}):
+        pieces = packing.pack(docs, targets=targets).collect()
+        of, lengths = defaultdict(list), defaultdict(list)
+        for p in pieces:
+            of[p["doc_id"]].append(p)
+            lengths[p["sequence_id"]].append((p["offset"], p["length"]))
+        want = defaultdict(list)
+        for i, t in docs.select("doc_id", "text").collect():
+            want[i].append([*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 1])
+        for i, every in want.items():
+            assert sum(p["length"] for p in of[i]) == sum(map(len, every))
+            if len(every) == 1:
+                at = 0
+                for p in sorted(of[i], key=lambda p: p["start"]):
+                    assert p["start"] == at and p["doc_tokens"] == len(every[0])
+                    assert p["ids_crc32"] == zlib.crc32(np.array(every[0][at : at + p["length"]], "<u4").tobytes())
+                    at += p["length"]
+        full = [sum(n for _, n in v) for v in lengths.values()]
+        assert sum(x < 2048 for x in full) <= 1 and max(full) <= 2048
+        for v in lengths.values():
+            at = 0
+            for o, n in sorted(v):
+                assert o == at
+                at += n
+    assert packing.pack(empty).count() == 0
+
+
+def test_schedule_is_the_round_robin():
+    totals, weights, q = [2600, 900, 130, 5000], [5, 2, 1, 9], 64
+    s = packing.Schedule(totals, weights, q)
+    due = sorted(((2 * k + 1) / (2 * w), i, k) for i, (t, w) in enumerate(zip(totals, weights)) for k in range(t // q))  # noqa: B905
+    got = s.ranks(np.array([i for _, i, _ in due]), np.array([k for _, _, k in due]))
+    assert got.tolist() == list(range(len(due)))
+    big = packing.Schedule([10**17, 10**16], [10**17, 10**16], 256).ranks(np.array([0, 1]), np.array([10**13, 10**12]))
+    assert abs(int(big[0]) - 11 * 10**12) < 10 and abs(int(big[1]) - 11 * 10**12) < 20
+
+
+def test_encoder_equals_the_tokenizer():
+    rng, e = random.Random(4), packing.Encoder(packing.default_tokenizer())
+    texts = ["it's <|endoftext|> Ünï_code ½ ¿qué? a.b,c..! 12ab İ ŉ don't_x I'M", "ΑΣ ας", "日本 語", "a\x1cb c\x85d", ""] + ["".join(rng.choice("abÉß'’.,_<|>0 9ñ½\n İ") for _ in range(30)) for _ in range(500)]
+    assert e.encode(texts) == [e.whole(t) for t in texts]
+
+
+def test_warc_round_trip_and_salvage(spark, tmp_path):
+    big = "é" * 600
+    pages = spark.createDataFrame([(1, "http://a/", big), (2, None, big), (3, "http://c/ x\r\ny", "small"), (4, "u", "small"), (5, "u", None), (9, "u", big), (9, "u", big), (None, "u", big), (6, "u", "x" * 300_000)], "page_id long, url string, html string")
+    got = {(r[0], r[3]): r for r in warc.archive_pages(pages, str(tmp_path / "w")).collect()}
+    sha = hashlib.sha1(big.encode()).hexdigest()
+    assert got[(1, "revisit")][1:] == (1200, sha, "revisit", 9) and got[(9, "response")][4] is None and got[(None, "revisit")][4] == 9
+    assert got[(5, "response")][1:3] == (0, hashlib.sha1(b"").hexdigest()) and got[(4, "response")][4] is None and len(got) == 8
+    assert warc.archive_pages(pages.limit(0), str(tmp_path / "e")).count() == 0
+    one = [("\r\n".join(["WARC/1.1", "WARC-Type: response", f"WARC-Record-ID: <urn:x-page:{i}>", f"WARC-Block-Digest: sha1:{hashlib.sha1(b).hexdigest()}", f"Content-Length: {len(b)}", "", ""])).encode() + b + b"\r\n\r\n" for i, b in enumerate([b"H\r\n\r\nzero", b"H\r\n\r\none" * 50, b"H\r\n\r\ntwo"])]
+    plain = one[0] + one[1].replace(b"one", b"0ne", 1) + b"junk" + one[2]
+    kinds = [(f.kind, f.start, f.end) for f in warc.salvage(plain)]
+    assert [k for k, _, _ in kinds] == ["response", "gap", "response"] and kinds[1][1:] == (len(one[0]), len(one[0] + one[1]) + 4)
+    packed = [gzip.compress(x) for x in one]
+    broken = bytearray(packed[1])
+    broken[len(broken) // 2] ^= 0xFF
+    found = list(warc.salvage(packed[0] + bytes(broken) + packed[2]))
+    assert [f.headers.get("warc-record-id", "")[-2:-1] for f in found if f.kind == "response"] == ["0", "2"]
+    assert any(f.kind == "gap" and f.start == len(packed[0]) for f in found)
+    assert [f.kind for f in warc.salvage(packed[0] + packed[2][:-9])][0] == "response"
+
+
+def test_templates_and_chat(spark):
+    t = Template("{# c #}{% set x = 1 + 2 * 3 %}{{ x }}{% for m in messages -%}  {{ loop.index }}{% if not loop.last %},{% elif m.a %}!{% endif %}{% generation %}{{ m.a | upper }}{% endgeneration %}{% endfor %}{{ 'a' if 2 in (messages) else 'b' }}")
+    assert t.render(messages=[{"a": "q"}, {"a": "r"}]) == ("71,Q2!Rb", [(3, 4), (6, 7)])
+    assert Template("{{ 'a' ~ 1 }}{{ messages.__class__ is }}" if False else "{{ 'a' ~ 1 }}b").render()[0] == "a1b"
+    assert len(Template("{{ 'a' ~ 1 }}b").pieces().__class__.__name__) and [p for p, _ in Template("{{ 'a' ~ 1 }}b").pieces()] == ["a1b"]
+    for bad in ("{{ x.__class__ }}", "{{ f(x) }}", "{% for %}", "{% if x %}", "{{ x | nope }}", "{% endfor %}", "{{ 'a }}"):
+        with pytest.raises(TemplateError):
+            Template(bad)
+    assert Template("{{ x.real }}").render(x=3)[0] == ""
+    rng = random.Random(6)
+    for _ in range(300):
+        s = "".join(rng.choice(["\\", "<|im_end|>", "</s>", "[INST]", "<s>", "n", "\n", "<", "é", "[/INST]"]) for _ in range(12))
+        assert unescape(escape(s)) == s and "<|im_end|>" not in escape(s) and "</s>" not in escape(s)
+    talk = [(1, 1, "assistant", "b\\n<|im_end|>\n"), (1, 0, "user", None), (1, 0, None, "x"), (2, 0, "assistant", ""), (None, 3, "a\nb", "é"), (3, 5, "assistant", "z" * 2_500_000), (3, 6, "assistant", "y"), (3, 6, "assistant", "y")]
+    df = spark.createDataFrame([(*r, 0) for r in talk], "conv_id long, turn long, role string, text string, part int")
+    got = {r["conv_id"]: r for r in read_back(format_conversations(df)).collect()}
+    assert len(got) == 4
+    for c, r in got.items():
+        turns = sorted(((t, role or "", x or "") for k, t, role, x in talk if k == c))
+        said = "".join(x for _, role, x in turns if role == "assistant")
+        assert r["n_turns"] == len(turns) and r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in turns).encode()).hexdigest()
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+    assert read_back(format_conversations(df.limit(0))).count() == 0
+
+
+def test_quality(spark, docs, empty):
+    rng = random.Random(8)
+    rows = [(i, "\n".join(words(rng, rng.randint(0, 12), 4) + rng.choice([".", "", " | a | b"]) for _ in range(rng.randint(0, 8)))) for i in range(80)]
+    rows += [(100, None), (101, ""), (102, "a b c d e f g h " * 400), (103, "x\nx\n\n \n x\nx")]
+    got = {r["doc_id"]: r for r in quality.clean_lines(spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("old"))).collect()}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        windows = defaultdict(list)
+        for k in range(len(w) - 7):
+            windows[tuple(w[k : k + 8])].append(k)
+        covered = {x for v in windows.values() if len(v) > 1 for k in v for x in range(k, k + 8)}
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_repeat_words"], r["n_dup_lines"]) == (len(w), sum(map(len, w)), len(covered), len(lines) - len(set(lines)))
+        assert r["n_symbols"] == sum(c in "#*$%&|<>" for c in t or "") and r["base_failed"] == (len(w) < 20 or 100 * len(covered) > 30 * len(w))
+    assert quality.clean_lines(docs).count() == docs.count() and quality.clean_lines(empty).count() == 0
+
+
+def test_url_rules(spark):
+    urls = ["https://a.example.com/en/7x", "http://EXAMPLE.com/en/8", "https://com/en/", "https://x.net/de/1", "https://x.example.net/de/8", "ftp://a.org/es/", "https://notcom/en/", None, "no scheme", "https://cheap-pills.shop/?a=/en/", "http://a.org", "://", "https://x.org/ES/"]
+    df = spark.createDataFrame([(i, u, "old") for i, u in enumerate([*urls, *urls])], "page_id long, url string, host string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlrules.filter_urls(df).collect()}
+    want = [("example.com/en/7", "allow"), ("com/en/", "block"), ("com/en/", "block"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "block"), (None, "allow"), (None, "allow"), (None, "allow")]
+    assert [got[i] for i in range(26)] == want * 2
+    assert urlrules.filter_urls(df.limit(0)).count() == 0
+    assert urlrules.literal_tokens(r"\bab-cd\b.*ef") == ["ab", "cd"] and urlrules.literal_tokens("a|b") == []
+
+
+def test_mixing(docs, empty):
+    rows = mixing.mix_sources(docs).collect()
+    assert len(rows) == docs.count() and mixing.mix_sources(empty).count() == 0
+    whole = mixing.mix_sources(docs, keep_text=True)
+    assert set(docs.columns) - {"taken"} <= set(whole.columns) and sorted(map(str, whole.select("doc_id", "taken").collect())) == sorted(str(r.__class__(**{"doc_id": r["doc_id"], "taken": r["taken"]})) for r in rows)
+    by = defaultdict(list)
+    for r in rows:
+        by[(r["source_size"], r["target"])].append(r)
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    for (size, target), rs in by.items():
+        assert sum(r["size"] for r in rs) == size and abs(sum(r["taken"] for r in rs) - target) <= 1
+    order = [r["position"] for r in rows if r["position"] is not None]
+    assert order == sorted(order) and all(0 <= p <= 1 for p in order)
+
+
+def test_spotsigs(docs, empty):
+    texts = sorted(((i is not None, i or 0, t or "") for i, t in docs.select("doc_id", "text").collect()))
+    got = spotsigs.fingerprints(docs, parts=7).collect()
+    want = []
+    for k, (_, i, t) in enumerate(texts):
+        e = spotsigs.edited(t, texts[(k + 1) % len(texts)][2])
+        a, b, c = spotsigs.signatures([t, e, texts[(k + 1) % len(texts)][2]])
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), spotsigs.encode(a), spotsigs.likeness(a, b), spotsigs.likeness(a, c)))
+    assert sorted((r["doc_id"] or 0, r["n_chars"], r["edited_sha256"], r["fingerprint"], r["near_edited"], r["near_next"]) for r in got) == sorted(want)
+    assert spotsigs.fingerprints(empty).count() == 0
+    prints = {r["doc_id"]: r["fingerprint"] for r in got if r["doc_id"] is not None}
+    first = {}
+    for i in sorted(prints):
+        first.setdefault(prints[i], i)
+    sets = {i: spotsigs.decode(p) for p, i in first.items() if p}
+    pairs = {(i, j) for i in sets for j in sets if i < j and spotsigs.likeness(sets[i], sets[j]) >= 0.8}
+    df = docs.sparkSession.createDataFrame(list(prints.items()), "doc_id long, fingerprint string")
+    assert {(r["a"], r["b"]) for r in spotsigs.matches(df, 0.8).collect()} == pairs
+
+
+def test_language_code_lengths_and_accuracy(spark, empty):
+    rng = random.Random(9)
+    parts = {"xx": ["ka", "lo", "mi", "tu"], "yy": ["sch", "ung", "er", "en"]}
+    rows = [(i, " ".join("".join(rng.choice(parts[g]) for _ in range(3)) for _ in range(30)), g) for i, g in enumerate(["xx", "yy"] * 60)]
+    rows += [(500, None, "xx"), (501, "12 34", "yy"), (502, "schung", None), (503, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.identify(df).collect()}
+    for i, t, g in rows:
+        assert got[i]["lang_pred"] == ("und" if not t or not re.search("[a-z]", t) else g or "yy")
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= got[i]["score"] <= 1
+    model = langid.learn(df)
+    assert langid.identify(empty).count() == 0
+    counts = [dict(zip(codes.tolist(), rows_.tolist())) for codes, rows_ in model.grams]  # noqa: B905
+
+    def cost(context, byte, lang, k=3):
+        w, c = model.width, 0
+        if k < 0:
+            return 8.0
+        for x in context[3 - k :] if k else ():
+            c = c * w + x
+        seen = [v[lang] for g, v in counts[k].items() if g // w == c and v[lang]]
+        if not seen:
+            return cost(context, byte, lang, k - 1)
+        n = counts[k].get(c * w + byte, [0] * 9)[lang]
+        return -np.log2(n / (sum(seen) + len(seen))) if n else -np.log2(len(seen) / (sum(seen) + len(seen))) + cost(context, byte, lang, k - 1)
+
+    for text in ("kalo schung", "zz9!é", "a"):
+        x = [int(model.classes[b]) for b in (b"\n\n\n" + text.encode()).translate(langid._FOLD)]
+        want = [sum(cost(x[i - 3 : i], x[i], lang) for i in range(3, len(x))) for lang in range(2)]
+        assert np.allclose(langid.code_lengths(model, [b"ka", text.encode(), b""])[1], want, atol=1e-3)
