@@ -30,38 +30,77 @@ QUANTUM = 256
 EOS = 1
 #: More sources than this share this many queues by hash, so that what every task holds is bounded.
 MOST_QUEUES = 1024
-CACHED_WORDS = 300_000
+#: Words, and units of words, whose ids a worker keeps (some 350 MB).
+CACHED_WORDS, CACHED_UNITS = 500_000, 1_200_000
 #: White space on which Python and the tokenizer may disagree, by code point; a text with any is encoded as a whole.
 _ODD_SPACE = re.compile("[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
 
 
+#: Words whose lower case, normal form and parts Python and the tokenizer agree on: ASCII but the apostrophe, and Latin letters.
+_PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
+_UNITS = re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+
+
 class Encoder:
-    """Token ids as bytes. Texts part at white space, where this kind of tokenizer never joins, so that a word is encoded once."""
+    """Token ids as bytes. Texts part at white space, where this kind of tokenizer never joins, and plain words part further
+    into runs of letters, digits and signs, as its own first step does; so most parts are encoded once. ``units`` must be
+    off for tokenizers that do not lower-case and part words this way."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, units: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.by_units = units
         self.words: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _learn_units(self, new: list[str]) -> None:
+        """Encode the units joined by spaces, a few thousand at once."""
+        for i in range(0, len(new), 4000):
+            part = new[i : i + 4000]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, of = np.array(e.ids, self.dtype), np.array(e.word_ids)
+            cuts = np.flatnonzero(of[1:] != of[:-1]) + 1
+            if len(cuts) + 1 != len(part):
+                self.units.update((u, self.whole(u)) for u in part)
+                continue
+            raw, width = ids.tobytes(), self.dtype.itemsize
+            at = [0, *(cuts * width).tolist(), len(raw)]
+            self.units.update(zip(part, (raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         parted = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
-        new = list({w for p in parted if p for w in p} - self.words.keys())
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, self.dtype).tobytes()
+        if len(self.units) > CACHED_UNITS:
+            self.units.clear()
+        new = set().union(*(p for p in parted if p)) - self.words.keys()
+        plain = {w: _UNITS.findall(w.lower()) for w in new if self.by_units and _PLAIN.fullmatch(w) and "<|" not in w}
+        self._learn_units(list({u for us in plain.values() for u in us} - self.units.keys()))
+        unit = self.units.__getitem__
+        self.words.update((w, unit(us[0]) if len(us) == 1 else b"".join(map(unit, us))) for w, us in plain.items())
+        odd = list(new - plain.keys())
+        for w, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
+            self.words[w] = np.array(e.ids, self.dtype).tobytes()
         get = self.words.__getitem__
         return [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parted, strict=True)]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker, with what it has cached."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -72,12 +111,12 @@ def token_rows(df: DataFrame, tokenizer: str, id_column: str, text_column: str,
     """(part, doc_id, queue, ahead, n, ids): ``ahead`` counts the queue's tokens before, in the same task."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
-        end = np.array([EOS], encoder.dtype).tobytes()
+        own, part = encoder(tokenizer), TaskContext.get().partitionId()
+        end = np.array([EOS], own.dtype).tobytes()
         ahead: dict[str, int] = {}
         for batch in slices(batches):
-            ids = [x + end for x in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
-            n = [len(x) // encoder.dtype.itemsize for x in ids]
+            ids = [x + end for x in own.encode([t or "" for t in batch.column(1).to_pylist()])]
+            n = [len(x) // own.dtype.itemsize for x in ids]
             before = []
             for q, x in zip(batch.column(2).to_pylist(), n, strict=True):
                 before.append(ahead.get(q, 0))
