@@ -29,6 +29,8 @@ ANCHORS = (
     "al como con del el esta fue ha la las lo los más no para pero por su sus una y"
 ).split()
 CHAIN = 2
+#: Ranges of ids to a task, which even out what hashing deals to each.
+RANGES = 8
 _GAP = np.ones(256, bool)
 _GAP[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
@@ -123,8 +125,8 @@ def fingerprints(df: DataFrame, parts: int | None = None, id_column: str = "doc_
     empty table gives an empty result. Texts cross the network once.
     """
     spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = in_order(df, parts, id_column, text_column)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = in_order(df, parts or RANGES * tasks, id_column, text_column)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -175,7 +177,7 @@ def fingerprints(df: DataFrame, parts: int | None = None, id_column: str = "doc_
         if some:
             yield done(some)
 
-    ordered = dealt.repartition(parts, "part").sortWithinPartitions("part", "lead", "key", "text")
+    ordered = dealt.repartition(tasks, "part").sortWithinPartitions("part", "lead", "key", "text")
     return ordered.select("part", "lead", "doc_id", "text").mapInArrow(rows, schema)
 
 
