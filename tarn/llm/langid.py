@@ -9,13 +9,13 @@ text's exact code length under every language is a sum of lookups. The shortest
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -33,7 +33,7 @@ MOST_CONTEXTS = 40_000
 MOST_LANGUAGES = 64
 UNDETERMINED = "und"
 _FOLD = bytes(range(256)).lower().translate(bytes.maketrans(b"123456789\t\r\x0b\x0c ", b"000000000\n\n\n\n\n"))
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass

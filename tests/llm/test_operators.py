@@ -265,7 +265,7 @@ def test_language_code_lengths_and_accuracy(spark, empty):
     rng = random.Random(9)
     parts = {"xx": ["ka", "lo", "mi", "tu"], "yy": ["sch", "ung", "er", "en"]}
     rows = [(i, " ".join("".join(rng.choice(parts[g]) for _ in range(3)) for _ in range(30)), g) for i, g in enumerate(["xx", "yy"] * 60)]
-    rows += [(500, None, "xx"), (501, "12 34", "yy"), (502, "schung", None), (503, "", None)]
+    rows += [(500, None, "xx"), (501, "12 34", "yy"), (502, "schung", None), (503, "", None), (504, "\u00b2\u00bd \u2167 7", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r["doc_id"]: r for r in langid.identify(df).collect()}
     for i, t, g in rows:
