@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import map_batches
 from .template import Template
 
 CONTROL = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -97,7 +98,7 @@ def format_conversations(df: DataFrame, template: str = TEMPLATE, id_column: str
     order = ["conv_id", "turn", "role", "text"]
     slim = df.select(F.col(id_column).cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return slim.repartition(parts, "conv_id").sortWithinPartitions(*order).mapInArrow(rows, "conv_id long, part int, text string, spans array<long>")
+    return map_batches(slim.repartition(parts, "conv_id").sortWithinPartitions(*order), rows, "conv_id long, part int, text string, spans array<long>")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -131,7 +132,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if out:
             yield _batch(out)
 
-    return formatted.select("conv_id", "part", "text", "spans").mapInArrow(rows, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_batches(formatted.select("conv_id", "part", "text", "spans"), rows, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

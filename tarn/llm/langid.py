@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .storage import materialize
+from .storage import map_batches, materialize
 from .textops import raw_texts, slices
 
 ORDER = 3
@@ -47,6 +47,8 @@ class Model:
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
+#: Contexts whose costs are computed at once.
+_AT_ONCE = 2048
 _COMPILED: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -57,17 +59,21 @@ def compiled(model: Model) -> tuple[np.ndarray, np.ndarray]:
     w, n = model.width, len(model.languages)
     index = np.zeros(1, np.int32)
     rows = [np.full((1, w, n), 8.0)]  # what a shorter context than none costs
-    level, total = rows[0], 0
+    total = 0
     for k, (codes, counts) in enumerate(model.grams):
         contexts, at = np.unique(codes // w, return_inverse=True)
-        table = np.zeros((len(contexts), w, n))
-        table[at, codes % w] = counts
         below = index[contexts % max(1, w ** max(0, k - 1))] if k else np.zeros(1, np.int32)
-        fallback = np.concatenate(rows)[below] if k else level
-        seen, kinds = table.sum(axis=1, keepdims=True), (table > 0).sum(axis=1, keepdims=True)
-        known = seen > 0
-        base = np.where(known, seen + kinds, 1)
-        costs = np.where(table > 0, -np.log2(np.where(table > 0, table, 1) / base), np.where(known, -np.log2(np.where(known, kinds, 1) / base), 0) + fallback)
+        shorter = np.concatenate(rows)
+        costs = np.empty((len(contexts), w, n), np.float32 if k == ORDER else np.float64)  # nothing falls back on the deepest level
+        for a in range(0, len(contexts), _AT_ONCE):
+            b = min(a + _AT_ONCE, len(contexts))
+            some = slice(*np.searchsorted(at, [a, b]))
+            table = np.zeros((b - a, w, n))
+            table[at[some] - a, codes[some] % w] = counts[some]
+            seen, kinds = table.sum(axis=1, keepdims=True), (table > 0).sum(axis=1, keepdims=True)
+            known = seen > 0
+            base = np.where(known, seen + kinds, 1)
+            costs[a:b] = np.where(table > 0, -np.log2(np.where(table > 0, table, 1) / base), np.where(known, -np.log2(np.where(known, kinds, 1) / base), 0) + shorter[below[a:b]])
         if k == 0:
             rows, index = [costs], np.zeros(1, np.int32)
             total = 1
@@ -77,7 +83,7 @@ def compiled(model: Model) -> tuple[np.ndarray, np.ndarray]:
             rows.append(costs)
             total += len(contexts)
             index = deeper.astype(np.int32)
-    table = np.concatenate(rows).astype(np.float32).reshape(-1, n)
+    table = np.concatenate([r.astype(np.float32, copy=False) for r in rows]).reshape(-1, n)
     _COMPILED.clear()
     _COMPILED[model.name] = index, table
     return index, table
@@ -130,7 +136,7 @@ def learn(df: DataFrame, language_column: str = "lang", text_column: str = "text
                 code, counts = np.unique(((data[:-3] * 256 + data[1:-2]) * 256 + data[2:-1]) * 256 + data[3:], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(counts.astype(np.int64))], ["lang", "code", "n"])
 
-    counted = materialize(picked.mapInArrow(grams, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "grams")
+    counted = materialize(map_batches(picked, grams, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "grams")
     byte = counted.groupBy((F.col("code") % 256).alias("byte")).agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "byte").limit(MOST_BYTES).collect()
     kept = sorted({r["byte"] for r in byte} | {10})
     classes = np.zeros(256, np.int64)
@@ -180,7 +186,7 @@ def predict(df: DataFrame, model: Model, text_column: str = "text") -> DataFrame
                 score[lettered] = 1 / np.exp2(-np.minimum(bits - bits.min(axis=1, keepdims=True), 1000)).sum(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(pred), pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
-    return df.mapInArrow(rows, schema)
+    return map_batches(df, rows, schema)
 
 
 def held_out(id_column: Column) -> Column:

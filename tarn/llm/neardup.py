@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import map_batches, materialize
 from .textops import mix, raw_texts, shingle_sets, slices
 
 BANDS, ROWS = 32, 4
@@ -79,9 +79,8 @@ def sketch_rows(df: DataFrame, k: int, id_column: str, text_column: str) -> Data
                 ["doc_id", "n_shingles", "digest", "bands", "brief"],
             )
 
-    return df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(
-        rows, "doc_id long, n_shingles long, digest binary, bands array<long>, brief binary"
-    )
+    slim = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    return map_batches(slim, rows, "doc_id long, n_shingles long, digest binary, bands array<long>, brief binary")
 
 
 def shingle_table(df: DataFrame, ids: DataFrame, k: int, id_column: str, text_column: str) -> DataFrame:
@@ -93,7 +92,7 @@ def shingle_table(df: DataFrame, ids: DataFrame, k: int, id_column: str, text_co
 
     texts = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return texts.join(few, "doc_id", "left_semi").mapInArrow(rows, "doc_id long, items binary")
+    return map_batches(texts.join(few, "doc_id", "left_semi"), rows, "doc_id long, items binary")
 
 
 def alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
@@ -118,7 +117,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
+    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), rows, "a long, b long")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import map_batches, materialize
 from .textops import slices
 
 WINDOW = 2048
@@ -127,7 +127,7 @@ def token_rows(df: DataFrame, tokenizer: str, id_column: str, text_column: str,
             )
 
     slim = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), queue.alias("queue"))
-    return slim.mapInArrow(rows, "part int, doc_id long, queue string, ahead long, n long, ids binary")
+    return map_batches(slim, rows, "part int, doc_id long, queue string, ahead long, n long, ids binary")
 
 
 class Schedule:
@@ -228,4 +228,4 @@ def pack(df: DataFrame, tokenizer: str | None = None, targets: dict[str | None,
                 )
 
     placed = tokens.join(base, ["part", "queue"]).select("doc_id", "queue", "n", "ids", (F.col("base") + F.col("ahead")).alias("begin"))
-    return placed.mapInArrow(rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return map_batches(placed, rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

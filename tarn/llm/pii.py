@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import map_batches
 from .textops import slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -149,7 +150,7 @@ def find_pii(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
             )
 
     slim = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return slim.mapInArrow(rows, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_batches(slim, rows, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact_pii(df: DataFrame, text_column: str = "text", length_column: str | None = "n_chars") -> DataFrame:
@@ -168,4 +169,4 @@ def redact_pii(df: DataFrame, text_column: str = "text", length_column: str | No
                 columns[size] = pa.array([None if t is None else len(t) for t in texts], columns[size].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema.set(at, pa.field(text_column, pa.string())))
 
-    return df.mapInArrow(rows, df.schema)
+    return map_batches(df, rows, df.schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import map_batches, materialize
 from .textops import mix, word_hashes
 
 #: Common words of English, German, French and Spanish.
@@ -178,7 +178,7 @@ def fingerprints(df: DataFrame, parts: int | None = None, id_column: str = "doc_
             yield done(some)
 
     ordered = dealt.repartition(tasks, "part").sortWithinPartitions("part", "lead", "key", "text")
-    return ordered.select("part", "lead", "doc_id", "text").mapInArrow(rows, schema)
+    return map_batches(ordered.select("part", "lead", "doc_id", "text"), rows, schema)
 
 
 def matches(prints: DataFrame, least: float = 0.8, id_column: str = "doc_id") -> DataFrame:

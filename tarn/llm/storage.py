@@ -5,9 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: What Spark hands to Python at once, unless the session says otherwise; a larger row is a batch of its own.
+BATCH_BYTES = 4_000_000
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 _MADE: list[tuple[SparkSession, str]] = []
 
 
@@ -36,6 +41,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_batches(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes, not by rows alone; a worker gives freed memory back after each task."""
+    spark = df.sparkSession
+    if spark.conf.get(_LIMIT, None) is None:
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(bounded, schema)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a materialized table that no later plan reads."""
     spark = df.sparkSession

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import materialize, new_path
+from .storage import map_batches, materialize, new_path
 
 #: Payloads below this many bytes are never revisits.
 LEAST_REVISIT = 1000
@@ -221,7 +221,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                     yield pa.RecordBatch.from_arrays(columns + [pa.array(bodies, pa.binary())] * payloads, names + ["payload"] * payloads)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(rows, SCHEMA + ", payload binary" * payloads)
+    return map_batches(files.select("path", "content"), rows, SCHEMA + ", payload binary" * payloads)
 
 
 def archive_pages(df: DataFrame, path: str | None = None, **columns: str) -> DataFrame:
