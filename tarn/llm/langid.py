@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -24,12 +24,12 @@ from .storage import map_batches, materialize
 from .textops import raw_texts, slices
 
 ORDER = 3
-#: About this many characters of each language are learned from: whole texts, picked by a hash of the text.
+#: So many characters of each language are learned from, or all that it has: its distinct texts in the order of a hash, the last one cut.
 LEARN_CHARS = 1_500_000
 #: Bytes that are told apart, and contexts of three bytes that are kept, over all languages: the commonest ones.
 MOST_BYTES = 120
 MOST_CONTEXTS = 40_000
-#: The most languages one model tells apart.
+#: The most languages one model tells apart; learning from more fails.
 MOST_LANGUAGES = 64
 UNDETERMINED = "und"
 _FOLD = bytes(range(256)).lower().translate(bytes.maketrans(b"123456789\t\r\x0b\x0c ", b"000000000\n\n\n\n\n"))
@@ -111,20 +111,36 @@ def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def last_draws(rows: DataFrame, chars: int) -> dict[str, tuple[int, int]]:
+    """From (lang, text, draw): for each language the greatest draw that is learned, and how many characters of its text.
+
+    Draws are summed in ranges first, so that only one range a language is looked at text by text; at most MOST_LANGUAGES + 1 languages."""
+    texts = materialize(rows.groupBy("lang", "draw").agg(F.max(F.length("text")).cast("long").alias("n")).withColumn("range", F.shiftright("draw", 52)), "draws")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = texts.groupBy("lang", "range").agg(F.sum("n").alias("n")).withColumn("before", before(Window.partitionBy("lang").orderBy("range")))
+    reached = ranges.filter(F.col("before") < chars).groupBy("lang").agg(F.max(F.struct("range", "before")).alias("at")).select("lang", "at.*").orderBy("lang").limit(MOST_LANGUAGES + 1)
+    inside = texts.join(F.broadcast(reached), ["lang", "range"]).withColumn("left", chars - F.col("before") - before(Window.partitionBy("lang").orderBy("draw")))
+    found = inside.filter("left > 0").groupBy("lang").agg(F.max(F.struct("draw", "left")).alias("last")).select("lang", "last.*").collect()
+    return {r["lang"]: (r["draw"], r["left"]) for r in found}
+
+
 def learn(df: DataFrame, language_column: str = "lang", text_column: str = "text", chars: int = LEARN_CHARS) -> Model:
     """Gram counts over a bounded sample of the labelled rows; rows without language or text teach nothing.
 
-    At most ``MOST_LANGUAGES`` languages (the largest), about ``chars`` characters of each, so the model is bounded whatever
-    the input: ``MOST_CONTEXTS`` contexts of three bytes, and all shorter ones over ``MOST_BYTES`` byte classes.
+    Every labelled language is learned from ``chars`` characters of its distinct texts, or from all if it has fewer; copies teach
+    once. The model is bounded whatever the input: ``MOST_CONTEXTS`` contexts of three bytes, and all shorter ones over
+    ``MOST_BYTES`` byte classes. More than ``MOST_LANGUAGES`` languages raise ValueError.
     """
-    rows = df.select(F.col(language_column).cast("string").alias("lang"), F.col(text_column).cast("string").alias("text")).filter("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in sizes)
+    rows = df.select(F.col(language_column).cast("string").alias("lang"), F.col(text_column).cast("string").alias("text")).filter("lang is not null and text <> ''").withColumn("draw", F.xxhash64("text"))
+    last = last_draws(rows, chars)
+    if len(last) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labelled languages")
+    languages = sorted(last)
     if not languages:
         return Model([], np.zeros(256, np.int64), 1, [])
-    share = {r["lang"]: min(1.0, chars / max(1, r["n"])) for r in sizes}
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = rows.filter(draw < F.element_at(F.create_map(*[F.lit(v) for kv in share.items() for v in kv]), F.col("lang")))
+    of = lambda i: F.element_at(F.create_map(*[F.lit(v) for lang, x in last.items() for v in (lang, x[i])]), F.col("lang"))
+    picked = rows.filter(F.col("draw") <= of(0)).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    picked = picked.select("lang", F.when(F.col("draw") == of(0), F.substring("text", F.lit(1), of(1).cast("int"))).otherwise(F.col("text")).alias("text"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4_000_000):

@@ -291,3 +291,22 @@ def test_language_code_lengths_and_accuracy(spark, empty):
         x = [int(model.classes[b]) for b in (b"\n\n\n" + text.encode()).translate(langid._FOLD)]
         want = [sum(cost(x[i - 3 : i], x[i], lang) for i in range(3, len(x))) for lang in range(2)]
         assert np.allclose(langid.code_lengths(model, [b"ka", text.encode(), b""])[1], want, atol=1e-3)
+
+
+def test_language_sample(spark, monkeypatch):
+    rng = random.Random(2)
+    parts = {"xx": ["ka", "lo", "mi", "tu"], "yy": ["sch", "ung", "er", "en"], "zz": ["qua", "vij", "wop"]}
+    say = lambda g, n: " ".join("".join(rng.choice(parts[g]) for _ in range(3)) for _ in range(n))
+    rows = [(say("xx", 5), "xx") for _ in range(200)] + [(say("yy", 4000), "yy"), (say("yy", 3000), "yy")]
+    rows += [(say("zz", 100), "zz")] * 500 + [(say("zz", 20), "zz") for _ in range(20)] + [("", "empty"), (None, "none")]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    model = langid.learn(df, chars=3000)
+    assert model.languages == ["xx", "yy", "zz"]
+    distinct = {g: sum(len(t) for t in {t for t, lang in rows if lang == g}) for g in model.languages}
+    for g, n in zip(model.languages, model.grams[0][1].sum(axis=0).tolist(), strict=True):
+        assert 0 <= n - min(3000, distinct[g]) <= langid.ORDER * 200  # the padding before each text counts too
+    got = langid.predict(spark.createDataFrame([(g, say(g, 6)) for g in parts for _ in range(20)], "lang string, text string"), model)
+    assert got.filter("lang <> lang_pred").count() == 0
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="languages"):
+        langid.learn(df)
