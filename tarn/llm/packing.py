@@ -3,9 +3,9 @@
 Each source is a queue of its documents' tokens, cut into blocks of ``quantum`` tokens. Deficit round-robin serves,
 block by block, the queue that lags most behind its target share: block k of a queue with weight w is due at
 (2k + 1) / (2w), and blocks are served in due order, earlier queues first in a tie. That order has a closed form
-(how many blocks of every other queue are due before), so each task computes the place of its own blocks in the
+(how many blocks of every other queue are due before), so with up to MOST_QUEUES sources each task computes the place of its own blocks in the
 whole stream, and deficits carry across windows and partitions without any task seeing another's rows. A queue that
-runs dry leaves its share to the rest. The queues' last part-blocks follow at the end, so that only the last
+runs dry leaves its share to the rest. With more sources, the blocks are sorted by due time instead. The queues' last part-blocks follow at the end, so that only the last
 window is padded.
 """
 
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import map_batches, materialize
@@ -28,7 +28,7 @@ from .textops import slices
 WINDOW = 2048
 QUANTUM = 256
 EOS = 1
-#: More sources than this share this many queues by hash, so that what every task holds is bounded.
+#: With more sources than this, a distributed sort places the blocks (in the same order), so that what a task holds is bounded.
 MOST_QUEUES = 1024
 #: Words, and units of words, whose ids a worker keeps (some 350 MB).
 CACHED_WORDS, CACHED_UNITS = 500_000, 1_200_000
@@ -108,12 +108,13 @@ def default_tokenizer() -> str:
 
 
 def token_rows(df: DataFrame, tokenizer: str, id_column: str, text_column: str, queue) -> DataFrame:
-    """(part, doc_id, queue, ahead, n, ids): ``ahead`` counts the queue's tokens before, in the same task."""
+    """(part, nth, doc_id, queue, ahead, n, ids): ``nth`` row of its task; ``ahead`` counts the queue's tokens before, in the same task."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = encoder(tokenizer), TaskContext.get().partitionId()
         end = np.array([EOS], own.dtype).tobytes()
         ahead: dict[str, int] = {}
+        done = 0
         for batch in slices(batches):
             ids = [x + end for x in own.encode([t or "" for t in batch.column(1).to_pylist()])]
             n = [len(x) // own.dtype.itemsize for x in ids]
@@ -122,12 +123,13 @@ def token_rows(df: DataFrame, tokenizer: str, id_column: str, text_column: str,
                 before.append(ahead.get(q, 0))
                 ahead[q] = before[-1] + x
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(n), pa.int32()), batch.column(0), batch.column(2), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
-                ["part", "doc_id", "queue", "ahead", "n", "ids"],
+                [pa.array([part] * len(n), pa.int32()), pa.array(np.arange(done, done + len(n))), batch.column(0), batch.column(2), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
+                ["part", "nth", "doc_id", "queue", "ahead", "n", "ids"],
             )
+            done += len(n)
 
     slim = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), queue.alias("queue"))
-    return map_batches(slim, rows, "part int, doc_id long, queue string, ahead long, n long, ids binary")
+    return map_batches(slim, rows, "part int, nth long, doc_id long, queue string, ahead long, n long, ids binary")
 
 
 class Schedule:
@@ -152,34 +154,91 @@ class Schedule:
         return out
 
     def pieces(self, queue: np.ndarray, start: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each document at ``start`` of its queue: rows of (document's index, token before, length, place in the stream)."""
-        q = self.quantum
-        first, last = start // q, (start + n - 1) // q
-        count = last - first + 1
-        doc = np.repeat(np.arange(len(n)), count)
-        block = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + first[doc]
-        a = np.maximum(block * q, start[doc])
-        b = np.minimum((block + 1) * q, (start + n)[doc])
+        """``cut_pieces`` of documents whose blocks are placed by this schedule."""
+        doc, block = touched(start, n, self.quantum)
         own = queue[doc]
         full = block < self.blocks[own]
         place = np.empty(len(doc), np.int64)
-        place[full] = self.ranks(own[full], block[full]) * q
+        place[full] = self.ranks(own[full], block[full]) * self.quantum
         place[~full] = self.tail[own[~full]]
-        place += a - block * q
-        size = b - a
-        over = (place + size - 1) // window > place // window  # only part-blocks straddle windows, and one edge at most
-        if over.any():
-            head = (window - place % window)[over]
-            doc, a, place = (np.concatenate([x, x[over] + y]) for x, y in ((doc, 0), (a, head), (place, head)))
-            rest = size[over] - head
-            size[over] = head
-            size = np.concatenate([size, rest])
-            order = np.lexsort((a, doc))
-            doc, a, place, size = doc[order], a[order], place[order], size[order]
-        joins = np.zeros(len(doc), bool)
-        joins[1:] = (doc[1:] == doc[:-1]) & (place[1:] == place[:-1] + size[:-1]) & (place[1:] // window == place[:-1] // window)
-        head = np.flatnonzero(~joins)
-        return doc[head], (a - start[doc])[head], np.add.reduceat(size, head) if len(head) else size, place[head]
+        return cut_pieces(start, n, doc, block, place, self.quantum, window)
+
+
+def touched(start: np.ndarray, n: np.ndarray, quantum: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document's index, block) for each block that a document at ``start`` of its queue lies in."""
+    first, last = start // quantum, (start + n - 1) // quantum
+    count = last - first + 1
+    doc = np.repeat(np.arange(len(n)), count)
+    return doc, np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + first[doc]
+
+
+def cut_pieces(start: np.ndarray, n: np.ndarray, doc: np.ndarray, block: np.ndarray, place: np.ndarray, q: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of (document's index, token before, length, place in the stream), from the place of each block that is touched."""
+    a = np.maximum(block * q, start[doc])
+    b = np.minimum((block + 1) * q, (start + n)[doc])
+    place = place + a - block * q
+    size = b - a
+    over = (place + size - 1) // window > place // window  # only part-blocks straddle windows, and one edge at most
+    if over.any():
+        head = (window - place % window)[over]
+        doc, a, place = (np.concatenate([x, x[over] + y]) for x, y in ((doc, 0), (a, head), (place, head)))
+        rest = size[over] - head
+        size[over] = head
+        size = np.concatenate([size, rest])
+        order = np.lexsort((a, doc))
+        doc, a, place, size = doc[order], a[order], place[order], size[order]
+    joins = np.zeros(len(doc), bool)
+    joins[1:] = (doc[1:] == doc[:-1]) & (place[1:] == place[:-1] + size[:-1]) & (place[1:] // window == place[:-1] // window)
+    head = np.flatnonzero(~joins)
+    return doc[head], (a - start[doc])[head], np.add.reduceat(size, head) if len(head) else size, place[head]
+
+
+def _exact(num: str, den: str) -> list[Column]:
+    """Columns that sort as num / den does: the whole part and 100 binary places, which tell apart all fractions of parts up to 2^43."""
+    out, rest = [F.expr(f"({num}) div ({den})")], f"(({num}) % ({den}))"
+    places = []
+    for _ in range(5):
+        places.append(F.expr(f"shiftleft({rest}, 20) div ({den})"))
+        rest = f"(shiftleft({rest}, 20) % ({den}))"
+    return [*out, F.shiftleft(places[0], 20) + places[1], F.shiftleft(places[2], 20) + places[3], places[4]]
+
+
+def place_blocks(tokens: DataFrame, due: list[Column], quantum: int) -> DataFrame:
+    """(part, nth, places) for each row of tokens (part, nth, queue, begin, n, total, ...): the place in the stream of each
+    block that it touches, in order. Blocks stand by ``due`` (over ``block`` too), queue and number; part-blocks follow, by queue.
+
+    Rows that share a block are sorted next to each other, and that with its first token counts the block's length; so
+    a running sum over the sorted rows is the place, whatever the number of queues."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begin, n = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("begin", "n"))
+            doc, block = touched(begin, n, quantum)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(doc)) for c in batch.columns), pa.array(block)], [*batch.schema.names, "block"])
+
+    slim = tokens.drop("ids", "doc_id")
+    pieces = map_batches(slim, split, slim.select("*", F.lit(0).cast("long").alias("block")).schema)
+    length = F.least(F.lit(quantum), F.col("total") - F.col("block") * quantum)
+    names = [f"due{i}" for i in range(len(due))]
+    tail = F.col("length") < quantum
+    pieces = pieces.withColumn("length", length.cast("long")).withColumns(dict(zip(names, [F.when(~tail, d) for d in due], strict=True))).withColumn("tail", tail)
+    order = ["tail", *names, "queue", "block", "begin"]
+    ordered = pieces.repartitionByRange(*order).sortWithinPartitions(*order).select("part", "nth", "block", (F.col("begin") <= F.col("block") * quantum).alias("owns"), "length")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, task = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            size = batch.column(4).to_numpy()
+            own = np.where(batch.column(3).to_numpy(zero_copy_only=False), size, 0)
+            after = done + np.cumsum(own)
+            done = int(after[-1]) if len(after) else done
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([task] * len(size), pa.int32()), pa.array(after - size), pa.array(own)], ["part", "nth", "block", "task", "place", "own"])
+
+    placed = materialize(map_batches(ordered, run, "part int, nth long, block long, task int, place long, own long"), "blocks")
+    # a row a task
+    before = placed.groupBy("task").agg(F.sum("own").alias("own")).select("task", F.coalesce(F.sum("own").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    placed = placed.join(F.broadcast(before), "task").select("part", "nth", "block", (F.col("place") + F.col("before")).alias("place"))
+    return placed.groupBy("part", "nth").agg(F.array_sort(F.collect_list(F.struct("block", "place"))).getField("place").alias("places"))
 
 
 def pack(df: DataFrame, tokenizer: str | None = None, targets: dict[str | None, float] | None = None, window: int = WINDOW, quantum: int = QUANTUM, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
@@ -187,26 +246,37 @@ def pack(df: DataFrame, tokenizer: str | None = None, targets: dict[str | None,
 
     A document is its ids and then id 1 (null text: id 1 alone); each id lies in one piece. Windows follow
     ``targets`` (share by source, in any unit; by default the sources' own token counts, so that all queues end
-    together). A null source is a queue of its own; null or repeated ids are packed row by row; other columns are
-    ignored; an empty table gives an empty result. Only the last window may be short.
+    together). A null source is a queue of its own; null or repeated ids are packed row by row; other columns are ignored; an empty
+    table gives an empty result. Only the last window may be short.
     """
     if window % quantum:
         raise ValueError("quantum must divide window")
     spark, tokenizer = df.sparkSession, tokenizer or default_tokenizer()
     source = F.col(source_column).cast("string")
-    many = df.select(source).distinct().limit(MOST_QUEUES + 1).count() > MOST_QUEUES
-    queue = F.concat(F.lit("h"), F.pmod(F.xxhash64(source), F.lit(MOST_QUEUES)).cast("string")) if many else F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
-    if many and targets:
-        raise ValueError(f"targets need at most {MOST_QUEUES} sources")
+    queue = F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+    closed = df.select(source).distinct().limit(MOST_QUEUES + 1).count() <= MOST_QUEUES
     tokens = materialize(token_rows(df, tokenizer, id_column, text_column, queue), "tokens")
     sums = materialize(tokens.groupBy("part", "queue").agg(F.sum("n").alias("n")), "token-sums")
-    base = sums.select("part", "queue", F.coalesce(F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    totals = {r[0]: r[1] for r in sums.groupBy("queue").agg(F.sum("n")).collect()}  # at most MOST_QUEUES rows
-    names = sorted(totals)
+    each = Window.partitionBy("queue")
+    base = sums.select("part", "queue", F.coalesce(F.sum("n").over(each.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("n").over(each).alias("total"))
     shares = {"n" if s is None else f"s{s}": v for s, v in (targets or {}).items()}
     unit = 1_000_000 / max(sum(shares.values()), 1e-9)
-    schedule = Schedule([totals[x] for x in names], [round(shares.get(x, 0) * unit) if targets else totals[x] for x in names], quantum)
-    number = {x: i for i, x in enumerate(names)}
+    weights = {s: max(1, round(v * unit)) for s, v in shares.items()}
+    begin = (F.col("base") + F.col("ahead")).alias("begin")
+    if closed:
+        totals = {r[0]: r[1] for r in sums.groupBy("queue").agg(F.sum("n")).collect()}  # at most MOST_QUEUES rows
+        names = sorted(totals)
+        schedule = Schedule([totals[x] for x in names], [weights.get(x, 1) if targets else totals[x] for x in names], quantum)
+        number = {x: i for i, x in enumerate(names)}
+        placed = tokens.join(base, ["part", "queue"]).select("doc_id", "queue", "n", "ids", begin)
+    else:
+        if targets:
+            known = spark.createDataFrame(list(weights.items()), "queue string, weight long")
+            base, due = base.join(known, "queue", "left").fillna(1, ["weight"]), _exact("2 * block + 1", "2 * weight")
+        else:
+            due = _exact("2 * block + 1", "2 * total")
+        tokens_at = tokens.join(base, ["part", "queue"]).select("*", begin)
+        placed = tokens_at.join(place_blocks(tokens_at, due, quantum), ["part", "nth"]).select("doc_id", "queue", "n", "ids", "begin", "places")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -214,8 +284,11 @@ def pack(df: DataFrame, tokenizer: str | None = None, targets: dict[str | None,
                 ids = [x.as_buffer().to_pybytes() for x in batch.column(3)]
                 n = batch.column(2).to_numpy()
                 wide = len(ids[0]) // int(n[0])
-                q = np.array([number[x] for x in batch.column(1).to_pylist()])
-                doc, a, size, place = schedule.pieces(q, batch.column(4).to_numpy(), n, window)
+                begin = batch.column(4).to_numpy()
+                if closed:
+                    doc, a, size, place = schedule.pieces(np.array([number[x] for x in batch.column(1).to_pylist()]), begin, n, window)
+                else:
+                    doc, a, size, place = cut_pieces(begin, n, *touched(begin, n, quantum), batch.column(5).flatten().to_numpy(), quantum, window)
                 crc = np.empty(len(doc), np.int64)
                 at, now = -1, b""
                 for i, (d, x, m) in enumerate(zip(doc.tolist(), a.tolist(), size.tolist(), strict=True)):
@@ -227,5 +300,4 @@ def pack(df: DataFrame, tokenizer: str | None = None, targets: dict[str | None,
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
                 )
 
-    placed = tokens.join(base, ["part", "queue"]).select("doc_id", "queue", "n", "ids", (F.col("base") + F.col("ahead")).alias("begin"))
     return map_batches(placed, rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -136,6 +136,29 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_many_sources(docs, monkeypatch):
+    for targets in (None, {"a": 1, "b": 3, None: 1}):
+        few = packing.pack(docs, targets=targets, quantum=64).collect()
+        with monkeypatch.context() as m:
+            m.setattr(packing, "MOST_QUEUES", 1)
+            many = packing.pack(docs, targets=targets, quantum=64).collect()
+        assert sorted(map(str, many)) == sorted(map(str, few)) and len({r["sequence_id"] for r in few}) > 1
+
+
+def test_packing_keeps_a_queue_for_each_of_many_sources(spark):
+    rows = [(i, f"word{i % 7} and more " * (5 + i % 40), f"host{i // 2}") for i in range(2400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(2)
+    e, q = packing.Encoder(packing.default_tokenizer()), 16
+    ids = {i: len(e.whole(t)) // 2 + 1 for i, t, _ in rows}
+    queues = defaultdict(list)
+    for i, _, s in rows:
+        queues[s] += [(i, k) for k in range(ids[i])]
+    parts = [((len(v) % q > 0 and k == len(v) // q), (2 * k + 1) / (2 * len(v)) if k < len(v) // q else 0, s, k) for s, v in queues.items() for k in range(-(-len(v) // q))]
+    want = [x for _, _, s, k in sorted(parts) for x in queues[s][k * q : (k + 1) * q]]
+    got = {p["sequence_id"] * 2048 + p["offset"] + j: (p["doc_id"], p["start"] + j) for p in packing.pack(df, quantum=q).collect() for j in range(p["length"])}
+    assert [got[i] for i in range(len(want))] == want and len(got) == len(want)
+
+
 def test_schedule_is_the_round_robin():
     totals, weights, q = [2600, 900, 130, 5000], [5, 2, 1, 9], 64
     s = packing.Schedule(totals, weights, q)
