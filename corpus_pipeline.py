@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm.langid import UNDETERMINED, learn, predict
-from tarn.llm.mixing import mix_sources
+from tarn.llm.mixing import mix_sources, source_schedules
 from tarn.llm.neardup import BROADCAST_IDS, near_duplicates
 from tarn.llm.packing import pack
 from tarn.llm.pii import redact_pii
@@ -48,14 +48,18 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them (a part counts as a whole), in training order."""
+    """Documents as often as the mixture takes them (a part counts as a whole). Their training order is set by the packing stage, as no order of rows outlives a table."""
     mixed = mix_sources(docs.select(COLUMNS), keep_text=True)
     return mixed.filter("taken > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")))).select(COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in windows of 2048 tokens, sources at their shares of the mix."""
-    return pack(docs.select(COLUMNS))
+    """The pieces of all documents in windows of 2048 tokens along the mixture's curriculum: each source has its share of the mix,
+    early or late as its schedule says, and takes its documents round by round in hash order.
+
+    Schedules go to sources in turn by name, as in the mix; a source of which the mix took nothing (a target under one word) has no turn here."""
+    docs = docs.select(COLUMNS)
+    return pack(docs, schedules=source_schedules(docs))
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("pii", pii), ("mixing", mix), ("packing", packing)]

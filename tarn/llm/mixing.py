@@ -30,6 +30,13 @@ def position(u: Column, start: Column, end: Column) -> Column:
     return F.when(start == end, u).otherwise((root - start) / (end - start))
 
 
+def source_schedules(df: DataFrame, source_column: str = "source", schedules=SCHEDULES) -> DataFrame:
+    """(source, start, end): the schedule of each source of ``df``, in turn by name as in ``source_targets``. A row a source; null sorts last."""
+    ranked = df.select(F.col(source_column).alias("source")).distinct().withColumn("nth", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    of = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), (F.col("nth") % len(schedules) + 1).cast("int"))
+    return ranked.select("source", of([a for a, _ in schedules]).alias("start"), of([b for _, b in schedules]).alias("end"))
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, most: int = MOST) -> DataFrame:
     """From (source, source_size): also target, start and end. A row a source; null sorts last."""
     every = Window.orderBy("nth")

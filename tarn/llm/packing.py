@@ -5,7 +5,7 @@ block by block, the queue that lags most behind its target share: block k of a q
 (2k + 1) / (2w), and blocks are served in due order, earlier queues first in a tie. That order has a closed form
 (how many blocks of every other queue are due before), so with up to MOST_QUEUES sources each task computes the place of its own blocks in the
 whole stream, and deficits carry across windows and partitions without any task seeing another's rows. A queue that
-runs dry leaves its share to the rest. With more sources, the blocks are sorted by due time instead. The queues' last part-blocks follow at the end, so that only the last
+runs dry leaves its share to the rest. With more sources, or under schedules, the blocks are sorted by due time instead. The queues' last part-blocks follow at the end, so that only the last
 window is padded.
 """
 
@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .mixing import MOST, position
 from .storage import map_batches, materialize
 from .textops import slices
 
@@ -193,6 +194,29 @@ def cut_pieces(start: np.ndarray, n: np.ndarray, doc: np.ndarray, block: np.ndar
     return doc[head], (a - start[doc])[head], np.add.reduceat(size, head) if len(head) else size, place[head]
 
 
+def in_rounds(tokens: DataFrame) -> DataFrame:
+    """(part, nth, queue, n, task, ahead) for rows of tokens as their queues take them: the first copies of all documents in hash
+    order, then the second ones, and so on; ``ahead`` counts the queue's tokens before, in the same task."""
+    slim = tokens.select("part", "nth", "queue", "n", "doc_id", F.xxhash64("ids").alias("hash"))
+    alike = Window.partitionBy("queue", "doc_id", "hash")
+    slim = slim.withColumns({"copy": F.row_number().over(alike.orderBy("part", "nth")), "copies": F.count("*").over(alike)})
+    # many equal rows without an id are as many documents, not rounds of one
+    turn = F.when(F.col("doc_id").isNull() & (F.col("copies") > MOST), F.col("copy") % MOST + 1).otherwise(F.col("copy"))
+    order = ["queue", turn, F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "doc_id", "hash", "copy"]
+    ordered = slim.repartitionByRange(*order).sortWithinPartitions(*order).select("part", "nth", "queue", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, ahead = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            before = []
+            for q, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                before.append(ahead.get(q, 0))
+                ahead = {q: before[-1] + x}  # rows are sorted by queue
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([task] * len(before), pa.int32()), pa.array(before, pa.int64())], ["part", "nth", "queue", "n", "task", "ahead"])
+
+    return materialize(map_batches(ordered, run, "part int, nth long, queue string, n long, task int, ahead long"), "rounds")
+
+
 def _exact(num: str, den: str) -> list[Column]:
     """Columns that sort as num / den does: the whole part and 100 binary places, which tell apart all fractions of parts up to 2^43."""
     out, rest = [F.expr(f"({num}) div ({den})")], f"(({num}) % ({den}))"
@@ -204,7 +228,7 @@ def _exact(num: str, den: str) -> list[Column]:
 
 
 def place_blocks(tokens: DataFrame, due: list[Column], quantum: int) -> DataFrame:
-    """(part, nth, places) for each row of tokens (part, nth, queue, begin, n, total, ...): the place in the stream of each
+    """(part, nth, begin, places) for each row of tokens (part, nth, queue, begin, n, total, ...): the place in the stream of each
     block that it touches, in order. Blocks stand by ``due`` (over ``block`` too), queue and number; part-blocks follow, by queue.
 
     Rows that share a block are sorted next to each other, and that with its first token counts the block's length; so
@@ -216,14 +240,14 @@ def place_blocks(tokens: DataFrame, due: list[Column], quantum: int) -> DataFram
             doc, block = touched(begin, n, quantum)
             yield pa.RecordBatch.from_arrays([*(c.take(pa.array(doc)) for c in batch.columns), pa.array(block)], [*batch.schema.names, "block"])
 
-    slim = tokens.drop("ids", "doc_id")
+    slim = tokens.drop("ids", "doc_id", "ahead", "base")
     pieces = map_batches(slim, split, slim.select("*", F.lit(0).cast("long").alias("block")).schema)
     length = F.least(F.lit(quantum), F.col("total") - F.col("block") * quantum)
     names = [f"due{i}" for i in range(len(due))]
     tail = F.col("length") < quantum
     pieces = pieces.withColumn("length", length.cast("long")).withColumns(dict(zip(names, [F.when(~tail, d) for d in due], strict=True))).withColumn("tail", tail)
     order = ["tail", *names, "queue", "block", "begin"]
-    ordered = pieces.repartitionByRange(*order).sortWithinPartitions(*order).select("part", "nth", "block", (F.col("begin") <= F.col("block") * quantum).alias("owns"), "length")
+    ordered = pieces.repartitionByRange(*order).sortWithinPartitions(*order).select("part", "nth", "block", (F.col("begin") <= F.col("block") * quantum).alias("owns"), "length", "begin")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, task = 0, TaskContext.get().partitionId()
@@ -232,33 +256,38 @@ def place_blocks(tokens: DataFrame, due: list[Column], quantum: int) -> DataFram
             own = np.where(batch.column(3).to_numpy(zero_copy_only=False), size, 0)
             after = done + np.cumsum(own)
             done = int(after[-1]) if len(after) else done
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([task] * len(size), pa.int32()), pa.array(after - size), pa.array(own)], ["part", "nth", "block", "task", "place", "own"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(5), pa.array([task] * len(size), pa.int32()), pa.array(after - size), pa.array(own)], ["part", "nth", "block", "begin", "task", "place", "own"])
 
-    placed = materialize(map_batches(ordered, run, "part int, nth long, block long, task int, place long, own long"), "blocks")
+    placed = materialize(map_batches(ordered, run, "part int, nth long, block long, begin long, task int, place long, own long"), "blocks")
     # a row a task
     before = placed.groupBy("task").agg(F.sum("own").alias("own")).select("task", F.coalesce(F.sum("own").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    placed = placed.join(F.broadcast(before), "task").select("part", "nth", "block", (F.col("place") + F.col("before")).alias("place"))
-    return placed.groupBy("part", "nth").agg(F.array_sort(F.collect_list(F.struct("block", "place"))).getField("place").alias("places"))
+    placed = placed.join(F.broadcast(before), "task").select("part", "nth", "begin", "block", (F.col("place") + F.col("before")).alias("place"))
+    return placed.groupBy("part", "nth", "begin").agg(F.array_sort(F.collect_list(F.struct("block", "place"))).getField("place").alias("places"))
 
 
-def pack(df: DataFrame, tokenizer: str | None = None, targets: dict[str | None, float] | None = None, window: int = WINDOW, quantum: int = QUANTUM, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+def pack(df: DataFrame, tokenizer: str | None = None, targets: dict[str | None, float] | None = None, schedules: DataFrame | None = None, window: int = WINDOW, quantum: int = QUANTUM, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and then id 1 (null text: id 1 alone); each id lies in one piece. Windows follow
     ``targets`` (share by source, in any unit; by default the sources' own token counts, so that all queues end
-    together). A null source is a queue of its own; null or repeated ids are packed row by row; other columns are ignored; an empty
+    together). With ``schedules`` (a row a source: source, start, end) a source's share of the windows moves over the
+    stream as its schedule does, each block due at its training position, and documents stand ``in_rounds``. A null
+    source is a queue of its own; null or repeated ids are packed row by row; other columns are ignored; an empty
     table gives an empty result. Only the last window may be short.
     """
     if window % quantum:
         raise ValueError("quantum must divide window")
+    if targets and schedules is not None:
+        raise ValueError("shares are given by targets or by schedules")
     spark, tokenizer = df.sparkSession, tokenizer or default_tokenizer()
     source = F.col(source_column).cast("string")
     queue = F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
-    closed = df.select(source).distinct().limit(MOST_QUEUES + 1).count() <= MOST_QUEUES
+    closed = schedules is None and df.select(source).distinct().limit(MOST_QUEUES + 1).count() <= MOST_QUEUES
     tokens = materialize(token_rows(df, tokenizer, id_column, text_column, queue), "tokens")
-    sums = materialize(tokens.groupBy("part", "queue").agg(F.sum("n").alias("n")), "token-sums")
+    lined = tokens.withColumn("task", F.col("part")) if schedules is None else in_rounds(tokens)
+    sums = materialize(lined.groupBy("task", "queue").agg(F.sum("n").alias("n")), "token-sums")
     each = Window.partitionBy("queue")
-    base = sums.select("part", "queue", F.coalesce(F.sum("n").over(each.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("n").over(each).alias("total"))
+    base = sums.select("task", "queue", F.coalesce(F.sum("n").over(each.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("n").over(each).alias("total"))
     shares = {"n" if s is None else f"s{s}": v for s, v in (targets or {}).items()}
     unit = 1_000_000 / max(sum(shares.values()), 1e-9)
     weights = {s: max(1, round(v * unit)) for s, v in shares.items()}
@@ -268,15 +297,18 @@ def pack(df: DataFrame, tokenizer: str | None = None, targets: dict[str | None,
         names = sorted(totals)
         schedule = Schedule([totals[x] for x in names], [weights.get(x, 1) if targets else totals[x] for x in names], quantum)
         number = {x: i for i, x in enumerate(names)}
-        placed = tokens.join(base, ["part", "queue"]).select("doc_id", "queue", "n", "ids", begin)
+        placed = lined.join(base, ["task", "queue"]).select("doc_id", "queue", "n", "ids", begin)
     else:
-        if targets:
+        if schedules is not None:
+            known = schedules.select(F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("queue"), "start", "end")
+            u = (2 * F.col("block") + 1) * quantum / (2 * F.col("total"))
+            base, due = base.join(known, "queue", "left").fillna(1.0, ["start", "end"]), [position(u, F.col("start"), F.col("end"))]
+        elif targets:
             known = spark.createDataFrame(list(weights.items()), "queue string, weight long")
             base, due = base.join(known, "queue", "left").fillna(1, ["weight"]), _exact("2 * block + 1", "2 * weight")
         else:
             due = _exact("2 * block + 1", "2 * total")
-        tokens_at = tokens.join(base, ["part", "queue"]).select("*", begin)
-        placed = tokens_at.join(place_blocks(tokens_at, due, quantum), ["part", "nth"]).select("doc_id", "queue", "n", "ids", "begin", "places")
+        placed = tokens.join(place_blocks(lined.join(base, ["task", "queue"]).select("*", begin), due, quantum), ["part", "nth"]).select("doc_id", "queue", "n", "ids", "begin", "places")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -159,6 +159,30 @@ def test_packing_keeps_a_queue_for_each_of_many_sources(spark):
     assert [got[i] for i in range(len(want))] == want and len(got) == len(want)
 
 
+def test_packing_follows_schedules_and_rounds(spark):
+    rng = random.Random(6)
+    docs = [(i, " ".join(rng.choice(["one", "two", "three"]) for _ in range(rng.randint(30, 200))), s) for i, s in enumerate(["a", "b", None] * 100)]
+    rows = [r for r in docs for _ in range(2 if r[0] % 5 else 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    pieces = packing.pack(df, schedules=mixing.source_schedules(df)).collect()
+    e, queues = packing.Encoder(packing.default_tokenizer()), defaultdict(list)
+    for turn in range(3):
+        for i, t, s in sorted(docs, key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()):
+            if turn < 2 or not i % 5:
+                queues[s] += [(i, k) for k in range(len(e.whole(t)) // 2 + 1)]
+    blocks = []
+    for (s, v), (a, b) in zip(sorted(queues.items(), key=lambda x: x[0] or "z"), mixing.SCHEDULES, strict=True):
+        for k in range(-(-len(v) // 256)):
+            u = (2 * k + 1) * 256 / (2 * len(v))
+            due = u if a == b else (((a * a + (b - a) * (a + b) * u) ** 0.5) - a) / (b - a)
+            full = k < len(v) // 256
+            blocks.append((not full, due if full else 0, "n" if s is None else "s" + s, k, v))
+    want = [x for _, _, _, k, v in sorted(blocks) for x in v[k * 256 : (k + 1) * 256]]
+    got = {p["sequence_id"] * 2048 + p["offset"] + j: (p["doc_id"], p["start"] + j) for p in pieces for j in range(p["length"])}
+    assert [got[i] for i in range(len(want))] == want and len(got) == len(want)
+    assert sum(x[0] % 3 == 0 for x in want[:4096]) > 2 * sum(x[0] % 3 == 0 for x in want[-4096:])
+
+
 def test_schedule_is_the_round_robin():
     totals, weights, q = [2600, 900, 130, 5000], [5, 2, 1, 9], 64
     s = packing.Schedule(totals, weights, q)

@@ -30,6 +30,17 @@ def test_stages(spark, tmp_path):
     assert cp.run(spark, str(tmp_path)).count() == len(seen["packing"])
 
 
+def test_curriculum_reaches_the_windows(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["one", "two", "three"]) for _ in range(100)), "en", "abc"[i % 3], 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    cp.mix(spark, docs, "").write.parquet(str(tmp_path / "mixed"))
+    pieces = cp.packing(spark, spark.read.parquet(str(tmp_path / "mixed")), "").collect()
+    last = max(r["sequence_id"] for r in pieces)
+    of = lambda s, late: sum(r["length"] for r in pieces if r["doc_id"] % 3 == s and (r["sequence_id"] > last / 2) == late)
+    assert of(0, False) > 1.4 * of(0, True) and of(2, True) > 1.1 * of(2, False)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in cp.STAGES:
