@@ -1,11 +1,36 @@
 """The pipeline's stages against what each must do, on a small table."""
 
+import hashlib
 import random
+from collections import Counter
+from fractions import Fraction
 
 import corpus_pipeline as cp
 from tarn.llm import packing, pii
 
 
+def copies(rows):
+    """How often the mixture takes each document, by plain counting: {doc_id: copies}."""
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(sources)}
+    own = {s: sum(n for _, n, x in rows if x == s) for s in sources}
+    target, left, free = {}, Fraction(sum(own.values())), set(sources)
+    while free:
+        share = sum(weight[s] for s in free)
+        over = {s for s in free if weight[s] * left / share > 3 * own[s]}
+        target |= {s: Fraction(3 * own[s]) for s in over} if over else {s: weight[s] * left / share for s in free}
+        left, free = left - sum(3 * own[s] for s in over), free - over if over else set()
+    out = Counter()
+    for s in sources:
+        rest = int(target[s])
+        order = sorted((hashlib.md5(str(i).encode()).hexdigest(), i, n) for i, n, x in rows if x == s)
+        while rest > 0:
+            for _, i, n in order:
+                out[i] += rest > 0
+                rest -= n
+    return out
+
+
 def test_stages(spark, tmp_path):
     rng = random.Random(1)
     say = lambda n: " ".join("".join(rng.choice(["ka", "lo", "mi", "tu"]) for _ in range(3)) for _ in range(n)) + "."
@@ -30,6 +55,20 @@ def test_stages(spark, tmp_path):
     assert cp.run(spark, str(tmp_path)).count() == len(seen["packing"])
 
 
+def test_mix_takes_what_the_targets_say(spark):
+    rng = random.Random(8)
+    say = lambda: " ".join(rng.choice(["one", "two", "three"]) for _ in range(rng.randint(5, 60)))
+    rows = [(i, say(), "en", rng.choice(["a", "a", "a", "a", "b", "b", "c", None]), 0) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = copies([(i, len(t.split()), s) for i, t, _, s, _ in rows])
+    mixed = cp.mix(spark, docs, "").collect()
+    assert Counter(r["doc_id"] for r in mixed) == +want and {(r["doc_id"], r["text"]) for r in mixed} <= {(r[0], r[1]) for r in rows}
+    e, packed = packing.Encoder(packing.default_tokenizer()), Counter()
+    for r in cp.packing(spark, spark.createDataFrame(mixed, docs.schema), "").collect():
+        packed[r["doc_id"]] += r["length"]
+    assert packed == {r[0]: want[r[0]] * (len(e.whole(r[1])) // 2 + 1) for r in rows if want[r[0]]}
+
+
 def test_curriculum_reaches_the_windows(spark, tmp_path):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(["one", "two", "three"]) for _ in range(100)), "en", "abc"[i % 3], 0) for i in range(300)]
