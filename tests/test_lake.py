@@ -223,3 +223,13 @@ def test_random_story_against_a_model(spark, lake):
         past[lake.current_snapshot()] = list(now)
     for s, want in past.items():
         assert rows(lake.table("t", version=s).select("id", "v")) == sorted(want, key=repr), s
+
+
+def test_partition_hour_loads_all_events(spark, monkeypatch):
+    from tarn import queries
+
+    made, fresh, d = [], queries.fresh, "/root/testdata/sf0.01"
+    monkeypatch.setattr(queries, "fresh", lambda s: made.append(fresh(s)) or made[-1])
+    events = queries.raw(spark, d, "events")
+    assert queries.partition_hour(spark, d).filter("skips").count() == events.filter("ts >= '2024-01-05 06:00:00' AND ts < '2024-01-05 08:00:00'").count()
+    assert made[0].table("t").count() == events.count()
