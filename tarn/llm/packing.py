@@ -11,8 +11,8 @@ window is padded.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,72 +24,146 @@ from pyspark.sql import functions as F
 
 from .mixing import MOST, position
 from .storage import map_batches, materialize
-from .textops import slices
+from .textops import raw_texts, slices
 
 WINDOW = 2048
 QUANTUM = 256
 EOS = 1
 #: With more sources than this, a distributed sort places the blocks (in the same order), so that what a task holds is bounded.
 MOST_QUEUES = 1024
-#: Words, and units of words, whose ids a worker keeps (some 350 MB).
-CACHED_WORDS, CACHED_UNITS = 500_000, 1_200_000
-#: White space on which Python and the tokenizer may disagree, by code point; a text with any is encoded as a whole.
-_ODD_SPACE = re.compile("[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
+#: Units of words whose ids a worker keeps (some 70 MB), and the longest that is kept.
+CACHED_UNITS, LONGEST_UNIT = 400_000, 64
+#: The tokenizer's own first step, which ``Encoder`` follows over bytes; another one is given whole texts. Fixed value.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_GAP, _LETTER, _DIGIT, _SIGN, _ODD, _WORD = range(6)
 
 
-#: Words whose lower case, normal form and parts Python and the tokenizer agree on: ASCII but the apostrophe, and Latin letters.
-_PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
-_UNITS = re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+def _byte_kinds() -> np.ndarray:
+    """What each byte is in text that is lower-case as far as ASCII goes. Bytes from 0x80 count as letters until their pair is looked at."""
+    kinds = np.full(256, _ODD, np.uint8)
+    kinds[0x21:0x7F] = _SIGN
+    kinds[[0x20, 9, 10, 11, 12, 13]] = _GAP
+    kinds[0x30:0x3A] = _DIGIT
+    kinds[0x61:0x7B] = kinds[0x80:] = _LETTER
+    kinds[0x27] = _ODD  # the apostrophe begins units of its own
+    return kinds
+
+
+def _pair_kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Of the two-byte sequences (by 64 * lead + rest): Latin letters that are lower-case, or are after adding 0x20 to the second byte; and those latter."""
+    plain, upper = np.zeros(1 << 12, bool), np.zeros(1 << 12, bool)
+    for c in map(chr, range(0xC0, 0x180)):
+        a, b = c.encode()
+        at = (a & 0x3F) << 6 | b & 0x3F
+        low = c.lower()
+        plain[at] = c.isalpha() and c not in "ŉſ" and (low == c or ord(low[0]) == ord(c) + 0x20)
+        upper[at] = plain[at] and low != c
+    return plain, upper
+
+
+_KINDS, (_PLAIN, _UPPER) = _byte_kinds(), _pair_kinds()
 
 
 class Encoder:
     """Token ids as bytes. Texts part at white space, where this kind of tokenizer never joins, and plain words part further
-    into runs of letters, digits and signs, as its own first step does; so most parts are encoded once. ``units`` must be
-    off for tokenizers that do not lower-case and part words this way."""
+    into runs of letters, digits and signs, as its own first step does; all this on the bytes of many texts at once, so
+    that each distinct unit is encoded once. Words with anything else (apostrophes, other scripts, special tokens) are units
+    as a whole. A tokenizer with another first step is given whole texts."""
 
-    def __init__(self, path: str, units: bool = True):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.by_units = units
-        self.words: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        steps = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        forms = [x.get("type") for x in (made.get("normalizer") or {}).get("normalizers") or []]
+        self.parted = steps[0].get("pattern") == {"Regex": _SPLIT} and [x.get("type") for x in steps] == ["Split", "ByteLevel"] and forms == ["NFC", "Replace", "Lowercase"]
+        self.units: dict[bytes, bytes] = {}
+        if self.parted:
+            self.plain = Tokenizer(self.tokenizer.model)  # for units that need no normal form and no parting; shares the vocabulary
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn_units(self, new: list[str]) -> None:
-        """Encode the units joined by spaces, a few thousand at once."""
-        for i in range(0, len(new), 4000):
-            part = new[i : i + 4000]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+    def _learn(self, new: list[bytes]) -> None:
+        """Encode the units joined by spaces, some hundreds at once."""
+        for i in range(0, len(new), 500):
+            part = new[i : i + 500]
+            e = self.plain.encode(b" ".join(part).decode(), add_special_tokens=False)
             ids, of = np.array(e.ids, self.dtype), np.array(e.word_ids)
             cuts = np.flatnonzero(of[1:] != of[:-1]) + 1
-            if len(cuts) + 1 != len(part):
-                self.units.update((u, self.whole(u)) for u in part)
-                continue
             raw, width = ids.tobytes(), self.dtype.itemsize
             at = [0, *(cuts * width).tolist(), len(raw)]
             self.units.update(zip(part, (raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parted = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
+        return self.encode_raw([t.encode() for t in texts])
+
+    def encode_raw(self, texts: list[bytes]) -> list[bytes]:
+        if not self.parted:
+            return [self.whole(t.decode()) for t in texts]
+        if not texts:
+            return []
+        joined = b"\n".join(texts) + b"\n"
+        low = np.frombuffer(bytearray(joined.lower()), np.uint8)
+        kind = _KINDS[low]
+        lead = np.flatnonzero(low >= 0xC0)
+        pair = (low[lead] & 0x3F).astype(np.int32) << 6 | low[lead + 1] & 0x3F
+        plain = (low[lead] < 0xE0) & _PLAIN[pair]
+        low[lead[_UPPER[pair] & plain] + 1] += 0x20
+        kind[lead[~plain]] = _ODD
+        at = joined.find(b"<|")  # may begin a special token
+        while at >= 0:
+            kind[at] = _ODD
+            at = joined.find(b"<|", at + 1)
+        odd = self._odd_words(joined, low, kind)
+        first = kind != _GAP
+        inside = first.copy()
+        first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        bounds = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum([len(t) + 1 for t in texts], out=bounds[1:])
+        begins = np.searchsorted(np.flatnonzero(first), bounds)
+        data = low[inside]
+        starts = np.append(np.flatnonzero(first[inside]), len(data)).astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
+        keys = found.dictionary.to_pylist()
         if len(self.units) > CACHED_UNITS:
             self.units.clear()
-        new = set().union(*(p for p in parted if p)) - self.words.keys()
-        plain = {w: _UNITS.findall(w.lower()) for w in new if self.by_units and _PLAIN.fullmatch(w) and "<|" not in w}
-        self._learn_units(list({u for us in plain.values() for u in us} - self.units.keys()))
-        unit = self.units.__getitem__
-        self.words.update((w, unit(us[0]) if len(us) == 1 else b"".join(map(unit, us))) for w, us in plain.items())
-        odd = list(new - plain.keys())
-        for w, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, self.dtype).tobytes()
-        get = self.words.__getitem__
-        return [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parted, strict=True)]
+        known = list(map(self.units.get, keys))
+        missing = [i for i, x in enumerate(known) if x is None]
+        new = [keys[i] for i in missing]
+        for k in odd.intersection(new):
+            self.units[k] = self.whole(k.decode())
+        self._learn([k for k in new if k not in odd] if odd else new)
+        for i, k in zip(missing, new, strict=True):
+            known[i] = self.units[k] if len(k) <= LONGEST_UNIT else self.units.pop(k)
+        ids = pa.array(known, pa.binary()).take(found.indices)
+        if not len(ids):
+            return [b""] * len(texts)
+        at = np.frombuffer(ids.buffers()[1], np.int32)[begins].tolist()
+        raw = ids.buffers()[2].to_pybytes()
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def _odd_words(self, joined: bytes, low: np.ndarray, kind: np.ndarray) -> set[bytes]:
+        """Make each word with an odd byte one unit of its own bytes, and return those words."""
+        odd = np.flatnonzero(kind == _ODD)
+        if not len(odd):
+            return set()
+        gaps = np.flatnonzero(kind == _GAP)
+        after = np.unique(np.searchsorted(gaps, odd))
+        ends = gaps[after]
+        starts = np.where(after > 0, gaps[after - 1] + 1, 0)
+        out = set()
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            kind[a:b] = _WORD
+            word = joined[a:b]
+            low[a:b] = np.frombuffer(word, np.uint8)
+            out.add(word)
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -117,7 +191,7 @@ def token_rows(df: DataFrame, tokenizer: str, id_column: str, text_column: str,
         ahead: dict[str, int] = {}
         done = 0
         for batch in slices(batches):
-            ids = [x + end for x in own.encode([t or "" for t in batch.column(1).to_pylist()])]
+            ids = [x + end for x in own.encode_raw(raw_texts(batch))]
             n = [len(x) // own.dtype.itemsize for x in ids]
             before = []
             for q, x in zip(batch.column(2).to_pylist(), n, strict=True):
@@ -269,8 +343,9 @@ def pack(df: DataFrame, tokenizer: str | None = None, targets: dict[str | None,
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and then id 1 (null text: id 1 alone); each id lies in one piece. Windows follow
-    ``targets`` (share by source, in any unit; by default the sources' own token counts, so that all queues end
-    together). With ``schedules`` (a row a source: source, start, end) a source's share of the windows moves over the
+    ``targets`` (share by source, in any unit) until a queue runs dry, whose share then falls to the rest; by default the
+    sources' own token counts, so that every window is a small copy of the whole and all queues end together. The price
+    is that a document is cut wherever a block of ``quantum`` tokens ends. With ``schedules`` (a row a source: source, start, end) a source's share of the windows moves over the
     stream as its schedule does, each block due at its training position, and documents stand ``in_rounds``. A null
     source is a queue of its own; null or repeated ids are packed row by row; other columns are ignored; an empty
     table gives an empty result. Only the last window may be short.
@@ -282,10 +357,10 @@ def pack(df: DataFrame, tokenizer: str | None = None, targets: dict[str | None,
     spark, tokenizer = df.sparkSession, tokenizer or default_tokenizer()
     source = F.col(source_column).cast("string")
     queue = F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
-    closed = schedules is None and df.select(source).distinct().limit(MOST_QUEUES + 1).count() <= MOST_QUEUES
     tokens = materialize(token_rows(df, tokenizer, id_column, text_column, queue), "tokens")
     lined = tokens.withColumn("task", F.col("part")) if schedules is None else in_rounds(tokens)
     sums = materialize(lined.groupBy("task", "queue").agg(F.sum("n").alias("n")), "token-sums")
+    closed = schedules is None and sums.select("queue").distinct().limit(MOST_QUEUES + 1).count() <= MOST_QUEUES
     each = Window.partitionBy("queue")
     base = sums.select("task", "queue", F.coalesce(F.sum("n").over(each.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("n").over(each).alias("total"))
     shares = {"n" if s is None else f"s{s}": v for s, v in (targets or {}).items()}
