@@ -8,6 +8,8 @@ the empty token, which every URL has.
 from __future__ import annotations
 
 import re
+import re._parser as P
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -47,20 +49,58 @@ METHOD = [
 ]
 
 
+_ALNUM = frozenset(range(0x30, 0x3A)) | frozenset(range(0x41, 0x5B)) | frozenset(range(0x61, 0x7B))
+
+
+#: What Spark's patterns read otherwise than Python's parser: classes in classes, boundaries with a kind, octals, quotes.
+_NOT_ALIKE = r"&&|\[[^\]]*\[|\\b\{|\\0|\\Q"
+
+
+def _edge(op, value) -> bool:
+    """Whether an element of a parsed pattern always stands for an end of the text or a character that is in no token."""
+    if op is P.AT:
+        return value in (P.AT_BEGINNING, P.AT_BEGINNING_STRING, P.AT_END, P.AT_END_STRING, P.AT_BOUNDARY)
+    if op is P.IN:
+        return all(o is P.LITERAL and v not in _ALNUM or o is P.RANGE and not _ALNUM & set(range(v[0], min(v[1], 0x7F) + 1)) for o, v in value)
+    return op is P.LITERAL and value not in _ALNUM
+
+
+def _flat(parsed) -> list[tuple]:
+    """The elements that every match passes in order; groups that must match once are opened."""
+    out = []
+    for op, value in parsed:
+        if op is P.SUBPATTERN and not value[1] and not value[2]:
+            out += _flat(value[3])
+        elif op is P.MAX_REPEAT and value[1] == 1 and value[0] == 0 and len(inner := _flat(value[2])) and _edge(*inner[-1]):
+            out.append((None, "ends at an edge"))  # an optional part: left out, the element before stands there
+        else:
+            out.append((op, value))
+    return out
+
+
 def literal_tokens(pattern: str) -> list[str]:
-    """Whole tokens (runs of a-z, 0-9) that every match of the pattern must show; a cautious subset."""
-    p = re.sub(r"^\(\?i\)", "", pattern)
-    if "|" in re.sub(r"\\.|\[[^\]]*\]|\([^()]*\)[?*]?", "", p):
+    """Whole tokens (runs of a-z, 0-9) that every match of the pattern must show; none where the pattern is not understood.
+
+    The pattern is parsed, and only elements that stand in every match count: a token is a run of literals between two
+    elements that are surely no part of a token. Branches, repeats and optional groups end a run without being such an element."""
+    if re.search(_NOT_ALIKE, pattern):
+        return []
+    try:
+        with warnings.catch_warnings(action="ignore"):
+            parsed = P.parse(pattern)
+    except (re.error, OverflowError, RecursionError):
         return []
-    p = re.sub(r"\(\[\^/\]\*\\\.\)\?", "\1", p)  # an optional subdomain ends at a dot
-    p = re.sub(r"\([^()]*\)(\{[^}]*\}|[?*+])?", "\0", p)
-    p = re.sub(r"\[[?&./=-]+\]", "\1", p)
-    p = re.sub(r"\[[^\]]*\](\{[^}]*\}|[?*+])?", "\0", p)
-    p = re.sub(r"\\b|\^|\$", "\1", p)
-    p = re.sub(r"\\[a-zA-Z](\{[^}]*\}|[?*+])?", "\0", p)
-    p = re.sub(r"\\(.)", r"\1", p) if not re.search(r"(?<!\\)\.", p) else re.sub(r"(?<!\\)\.", "\0", p).replace("\\", "")
-    p = re.sub(r".(\{[^}]*\}|[?*+])", "\0", p)
-    return [m[0].lower() for m in re.finditer(r"[A-Za-z0-9]+", p) if m.start() and p[m.start() - 1] != "\0" and m.end() < len(p) and p[m.end()] != "\0"]
+    out: list[str] = []
+    run, open_ = "", False  # what has been read of a token; whether an edge stood before it
+    for op, value in _flat(parsed):
+        if op is P.LITERAL and value in _ALNUM:
+            run += chr(value)
+            continue
+        edge = op is not None and _edge(op, value)
+        if run and open_ and edge:
+            out.append(run.lower())
+        run, open_ = "", edge or op is None and open_ and not run
+    return out
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
