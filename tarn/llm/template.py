@@ -28,7 +28,9 @@ _PARTS = re.compile(r"\{#.*?#\}|\{\{-?.*?-?\}\}|\{%-?.*?-?%\}", re.S)
 _WORDS = re.compile(r"""\s*(?:(?P<string>'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*")|(?P<number>[0-9]+(?:\.[0-9]+)?)|(?P<name>[A-Za-z_][A-Za-z0-9_]*)|(?P<sign>==|!=|<=|>=|[-<>+*/%~|.,()\[\]=]))""")
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 _COMPARE = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
-_SUMS = {"+": operator.add, "-": operator.sub, "*": operator.mul, "/": operator.truediv, "%": operator.mod}
+_SUMS = {"-": operator.sub, "*": operator.mul, "/": operator.truediv, "%": operator.mod}
+#: The longest text that joining may make, and the largest number.
+MOST_TEXT, MOST_NUMBER = 1 << 28, 1 << 63
 _CONSTANTS = {"true": True, "false": False, "none": None}
 FILTERS: dict[str, Callable[[Any], Any]] = {"trim": lambda x: _text(x).strip(), "upper": lambda x: _text(x).upper(), "lower": lambda x: _text(x).lower(), "length": len, "string": lambda x: _text(x)}
 
@@ -37,6 +39,24 @@ def _text(x: Any) -> str:
     return "" if x is None else x if isinstance(x, str) else str(x)
 
 
+def _join(x: str, y: str) -> str:
+    if len(x) + len(y) > MOST_TEXT:
+        raise TemplateError("the text becomes too long")
+    return x + y
+
+
+def _sum(sign: str, x: Any, y: Any) -> Any:
+    """Arithmetic of numbers alone (texts only join), so that no template can make much out of little."""
+    if sign == "+" and isinstance(x, str) and isinstance(y, str):
+        return _join(x, y)
+    if not isinstance(x, (int, float)) or not isinstance(y, (int, float)):
+        raise TemplateError(f"{sign} needs numbers")
+    z = x + y if sign == "+" else _SUMS[sign](x, y)
+    if not -MOST_NUMBER <= z <= MOST_NUMBER:
+        raise TemplateError("the number becomes too large")
+    return z
+
+
 def _lookup(of: Any, key: Any) -> Any:
     """Only mappings and sequences can be looked into."""
     if isinstance(of, Mapping):
@@ -244,6 +264,8 @@ def fold(tree: tuple, filters: Mapping[str, Callable]) -> tuple:
     if all(x[0] == "constant" for x in tree if isinstance(x, tuple)):
         try:
             return "constant", _expression(tree, filters)({})
+        except TemplateError:
+            raise
         except (TypeError, ZeroDivisionError, ValueError):
             return tree
     return tree
@@ -270,10 +292,12 @@ def _expression(tree: tuple, filters: Mapping[str, Callable]) -> Callable[[dict]
         test, yes, no = subs
         return lambda c: yes(c) if test(c) else no(c)
     f, g = subs
-    if kind in ("compare", "sum"):
-        of = (_COMPARE if kind == "compare" else _SUMS)[rest[0]]
+    if kind == "sum":
+        return lambda c: _sum(rest[0], f(c), g(c))
+    if kind == "compare":
+        of = _COMPARE[rest[0]]
         return lambda c: of(f(c), g(c))
-    return {"or": lambda c: f(c) or g(c), "and": lambda c: f(c) and g(c), "in": lambda c: f(c) in (g(c) or ()), "join": lambda c: _text(f(c)) + _text(g(c)), "look": lambda c: _lookup(f(c), g(c))}[kind]
+    return {"or": lambda c: f(c) or g(c), "and": lambda c: f(c) and g(c), "in": lambda c: f(c) in (g(c) or ()), "join": lambda c: _join(_text(f(c)), _text(g(c))), "look": lambda c: _lookup(f(c), g(c))}[kind]
 
 
 def _statements(trees: list[tuple], filters: Mapping[str, Callable]) -> Callable[[dict, bool], Iterator[Piece]]:
