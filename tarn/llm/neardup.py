@@ -23,16 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import map_batches, materialize
+from .storage import Scratch, map_batches, materialize
 from .textops import mix, raw_texts, shingle_sets, slices
 
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
-MARGIN = 4.0
+#: Six standard errors: a pair of similarity 0.8 is dismissed with probability 1e-8, less than what banding loses.
+MARGIN = 6.0
 HUB_ROUNDS = 3
-BLOCK = 256
-#: Ids up to this many (16 MB of them) are broadcast; more are joined by shuffling.
-BROADCAST_IDS = 1_000_000
+#: Rows to a side of a block that compares sketches (some 400 bytes a row), and of one that compares full sets.
+BRIEF_BLOCK, BLOCK = 512, 256
+#: Slim rows up to this many (some 40 MB in memory) are broadcast; more are joined by shuffling.
+BROADCAST_IDS = 400_000
 
 
 def fast_sketches(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
@@ -54,6 +56,10 @@ def fast_sketches(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
     return out.reshape(n, bins)
 
 
+def set_digest(items: bytes) -> bytes:
+    return hashlib.blake2b(items, digest_size=16).digest()
+
+
 def sketch_rows(df: DataFrame, k: int, id_column: str, text_column: str) -> DataFrame:
     """For each row: its id, set size, a digest of the set, band hashes, and the sketch cut to a byte a coordinate."""
 
@@ -73,7 +79,7 @@ def sketch_rows(df: DataFrame, k: int, id_column: str, text_column: str) -> Data
                 short = (mix(sketch) >> np.uint64(56)).astype(np.uint8)
                 for row, i in enumerate(full):
                     bands[i], brief[i] = keyed[row], short[row].tobytes()
-                    digest[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
+                    digest[i] = set_digest(sets[i].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(brief, pa.binary())],
                 ["doc_id", "n_shingles", "digest", "bands", "brief"],
@@ -83,16 +89,24 @@ def sketch_rows(df: DataFrame, k: int, id_column: str, text_column: str) -> Data
     return map_batches(slim, rows, "doc_id long, n_shingles long, digest binary, bands array<long>, brief binary")
 
 
-def shingle_table(df: DataFrame, ids: DataFrame, k: int, id_column: str, text_column: str) -> DataFrame:
-    """(doc_id, items) for the documents in ``ids``; items are the sorted hashes of the full set."""
+def small(df: DataFrame) -> DataFrame:
+    """A materialized table, broadcast if it has few rows; a larger one is joined by shuffling, where Spark splits skewed keys."""
+    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
+
+
+def shingle_table(df: DataFrame, nodes: DataFrame, k: int, id_column: str, text_column: str) -> DataFrame:
+    """(node, items) for the classes in ``nodes`` (node, digest, doc_id); items are the sorted hashes of the full set."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(raw_texts(batch), k)], pa.binary())], ["doc_id", "items"])
+            sets = [s.tobytes() for s in shingle_sets(raw_texts(batch), k)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["digest", "items"])
 
     texts = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return map_batches(texts.join(few, "doc_id", "left_semi"), rows, "doc_id long, items binary")
+    nodes = small(nodes)
+    found = map_batches(texts.join(nodes.select("doc_id"), "doc_id", "left_semi").select("text"), rows, "digest binary, items binary")
+    # rows may repeat a class, or an id with another text
+    return found.join(nodes.select("node", "digest"), "digest").groupBy("node").agg(F.first("items").alias("items"))
 
 
 def alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
@@ -115,70 +129,103 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good[i] = alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["a", "b"])
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
+    left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), rows, "a long, b long")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component): the least node reachable. Least labels spread along links, then each label takes its own label."""
-    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
-    for _ in range(most_rounds):
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component): the least node reachable. Least labels spread along links, then each label takes its own label, until
+    nothing changes."""
+    both = scratch.table(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
+    while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("least"))
         spread = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("component").alias("old"), F.least("component", "least").alias("to"))
         up = labels.select(F.col("node").alias("to"), F.col("component").alias("further"))
-        after = materialize(spread.join(up, "to", "left").select("node", "old", F.least("to", F.coalesce("further", "to")).alias("component")), "labels")
+        after = scratch.table(spread.join(up, "to", "left").select("node", "old", F.least("to", F.coalesce("further", "to")).alias("component")))
         labels = after.select("node", "component")
         if after.filter("old <> component").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def _ordered(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def block_links(entries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links between components of one bucket: members outside its largest component meet the whole bucket in blocks.
-
-    A pair is looked at only in the bucket of the first band that it shares. Sketches dismiss the hopeless pairs, full
-    sets decide the others, and what a block has linked is one component from then on, so that a block gives fewer
-    links than it has rows.
-    """
+def in_blocks(entries: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+    """(key, band, block, turn, node, component, asks, asker): members outside a bucket's largest component meet the whole bucket, ``size``
+    by ``size`` rows to a block."""
     by_component = entries.groupBy("key", "component").agg(F.count("*").alias("n"))
     per_key = by_component.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds")).filter("kinds > 1")
-    per_key = per_key.select("key", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("total") - F.col("top.n")) / BLOCK).cast("int").alias("turns"), F.col("top.component").alias("largest"))
-    sized = entries.join(per_key, "key").withColumn("asks", F.col("component") != F.col("largest"))
-    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    per_key = per_key.select("key", F.ceil(F.col("total") / size).cast("int").alias("blocks"), F.ceil((F.col("total") - F.col("top.n")) / size).cast("int").alias("turns"), F.col("top.component").alias("largest"))
+    sized = entries.join(small(scratch.table(per_key)), "key").withColumn("asks", F.col("component") != F.col("largest"))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     targets = sized.withColumn("block", own("blocks")).withColumn("turn", every("turns")).withColumn("asker", F.lit(False))
     askers = sized.filter("asks").withColumn("turn", own("turns")).withColumn("block", every("blocks")).withColumn("asker", F.lit(True))
-    columns = ["key", "band", "block", "turn", "doc_id", "component", "asks", "asker"]
-    p = percent / 100
-    least = (p - MARGIN * np.sqrt(p * (1 - p) / BINS)) * BINS
+    columns = ["key", "band", "block", "turn", "node", "component", "asks", "asker"]
+    return targets.select(columns).unionByName(askers.select(columns))
+
+
+class Block:
+    """Which rows of a block each asker has to be compared with."""
+
+    def __init__(self, table: pa.Table, percent: int):
+        p = percent / 100
+        self.least = (p - MARGIN * np.sqrt(p * (1 - p) / BINS)) * BINS
+        self.asker, self.asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("asker", "asks"))
+        self.ids, self.of = table.column("node").to_numpy(), table.column("component").to_numpy().copy()
+        self.band = table.column("band")[0].as_py()
+        self.brief = np.frombuffer(b"".join(table.column("brief").to_pylist()), np.uint8).reshape(-1, BINS)
+        self.bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+
+    def hopeful(self, i: int) -> np.ndarray:
+        """Rows of other components whose sketches do not rule row ``i`` out, in the bucket of the first band that the two share."""
+        fit = np.flatnonzero(~self.asker & (self.of != self.of[i]) & (~self.asks | (self.ids > self.ids[i])))
+        fit = fit[np.count_nonzero(self.brief[fit] == self.brief[i], axis=1) >= self.least]
+        return fit[(self.bands[fit] == self.bands[i]).argmax(axis=1) == self.band]
+
+
+def block_links(entries: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links between components of one bucket, (a, b).
+
+    First sketches alone dismiss the hopeless pairs, in large blocks; members that are left fetch their full sets, which
+    decide in small blocks. What a block has linked is one component from then on, so that a block gives fewer links than it has rows.
+    """
+
+    def survivors(table: pa.Table) -> pa.Table:
+        block = Block(table, percent)
+        some = np.zeros(len(block.ids), bool)
+        for i in np.flatnonzero(block.asker):
+            fit = block.hopeful(i)
+            some[fit] = True
+            some[i] = len(fit) > 0
+        return table.select(["key", "node"]).filter(pa.array(some))
 
     def compare(table: pa.Table) -> pa.Table:
-        asker, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("asker", "asks"))
-        ids, of = table.column("doc_id").to_numpy(), table.column("component").to_numpy().copy()
-        band = table.column("band")[0].as_py()
-        brief = np.frombuffer(b"".join(table.column("brief").to_pylist()), np.uint8).reshape(-1, BINS)
-        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        block = Block(table, percent)
         items = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items")]
-        a, b = [], []
-        for i in np.flatnonzero(asker):
-            fit = np.flatnonzero(~asker & (of != of[i]) & (~asks | (ids > ids[i])))
-            fit = fit[np.count_nonzero(brief[fit] == brief[i], axis=1) >= least]
-            fit = fit[(bands[fit] == bands[i]).argmax(axis=1) == band]
-            for j in fit.tolist():
+        a, b, of = [], [], block.of
+        for i in np.flatnonzero(block.asker):
+            for j in block.hopeful(i).tolist():
                 if of[i] != of[j] and alike(items[i], items[j], percent):
-                    a.append(ids[i])
-                    b.append(ids[j])
+                    a.append(block.ids[i])
+                    b.append(block.ids[j])
                     of[of == of[j]] = of[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    rows = targets.select(columns).unionByName(askers.select(columns)).join(members, "doc_id")
-    return rows.groupBy("key", "block", "turn").applyInArrow(compare, "a long, b long")
+    brief = reps.select("node", "bands", "brief")
+    left = in_blocks(entries, BRIEF_BLOCK, scratch).join(brief, "node").groupBy("key", "block", "turn").applyInArrow(survivors, "key long, node long")
+    left = scratch.table(left.distinct())
+    if left.isEmpty():
+        return scratch.table(df_of_links(entries.sparkSession))
+    entries = scratch.table(entries.join(small(left), ["key", "node"], "left_semi"))
+    return scratch.table(in_blocks(entries, BLOCK, scratch).join(brief.join(sets, "node"), "node").groupBy("key", "block", "turn").applyInArrow(compare, "a long, b long").distinct())
+
+
+def df_of_links(spark) -> DataFrame:
+    return spark.createDataFrame([], "a long, b long")
 
 
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -187,48 +234,66 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_column: str
     Words are runs of bytes other than space and \\t..\\r, with A-Z lower-cased; a set holds the distinct k-word
     shingles, the whole sequence where there are fewer words. Null or wordless texts have an empty set and link
     with nothing. Two documents link if 100 * intersection >= percent * union; component_id is the least id
-    reachable. Rows that repeat an id count as one document wherever their texts agree; a null id stays a
-    row of its own (component_id null, kept true). Other columns are ignored; an empty table gives an empty result.
+    reachable. Rows that repeat an id are one document, which links wherever any of its texts does; a null id stays a
+    row of its own (component_id null, kept true) and links nothing. Other columns are ignored; an empty table gives an empty result.
     """
+    spark = df.sparkSession
+    scratch = Scratch(spark, "near")
     rows = materialize(sketch_rows(df, k, id_column, text_column), "sketches")
-    classes = rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "bands", "brief")).alias("m"))
-    reps = materialize(classes.select("digest", "m.doc_id", "m.bands", "m.brief"), "classes")
-
-    entries = reps.select("doc_id", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("key"), "band", "doc_id")
-    sums = [F.sum(F.xxhash64("doc_id", F.lit(i)).cast("decimal(20,0)")).alias(f"sum{i}") for i in range(2)]
-    shared = entries.groupBy("key").agg(F.min("band").alias("band"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), *sums).filter("least < most")
+    known = rows.filter("doc_id is not null")
+    classes = known.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "bands", "brief")).alias("m"))
+    # one number to a class of equal sets; fixed once written
+    reps = scratch.table(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "m.doc_id", "m.bands", "m.brief"))
+
+    entries = reps.select("node", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("key"), "band", "node")
+    sums = [F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(20,0)")).alias(f"sum{i}") for i in range(2)]
+    shared = entries.groupBy("key").agg(F.min("band").alias("band"), F.min("node").alias("least"), F.max("node").alias("most"), *sums).filter("least < most")
     # of buckets with the same members, that of the first band stays
     shared = shared.groupBy("least", "most", "sum0", "sum1").agg(F.min(F.struct("band", "key")).alias("m")).select("m.key")
-    entries = materialize(entries.join(shared, "key", "left_semi").withColumn("component", F.col("doc_id")), "buckets")
-    links = None
+    entries = scratch.table(entries.join(shared, "key", "left_semi").withColumn("component", F.col("node")))
+    found: list[DataFrame] = []
     if not entries.isEmpty():
-        sets = materialize(shingle_table(df, entries.select("doc_id").distinct(), k, id_column, text_column).dropDuplicates(["doc_id"]), "sets")
+        asked = scratch.table(reps.select("node", "digest", "doc_id").join(entries.select("node").distinct(), "node", "left_semi"))
+        sets = scratch.table(shingle_table(df, asked, k, id_column, text_column))
         tried: list[DataFrame] = []
-        found: list[DataFrame] = []
 
         def confirm(pairs: DataFrame) -> DataFrame:
             for t in tried:
                 pairs = pairs.join(t, ["a", "b"], "left_anti")
-            tried.append(pairs := materialize(pairs, "pairs"))
-            found.append(good := materialize(verified(pairs, sets, percent), "links"))
+            tried.append(pairs := scratch.table(pairs))
+            found.append(good := scratch.table(verified(pairs, sets, percent).distinct()))  # few rows in few files
             return good
 
         for turn in range(HUB_ROUNDS):
-            order = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
-            hubs = entries.groupBy("key").agg(F.min(F.struct(order.alias("o"), "doc_id", "component")).alias("hub"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most")
-            open_ = entries.join(hubs.select("key", F.col("hub.doc_id").alias("hub"), F.col("hub.component").alias("of")), "key")
-            good = confirm(open_.filter("component <> of").select(*_ordered(F.col("doc_id"), F.col("hub"))).distinct())
+            order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+            hubs = entries.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "component")).alias("hub"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most")
+            hubs = scratch.table(hubs.select("key", F.col("hub.node").alias("hub"), F.col("hub.component").alias("of")))
+            open_ = entries.join(small(hubs), "key")
+            good = confirm(open_.filter("component <> of").select(*_ordered(F.col("node"), F.col("hub"))).distinct())
             if good.isEmpty():
                 continue
-            joined = components(reduce(DataFrame.unionByName, found))
-            entries = materialize(
-                open_.select("key", "band", "doc_id").join(joined, F.col("doc_id") == F.col("node"), "left").select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("component")), "buckets"
-            )
-        found.append(materialize(block_links(entries, reps.select("doc_id", "bands", "brief").join(sets, "doc_id"), percent), "links"))
-        links = reduce(DataFrame.unionByName, found)
-    of = reps.select("digest", F.col("doc_id").alias("rep"))
-    if links is not None and not links.isEmpty():
-        of = of.join(components(links), F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    else:
-        of = of.withColumnRenamed("rep", "component")
-    return rows.select("doc_id", "n_shingles", "digest").join(of, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+            joined = components(reduce(DataFrame.unionByName, found), scratch).withColumnRenamed("component", "now")
+            entries = scratch.table(open_.select("key", "band", "node").join(small(joined), "node", "left").select("key", "band", "node", F.coalesce("now", "node").alias("component")))
+        found.append(block_links(entries, reps, sets, percent, scratch))
+    # rows of one id with different texts are one document
+    again = known.groupBy("doc_id").agg(F.min("digest").alias("first"), F.max("digest").alias("last"), F.max(F.isnull("digest")).alias("blank")).filter("first <> last or blank and first is not null")
+    again = scratch.table(again.select("doc_id", "first"))
+    placed = rows.select("doc_id", "n_shingles", "digest")
+    if not again.isEmpty():
+        number = reps.select("digest", "node")
+        texts = known.select("doc_id", "digest").join(small(again), "doc_id").filter("digest <> first").distinct()
+        found.append(scratch.table(texts.join(number, "digest").select("first", F.col("node").alias("a")).join(number.toDF("first", "b"), "first").select("a", "b").filter("a <> b")))
+        placed = placed.join(small(again), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("digest", "first").alias("digest"))
+    of = reps.select("digest", F.col("doc_id").alias("component_id"))
+    links = reduce(DataFrame.unionByName, found) if found else df_of_links(spark)
+    if not links.isEmpty():
+        labels = scratch.table(components(links, scratch).join(reps.select("node", "digest", "doc_id"), "node").select("digest", "doc_id", "component"))
+        least = labels.groupBy("component").agg(F.min("doc_id").alias("least"))
+        linked = labels.join(least, "component").select("digest", "least")
+        of = of.join(linked, "digest", "left").select("digest", F.coalesce("least", "component_id").alias("component_id"))
+    of = materialize(of, "components")
+    out = placed.join(of, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    if not again.isEmpty():
+        out = materialize(out, "near-duplicates")  # reads ``again``, which goes
+    scratch.drop()
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

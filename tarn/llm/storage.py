@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -41,6 +43,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` with batches bounded by bytes, not by rows alone; a worker gives freed memory back after each task."""
     spark = df.sparkSession
@@ -49,17 +58,26 @@ def map_batches(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterat
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows(batches)
-        pa.default_memory_pool().release_unused()
+        release()
 
     return df.mapInArrow(bounded, schema)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a materialized table that no later plan reads."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tarn-" in file:
-            _delete(spark, file)
+class Scratch:
+    """Tables of one computation; ``drop`` deletes them all once no later plan reads them."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.made = spark, new_path(spark, name), 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """``materialize`` into this folder."""
+        self.made += 1
+        path = f"{self.path}/{self.made}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        _delete(self.spark, self.path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 _R = 0x9E3779B97F4A7C15 | 1
+#: Word hashes are keyed, so that no one can write words that collide under another key.
+KEY = 0x1B873593CC9E2D51
+#: Longer words, in bytes, are hashed one by one.
+LONG_WORD = 256
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_POWERS = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        size = max(n, 2 * len(_POWERS), 64)
-        with np.errstate(over="ignore"):
-            _POWERS = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, _R, np.uint64))])
-    return _POWERS
+#: Of eight bytes, the first n.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,26 +28,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes], gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], gap: np.ndarray = _SPACE, key: int = KEY) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, and where each text's words begin (one more entry at the end).
 
-    ``gap`` marks the bytes between words; it must hold the newline, which parts the texts."""
-    buffer = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    inside = ~gap[buffer]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    starts = np.flatnonzero(first)
+    ``gap`` marks the bytes between words; it must hold the newline, which parts the texts. Words are mixed eight bytes
+    at a time, each step through a bijection, so that words of one length differ after any differing step but by chance."""
+    raw = b"\n".join(texts) + b"\n"
+    inside = ~gap[np.frombuffer(raw, np.uint8)]
+    edge = inside.copy()
+    edge[1:] ^= inside[:-1]
+    edges = np.flatnonzero(edge)
+    starts, length = edges[0::2], edges[1::2] - edges[0::2]
     bounds = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=bounds[1:])
     begins = np.searchsorted(starts, bounds)
     if not len(starts):
         return np.empty(0, np.uint64), begins
-    spread = np.diff(np.append(starts, len(buffer)))
-    place = np.arange(starts[0], len(buffer)) - np.repeat(starts, spread)
-    body = buffer[starts[0] :]
-    values = (body.astype(np.uint64) + np.uint64(1)) * powers(int(spread.max()) + 1)[place]
-    values[~inside[starts[0] :]] = 0
-    return mix(np.add.reduceat(values, starts - starts[0])), begins
+    eight = np.ndarray(len(raw), "<u8", raw + bytes(8), strides=(1,))
+    seed = np.uint64(key) + length.astype(np.uint64) * np.uint64(_R)
+    out = mix(seed ^ mix(eight[starts] & _FIRST[np.minimum(length, 8)]))
+    more, at = np.flatnonzero((length > 8) & (length <= LONG_WORD)), 8
+    while len(more):
+        part = eight[starts[more] + at] & _FIRST[np.minimum(length[more] - at, 8)]
+        out[more] = mix(out[more] * np.uint64(_R) + mix(part ^ seed[more]))
+        at += 8
+        more = more[length[more] > at]
+    for i in np.flatnonzero(length > LONG_WORD):
+        word = raw[starts[i] : starts[i] + length[i]]
+        out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=key.to_bytes(8, "little")).digest(), "little")
+    return out, begins
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
