@@ -3,8 +3,9 @@
 For each language a context tree counts which byte followed each context of up to three bytes in learning texts.
 A byte's probability in a context is its count over (count of all + distinct bytes); what is left is the escape
 probability, with which the next shorter context decides, down to one in 256. Statistics are frozen after learning,
-so the code length of a byte depends on the three bytes before it alone: trees are compiled into one table, and a
-text's exact code length under every language is a sum of lookups. The shortest code wins.
+so the code length of a byte depends on the three bytes before it alone, and a text's exact code length under every
+language is the sum over its four-byte grams. Each distinct gram of a batch walks the trees once. The shortest
+code wins; how far it is beyond what texts of that language cost tells texts of other languages and junk.
 """
 
 from __future__ import annotations
@@ -26,160 +27,184 @@ from .textops import raw_texts, slices
 ORDER = 3
 #: So many characters of each language are learned from, or all that it has: its distinct texts in the order of a hash, the last one cut.
 LEARN_CHARS = 1_500_000
-#: Bytes that are told apart, and contexts of three bytes that are kept, over all languages: the commonest ones.
-MOST_BYTES = 120
-MOST_CONTEXTS = 40_000
-#: The most languages one model tells apart; learning from more fails.
-MOST_LANGUAGES = 64
+#: The same for all languages together: with many, each has an equal part of it. This bounds the model.
+ALL_CHARS = 8_000_000
+#: A text costs too much beyond so many times what texts of its language cost a byte, and so many bits; then the score halves with each half bit a byte.
+MOST_TIMES, FREE_BITS = 2.0, 64.0
 UNDETERMINED = "und"
 _FOLD = bytes(range(256)).lower().translate(bytes.maketrans(b"123456789\t\r\x0b\x0c ", b"000000000\n\n\n\n\n"))
 _LETTER = regex.compile(r"\p{L}")
 
 
+class Tree:
+    """Counts of (k + 1)-byte grams of all languages, k = 0 to ORDER: sorted keys (language, gram), and what is known of each context."""
+
+    def __init__(self, lang: np.ndarray, code: np.ndarray, n: np.ndarray):
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        for k in range(ORDER + 1):
+            bits = 8 * (k + 1)
+            keys, at = np.unique(lang.astype(np.int64) << bits | code & ((1 << bits) - 1), return_inverse=True)
+            counts = np.bincount(at, n, len(keys))
+            contexts, first = np.unique(keys >> 8, return_index=True)
+            seen, kinds = (np.add.reduceat(counts, first), np.diff(np.append(first, len(keys)))) if len(keys) else (counts, counts)
+            self.levels.append((keys, counts, contexts, np.log2(seen + kinds), np.log2(kinds)))
+
+    def costs(self, lang: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each gram after the others, under the language beside it."""
+        out = np.zeros(len(code))
+        left = np.arange(len(code))
+        for k in range(ORDER, -1, -1):
+            keys, counts, contexts, total, kinds = self.levels[k]
+            if not len(keys):
+                break
+            bits = 8 * (k + 1)
+            key = lang[left].astype(np.int64) << bits | code[left] & ((1 << bits) - 1)
+            at = np.minimum(np.searchsorted(contexts, key >> 8), len(contexts) - 1)
+            known = contexts[at] == key >> 8
+            of = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[of] == key
+            out[left[hit]] += total[at[hit]] - np.log2(counts[of[hit]])
+            escaped = known & ~hit
+            out[left[escaped]] += total[at[escaped]] - kinds[at[escaped]]
+            left = left[~hit]
+        out[left] += 8.0
+        return out
+
+
 @dataclass
 class Model:
-    """Gram counts: ``grams[k]`` are (k + 1)-byte grams as class numbers in base ``width``, with a row of counts by language."""
+    """``usual``: bits a byte that texts of each language cost under counts of other texts of it."""
 
     languages: list[str]
-    classes: np.ndarray
-    width: int
-    grams: list[tuple[np.ndarray, np.ndarray]]
+    tree: Tree
+    usual: np.ndarray
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
-#: Contexts whose costs are computed at once.
-_AT_ONCE = 2048
-_COMPILED: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def compiled(model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each three-byte context, code lengths in bits [row * width + byte, language])."""
-    if model.name in _COMPILED:
-        return _COMPILED[model.name]
-    w, n = model.width, len(model.languages)
-    index = np.zeros(1, np.int32)
-    rows = [np.full((1, w, n), 8.0)]  # what a shorter context than none costs
-    total = 0
-    for k, (codes, counts) in enumerate(model.grams):
-        contexts, at = np.unique(codes // w, return_inverse=True)
-        below = index[contexts % max(1, w ** max(0, k - 1))] if k else np.zeros(1, np.int32)
-        shorter = np.concatenate(rows)
-        costs = np.empty((len(contexts), w, n), np.float32 if k == ORDER else np.float64)  # nothing falls back on the deepest level
-        for a in range(0, len(contexts), _AT_ONCE):
-            b = min(a + _AT_ONCE, len(contexts))
-            some = slice(*np.searchsorted(at, [a, b]))
-            table = np.zeros((b - a, w, n))
-            table[at[some] - a, codes[some] % w] = counts[some]
-            seen, kinds = table.sum(axis=1, keepdims=True), (table > 0).sum(axis=1, keepdims=True)
-            known = seen > 0
-            base = np.where(known, seen + kinds, 1)
-            costs[a:b] = np.where(table > 0, -np.log2(np.where(table > 0, table, 1) / base), np.where(known, -np.log2(np.where(known, kinds, 1) / base), 0) + shorter[below[a:b]])
-        if k == 0:
-            rows, index = [costs], np.zeros(1, np.int32)
-            total = 1
-        else:
-            deeper = np.tile(index, w) if k > 1 else np.zeros(w, np.int32)
-            deeper[contexts] = total + np.arange(len(contexts))
-            rows.append(costs)
-            total += len(contexts)
-            index = deeper.astype(np.int32)
-    table = np.concatenate([r.astype(np.float32, copy=False) for r in rows]).reshape(-1, n)
-    _COMPILED.clear()
-    _COMPILED[model.name] = index, table
-    return index, table
+#: Grams looked up at once, times languages; and bytes of costs that a worker keeps.
+_AT_ONCE, _KEPT_BYTES = 1 << 20, 32_000_000
+_KNOWN: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def gram_costs(model: Model, codes: np.ndarray) -> np.ndarray:
+    """[gram, language] for sorted distinct grams."""
+    n = len(model.languages)
+    out = np.empty((len(codes), n), np.float32)
+    step = max(1, _AT_ONCE // n)
+    for a in range(0, len(codes), step):
+        some = codes[a : a + step]
+        out[a : a + step] = model.tree.costs(np.tile(np.arange(n), len(some)), np.repeat(some.astype(np.int64), n)).reshape(-1, n)
+    return out
+
+
+def kept_costs(model: Model, codes: np.ndarray) -> np.ndarray:
+    """The same, from what this worker has looked up before as far as that goes."""
+    n = len(model.languages)
+    if model.name not in _KNOWN or len(_KNOWN[model.name][0]) * (4 * n + 4) > _KEPT_BYTES:
+        _KNOWN.clear()
+        _KNOWN[model.name] = np.empty(0, np.uint32), np.empty((0, n), np.float32)
+    known, costs = _KNOWN[model.name]
+    at = np.searchsorted(known, codes)
+    new = np.ones(len(codes), bool)
+    if len(known):
+        new = known[np.minimum(at, len(known) - 1)] != codes
+    if new.any():
+        known, costs = np.insert(known, at[new], codes[new]), np.insert(costs, at[new], gram_costs(model, codes[new]), axis=0)
+        _KNOWN[model.name] = known, costs
+        at = np.searchsorted(known, codes)
+    return costs[at]
+
+
+def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Four-byte grams, one a byte of text (after three bytes of padding before each), and where each text's begin, with one more entry."""
+    pad = b"\n" * ORDER
+    x = np.frombuffer(b"".join(pad + t.translate(_FOLD) for t in texts), np.uint8)
+    bounds = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) for t in texts], out=bounds[1:])
+    if len(x) <= ORDER:
+        return np.empty(0, np.uint32), bounds
+    code = x[:-3].astype(np.uint32) << 24 | x[1:-2].astype(np.uint32) << 16 | x[2:-1].astype(np.uint32) << 8 | x[3:]
+    ends = bounds[1:-1] + ORDER * np.arange(len(texts) - 1)  # between two texts lie grams that end in the padding
+    whole = np.ones(len(code), bool)
+    for j in range(ORDER):
+        whole[ends + j] = False
+    return code[whole], bounds
 
 
 def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
     """Bits of each text under each language."""
-    index, table = compiled(model)
-    w = model.width
-    pad = b"\n" * ORDER
-    folded = [pad + t.translate(_FOLD) for t in texts]
-    x = model.classes[np.frombuffer(b"".join(folded), np.uint8)]
-    context = (x[:-3] * w + x[1:-2]) * w + x[2:-1] if len(x) > ORDER else np.empty(0, np.int64)
-    bits = table[index[context].astype(np.int64) * w + x[3:]]
-    ends = np.cumsum([len(t) for t in folded])
     out = np.zeros((len(texts), len(model.languages)))
-    begins = ends - [len(t) for t in folded]
-    some = np.array([len(t) > 0 for t in texts], bool)
-    if some.any():
-        # between two texts lie the ORDER bytes of padding, whose costs are not counted
-        marks = np.empty(2 * int(some.sum()), np.int64)
-        marks[0::2] = begins[some]
-        marks[1::2] = ends[some] - ORDER
-        out[some] = np.add.reduceat(np.concatenate([bits, np.zeros((1, bits.shape[1]), bits.dtype)]), marks, axis=0, dtype=np.float64)[0::2]
+    codes, bounds = grams_of(texts)
+    if len(codes):
+        told = pa.array(codes).dictionary_encode()
+        distinct = told.dictionary.to_numpy()
+        order = np.argsort(distinct)
+        costs = np.empty((len(distinct), len(model.languages)), np.float32)
+        costs[order] = kept_costs(model, distinct[order])
+        some = np.diff(bounds) > 0
+        out[some] = np.add.reduceat(costs[told.indices.to_numpy()], bounds[:-1][some], axis=0, dtype=np.float64)
     return out
 
 
-def last_draws(rows: DataFrame, chars: int) -> dict[str, tuple[int, int]]:
-    """From (lang, text, draw): for each language the greatest draw that is learned, and how many characters of its text.
+def last_draws(texts: DataFrame, chars: int) -> DataFrame:
+    """From (lang, draw, n, range): for each language the greatest draw that is learned, and how many characters of its text. A row a language.
 
-    Draws are summed in ranges first, so that only one range a language is looked at text by text; at most MOST_LANGUAGES + 1 languages."""
-    texts = materialize(rows.groupBy("lang", "draw").agg(F.max(F.length("text")).cast("long").alias("n")).withColumn("range", F.shiftright("draw", 52)), "draws")
+    Draws are summed in ranges first, so that only one range a language is looked at text by text."""
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = texts.groupBy("lang", "range").agg(F.sum("n").alias("n")).withColumn("before", before(Window.partitionBy("lang").orderBy("range")))
-    reached = ranges.filter(F.col("before") < chars).groupBy("lang").agg(F.max(F.struct("range", "before")).alias("at")).select("lang", "at.*").orderBy("lang").limit(MOST_LANGUAGES + 1)
-    inside = texts.join(F.broadcast(reached), ["lang", "range"]).withColumn("left", chars - F.col("before") - before(Window.partitionBy("lang").orderBy("draw")))
-    found = inside.filter("left > 0").groupBy("lang").agg(F.max(F.struct("draw", "left")).alias("last")).select("lang", "last.*").collect()
-    return {r["lang"]: (r["draw"], r["left"]) for r in found}
+    reached = ranges.filter(F.col("before") < chars).groupBy("lang").agg(F.max(F.struct("range", "before")).alias("at")).select("lang", "at.*")
+    inside = texts.join(reached, ["lang", "range"]).withColumn("left", chars - F.col("before") - before(Window.partitionBy("lang").orderBy("draw")))
+    return inside.filter("left > 0").groupBy("lang").agg(F.max(F.struct("draw", "left")).alias("last")).select("lang", F.col("last.draw").alias("last"), F.col("last.left").cast("int").alias("left"))
 
 
-def learn(df: DataFrame, language_column: str = "lang", text_column: str = "text", chars: int = LEARN_CHARS) -> Model:
+def learn(df: DataFrame, language_column: str = "lang", text_column: str = "text", chars: int = LEARN_CHARS, all_chars: int = ALL_CHARS) -> Model:
     """Gram counts over a bounded sample of the labelled rows; rows without language or text teach nothing.
 
-    Every labelled language is learned from ``chars`` characters of its distinct texts, or from all if it has fewer; copies teach
-    once. The model is bounded whatever the input: ``MOST_CONTEXTS`` contexts of three bytes, and all shorter ones over
-    ``MOST_BYTES`` byte classes. More than ``MOST_LANGUAGES`` languages raise ValueError.
+    Every labelled language is learned, from ``chars`` characters of its distinct texts, or from all if it has fewer; copies teach
+    once. If there are so many languages that this would pass ``all_chars``, each has an equal part of those. So the model has at
+    most ``all_chars`` characters' grams, whatever the input. Nothing else is left out: all bytes and contexts count.
     """
     rows = df.select(F.col(language_column).cast("string").alias("lang"), F.col(text_column).cast("string").alias("text")).filter("lang is not null and text <> ''").withColumn("draw", F.xxhash64("text"))
-    last = last_draws(rows, chars)
-    if len(last) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} labelled languages")
-    languages = sorted(last)
-    if not languages:
-        return Model([], np.zeros(256, np.int64), 1, [])
-    of = lambda i: F.element_at(F.create_map(*[F.lit(v) for lang, x in last.items() for v in (lang, x[i])]), F.col("lang"))
-    picked = rows.filter(F.col("draw") <= of(0)).groupBy("lang", "draw").agg(F.min("text").alias("text"))
-    picked = picked.select("lang", F.when(F.col("draw") == of(0), F.substring("text", F.lit(1), of(1).cast("int"))).otherwise(F.col("text")).alias("text"))
+    texts = materialize(rows.groupBy("lang", "draw").agg(F.max(F.length("text")).cast("long").alias("n")).withColumn("range", F.shiftright("draw", 52)), "draws")
+    n = texts.select("lang").distinct().count()
+    if not n:
+        return Model([], Tree(*[np.empty(0, np.int64)] * 3), np.empty(0))
+    last = materialize(last_draws(texts, min(chars, max(1, all_chars // n))), "last-draws")
+    languages = [r["lang"] for r in last.select("lang").orderBy("lang").collect()]  # a row a language
+    number = {x: i for i, x in enumerate(languages)}
+    picked = rows.join(F.broadcast(last), "lang").filter(F.col("draw") <= F.col("last"))  # a row a language
+    picked = picked.groupBy("lang", "draw").agg(F.min("text").alias("text"), F.first("last").alias("last"), F.first("left").alias("left"))
+    picked = picked.select("lang", F.pmod("draw", F.lit(2)).cast("int").alias("half"), F.when(F.col("draw") == F.col("last"), F.substring("text", F.lit(1), F.col("left"))).otherwise(F.col("text")).alias("text"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4_000_000):
-            names = np.array(batch.column(0).to_pylist(), object)
-            texts = raw_texts(batch)
-            for lang in dict.fromkeys(names):
-                pad = b"\n" * ORDER
-                data = np.frombuffer(b"".join(pad + t.translate(_FOLD) for t, x in zip(texts, names, strict=True) if x == lang), np.uint8).astype(np.int64)
-                code, counts = np.unique(((data[:-3] * 256 + data[1:-2]) * 256 + data[2:-1]) * 256 + data[3:], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(counts.astype(np.int64))], ["lang", "code", "n"])
-
-    counted = materialize(map_batches(picked, grams, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "grams")
-    byte = counted.groupBy((F.col("code") % 256).alias("byte")).agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "byte").limit(MOST_BYTES).collect()
-    kept = sorted({r["byte"] for r in byte} | {10})
-    classes = np.zeros(256, np.int64)
-    classes[kept] = np.arange(1, len(kept) + 1)
-    width = len(kept) + 1
-    # a gram whose context is not kept still counts in the shorter contexts; most contexts of one gram hold nothing to learn
-    common = counted.groupBy(F.expr("code div 256").alias("context")).agg(F.sum("n").alias("m")).filter("m > 1").orderBy(F.col("m").desc(), "context").limit(MOST_CONTEXTS).select("context")
-    long_grams = counted.join(F.broadcast(common), F.expr("code div 256") == F.col("context")).select("lang", "code", "n")  # at most MOST_CONTEXTS longs
-    number = {x: i for i, x in enumerate(languages)}
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    for k in range(ORDER + 1):
-        source = long_grams if k == ORDER else counted.groupBy("lang", (F.col("code") % 256 ** (k + 1)).alias("code")).agg(F.sum("n").alias("n"))
-        got = source.toArrow()  # bounded by languages, byte classes and kept contexts
-        raw = got.column("code").to_numpy()
-        code = np.zeros(len(raw), np.int64)
-        for j in range(k, -1, -1):
-            code = code * width + classes[raw >> (8 * j) & 255]
-        which = np.array([number.get(x, -1) for x in got.column("lang").to_pylist()])
-        keys, at = np.unique(code, return_inverse=True)
-        counts = np.zeros((len(keys), len(languages)))
-        np.add.at(counts, (at[which >= 0], which[which >= 0]), got.column("n").to_numpy()[which >= 0])
-        out.append((keys, counts))
-    return Model(languages, classes, width, out)
+            names, halves, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch)
+            for lang, half in dict.fromkeys(zip(names, halves, strict=True)):
+                code, counts = np.unique(grams_of([t for t, x, h in zip(texts, names, halves, strict=True) if (x, h) == (lang, half)])[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([number[lang]] * len(code), pa.int32()), pa.array([half] * len(code), pa.int32()), pa.array(code.astype(np.int64)), pa.array(counts.astype(np.int64))], ["lang", "half", "code", "n"])
+
+    counted = materialize(map_batches(picked, grams, "lang int, half int, code long, n long").groupBy("lang", "half", "code").agg(F.sum("n").alias("n")), "grams")
+    got = counted.orderBy("lang", "half", "code").toArrow()  # at most ``all_chars`` characters' grams
+    lang, half, code, count = (got.column(c).to_numpy() for c in ("lang", "half", "code", "n"))
+    return Model(languages, Tree(lang, code, count), usual_bits(lang, half, code, count, len(languages)))
+
+
+def usual_bits(lang: np.ndarray, half: np.ndarray, code: np.ndarray, n: np.ndarray, languages: int) -> np.ndarray:
+    """Bits a byte of each language's texts of either half under the counts of the other; where there is no other, the most of any language."""
+    bits, size = np.zeros(languages), np.zeros(languages)
+    for h in range(2):
+        own = half == h
+        both = own & np.isin(lang, lang[~own])
+        cost = Tree(lang[~own], code[~own], n[~own]).costs(lang[both], code[both])
+        bits += np.bincount(lang[both], n[both] * cost, languages)
+        size += np.bincount(lang[both], n[both], languages)
+    usual = np.divide(bits, size, out=np.zeros(languages), where=size > 0)
+    return np.where(size > 0, usual, usual.max(initial=0) or 8.0)
 
 
 def predict(df: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """``df`` with lang_pred and score (the best language's share of the probability that all give to the text).
+    """``df`` with lang_pred and score: the best language's share of the probability that all give to the text, halved for each
+    half bit a byte that the text costs beyond ``MOST_TIMES`` what texts of that language usually do (and ``FREE_BITS``).
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything under a model without languages.
     Rows are judged alone and whole. Columns of ``df`` by these names are replaced; others stay.
@@ -187,19 +212,23 @@ def predict(df: DataFrame, model: Model, text_column: str = "text") -> DataFrame
     df = df.drop("lang_pred", "score")
     names = [f.name for f in df.schema.fields]
     at = names.index(text_column)
-    held = df.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_CONTEXTS, MOST_BYTES and MOST_LANGUAGES
+    held = df.sparkSession.sparkContext.broadcast(model)  # bounded by ALL_CHARS
     schema = StructType([*df.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for batch in slices(batches, text_column, 1_000_000):
+        for batch in slices(batches, text_column, 2_000_000):
             texts = batch.column(at).to_pylist()
             lettered = np.array([bool(t and _LETTER.search(t)) for t in texts])
             pred, score = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
             if m.languages and lettered.any():
-                bits = code_lengths(m, [t for t, x in zip(raw_texts(batch, text_column), lettered, strict=True) if x])
-                pred[lettered] = np.array(m.languages, object)[bits.argmin(axis=1)]
-                score[lettered] = 1 / np.exp2(-np.minimum(bits - bits.min(axis=1, keepdims=True), 1000)).sum(axis=1)
+                raw = [t for t, x in zip(raw_texts(batch, text_column), lettered, strict=True) if x]
+                bits = code_lengths(m, raw)
+                best, least = bits.argmin(axis=1), bits.min(axis=1)
+                pred[lettered] = np.array(m.languages, object)[best]
+                share = 1 / np.exp2(-np.minimum(bits - least[:, None], 1000)).sum(axis=1)
+                over = (least - FREE_BITS) / [len(t) for t in raw] - MOST_TIMES * m.usual[best]
+                score[lettered] = share * np.exp2(-2 * np.maximum(over, 0))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(pred), pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
     return map_batches(df, rows, schema)
