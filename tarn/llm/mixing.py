@@ -3,8 +3,9 @@
 A source's target is its share of all words by weight, at most ``most`` times its own words; what that cuts off is
 shared again by weight among the others. Within a source, documents stand in the order of a hash; whole rounds
 take every document, and a last round takes the first ones until the target is met. Each source has a weight
-schedule over training time that runs linearly from its start to its end value: the integral of that schedule,
-inverted at a document's share of its source's taken words, is the document's training position.
+schedule over training time that runs linearly from its start to its end value and is scaled so that its integral is the
+source's target. A document's share of its source's taken words, through the inverted integral, is its training position,
+each time that it is taken; so at any time the sources share the words in proportion to their schedules.
 """
 
 from __future__ import annotations
@@ -62,18 +63,19 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, most:
 
 
 def mix_sources(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", keep_text: bool = False) -> DataFrame:
-    """One row per row of ``df``, in training order: doc_id, size, source_size, target, taken, position.
+    """One row per row of ``df``, in the order of first positions: doc_id, size, source_size, target, taken, position, positions.
 
     ``size`` counts words (null text: 0); ``taken`` is whole rounds times the size, plus the part of the last round
     that falls on the document (a cut falls on one document a source), so a source's taken words are its target
-    rounded down. A null source is a source, last in order; null or repeated ids are ordered by size. With
-    ``keep_text`` all columns of ``df`` stay, except that the results replace columns of the same names. An empty
-    table gives an empty result. ``position`` is null where nothing is taken.
+    rounded down. ``positions`` has one for each round that takes the document, ``position`` the first; null where nothing is
+    taken. A null source is a source, last in order; rows with a null id are ordered by a hash of their text, rows that repeat an
+    id by size. With ``keep_text`` all columns of ``df`` stay, except that the results replace columns of the same names. An empty
+    table gives an empty result. Sources are put in order by one task, a row a source.
     """
     size = F.coalesce(F.regexp_count(F.col(text_column).cast("string"), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
-    clash = {"size", "source_size", "target", "taken", "position"}
+    clash = {"size", "source_size", "target", "taken", "position", "positions"}
     rest = [c for c in df.columns if c not in clash] if keep_text else ["doc_id"]
-    key = F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")))
+    key = F.md5(F.coalesce(F.col(id_column).cast("string"), F.col(text_column).cast("string"), F.lit("")))
     own = {"__source": F.col(source_column), "size": size, "__key": key, "__id": F.col(id_column)}
     rows = df.withColumns(own if keep_text else own | {"doc_id": F.col(id_column)}).select(*rest, *own)
     slim = rows if not keep_text else rows.select(*own)
@@ -94,10 +96,11 @@ def mix_sources(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     placed = placed.withColumns({"__start": F.col("ahead") + F.col("__within"), "__goal": F.floor("target").cast("long")})
     rounds = F.when(F.col("source_size") > 0, F.expr("__goal div source_size")).otherwise(F.lit(0))
     placed = placed.withColumn("__rounds", rounds).withColumn("__last", F.col("__goal") - F.col("__rounds") * F.col("source_size"))
-    taken = F.col("__rounds") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("__last") - F.col("__start")))
-    before = F.col("__rounds") * F.col("__start") + F.least(F.col("__start"), F.col("__last"))
-    placed = placed.withColumn("taken", taken.cast("long"))
-    placed = placed.withColumn("position", F.when(F.col("taken") > 0, position(before.cast("double") / F.col("__goal"), F.col("start"), F.col("end"))))
-    out = placed.select(*rest, "size", "source_size", "target", "taken", "position", F.col("__key").alias("__tie"))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__last") - F.col("__start")))
+    placed = placed.withColumns({"taken": (F.col("__rounds") * F.col("size") + part).cast("long"), "__times": F.col("__rounds") + F.when(part > 0, 1).otherwise(0)})
+    ahead = lambda r: (r * F.col("source_size") + F.col("__start")).cast("double") / F.col("__goal")
+    each = F.transform(F.sequence(F.lit(0), F.col("__times").cast("int") - 1), lambda r: position(ahead(r), F.col("start"), F.col("end")))
+    placed = placed.withColumn("positions", F.when(F.col("taken") > 0, each)).withColumn("position", F.get("positions", F.lit(0)))
+    out = placed.select(*rest, "size", "source_size", "target", "taken", "position", "positions", F.col("__key").alias("__tie"))
     order = [F.col("position").asc_nulls_last(), F.col("__tie")]
     return out.repartitionByRange(*order).sortWithinPartitions(*order).drop("__tie")

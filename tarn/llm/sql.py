@@ -39,7 +39,7 @@ SELECT page_id, host, path, rule, coalesce(action, CASE WHEN bad THEN 'block' EL
 """
 
 OP9 = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS k FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS nth FROM s0),
 s2 AS (SELECT *, 1 + nth % 3 AS weight, 3 * source_size AS cap, [3.0, 1.0, 1.0][1 + nth % 3] AS a, [1.0, 1.0, 3.0][1 + nth % 3] AS b FROM s1),
@@ -52,8 +52,11 @@ p AS (SELECT d.*, g.source_size, g.target, g.goal, g.a, g.b, CASE WHEN g.source_
   CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS st
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
 q AS (SELECT *, goal - rounds * source_size AS last FROM p),
-r AS (SELECT *, rounds * size + greatest(0, least(size, last - st)) AS taken, CAST(rounds * st + least(st, last) AS DOUBLE) / goal AS u FROM q)
+r AS (SELECT *, rounds * size + greatest(0, least(size, last - st)) AS taken, rounds + CASE WHEN greatest(0, least(size, last - st)) > 0 THEN 1 ELSE 0 END AS times FROM q),
+v AS (SELECT *, CAST(st AS DOUBLE) / goal AS u1, CAST(source_size + st AS DOUBLE) / goal AS u2, CAST(2 * source_size + st AS DOUBLE) / goal AS u3 FROM r)
 SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
-  CASE WHEN taken > 0 THEN CASE WHEN a = b THEN u ELSE (sqrt(a * a + (b - a) * (a + b) * u) - a) / (b - a) END END AS position
-FROM r
+  CASE WHEN taken > 0 AND times >= 1 THEN CASE WHEN a = b THEN u1 ELSE (sqrt(a * a + (b - a) * (a + b) * u1) - a) / (b - a) END END AS position,
+  CASE WHEN taken > 0 AND times >= 2 THEN CASE WHEN a = b THEN u2 ELSE (sqrt(a * a + (b - a) * (a + b) * u2) - a) / (b - a) END END AS position_2,
+  CASE WHEN taken > 0 AND times >= 3 THEN CASE WHEN a = b THEN u3 ELSE (sqrt(a * a + (b - a) * (a + b) * u3) - a) / (b - a) END END AS position_3
+FROM v
 """
