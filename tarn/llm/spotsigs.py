@@ -2,18 +2,20 @@
 
 A word is a run of ASCII letters, digits or bytes of longer characters, with A-Z lower-cased. From every anchor (a
 common word) the next ``CHAIN`` content words make a signature; the set of a text's signatures is its fingerprint.
-Likeness is the Jaccard similarity of two sets, pruned by their sizes. ``matches`` finds all pairs of like fingerprints:
-sets are partitioned by length so that only neighbouring partitions can hold a match.
+Likeness is the Jaccard similarity of two sets. Sets are partitioned by length so that only sets of the same or of neighbouring
+partitions can be alike; others are pruned without counting. ``fingerprints`` compares two given pairs a document that
+way, ``matches`` finds all pairs of like fingerprints.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ ANCHORS = (
     "al como con del el esta fue ha la las lo los más no para pero por su sus una y"
 ).split()
 CHAIN = 2
+#: A likeness below this is 0; it sets how wide the partitions of lengths are.
+LEAST = 0.05
 #: Ranges of ids to a task, which even out what hashing deals to each.
 RANGES = 8
 _GAP = np.ones(256, bool)
@@ -76,15 +80,21 @@ def decode(fingerprint: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(fingerprint), "<u4")
 
 
-def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
-    """Jaccard similarity; 0 without counting where the sizes alone keep it under ``least``. Two empty sets are alike."""
+def level(n: int, least: float) -> int:
+    """The partition of a set of ``n`` signatures: sets whose likeness reaches ``least`` are at most one apart."""
+    return int(np.floor(np.log(n) / -np.log(least) + 1e-9)) if n else -2
+
+
+def likeness(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
+    """Jaccard similarity; 0 below ``least``, and without counting where partitions or sizes keep it there. Two empty sets are alike."""
     small, large = sorted((len(a), len(b)))
     if not large:
         return 1.0
-    if small < least * large:
+    if level(large, least) - level(small, least) > 1 or small < least * large:
         return 0.0
     common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / (small + large - common)
+    both = small + large - common
+    return common / both if common >= least * both else 0.0
 
 
 def edited(text: str, following: str) -> str:
@@ -94,34 +104,42 @@ def edited(text: str, following: str) -> str:
 
 
 def in_order(df: DataFrame, parts: int, id_column: str, text_column: str) -> DataFrame:
-    """(part, lead, doc_id, text): rows dealt to ``parts`` ranges of ids, each also with the first row of the range after it (``lead``)."""
+    """(part, lead, doc_id, text, key, hash): rows dealt to ranges of (id, hash of the text), each also with the first row of the range after it (``lead``).
+
+    About ``parts`` ranges of ids of like size; an id that fills several of them is dealt on by the hash."""
     low = -(1 << 63)
-    rows = df.select(F.coalesce(F.col(id_column).cast("long"), F.lit(low)).alias("key"), F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    cuts = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("p")).first()["p"] or []
-    cuts = sorted(set(cuts)) if parts > 1 else []
-    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("key"))) if cuts else F.lit(0)
-    if len(cuts) > 64:  # a search instead of a comparison with every cut
-        held = df.sparkSession.sparkContext.broadcast(cuts)  # one long a partition
-
-        @F.pandas_udf("int")
-        def place_of(key):
-            return key.map(lambda k: bisect_right(held.value, k))
-
-        place = place_of(F.col("key"))
-    rows = rows.withColumn("part", place.cast("int"))
-    heads = sorted((r["part"], r["key"]) for r in rows.groupBy("part").agg(F.min("key").alias("key")).collect())  # a row a range
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    rows = df.select(F.coalesce(F.col(id_column).cast("long"), F.lit(low)).alias("key"), F.xxhash64(text).alias("hash"), F.col(id_column).cast("long").alias("doc_id"), text.alias("text"))
+    found = (rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 10_000).alias("p")).first()["p"] or []) if parts > 1 else []
+    times = Counter(found)  # a long a range
+    held = df.sparkSession.sparkContext.broadcast((np.array(sorted(times), np.int64), np.array([0, *(times[k] if times[k] > 1 else 0 for k in sorted(times))])))
+
+    @F.pandas_udf("long")
+    def part_of(key: pd.Series, hashed: pd.Series) -> pd.Series:
+        cuts, heavy = held.value
+        keys = key.to_numpy()
+        after = np.searchsorted(cuts, keys, "right")
+        n = heavy[after]  # ranges for the id that the cut names, before those of the ids after it
+        own = (n > 0) & (cuts[np.maximum(after, 1) - 1] == keys) if len(cuts) else n > 0
+        sub = np.minimum((hashed.to_numpy() / 2.0**64 + 0.5) * n, n - 1).astype(np.int64)
+        return pd.Series(after * (parts + 1) + np.where(own, sub, n))
+
+    rows = rows.withColumn("part", part_of("key", "hash"))
+    heads = sorted((r["part"], r["at"]["key"], r["at"]["hash"]) for r in rows.groupBy("part").agg(F.min(F.struct("key", "hash")).alias("at")).collect())  # a row a range
+    columns = ["part", "lead", "doc_id", "text", "key", "hash"]
+    own = rows.withColumn("lead", F.lit(False)).select(columns)
     if not heads:
-        return rows.select("part", F.lit(False).alias("lead"), "doc_id", "text", "key")
-    after = df.sparkSession.createDataFrame([(heads[i - 1][0], key) for i, (_, key) in enumerate(heads)], "part int, key long")
-    leads = rows.drop("part").join(F.broadcast(after), "key").select("part", F.lit(True).alias("lead"), "doc_id", "text", "key")
-    return rows.select("part", F.lit(False).alias("lead"), "doc_id", "text", "key").unionByName(leads)
+        return own
+    after = df.sparkSession.createDataFrame([(heads[i - 1][0], key, h) for i, (_, key, h) in enumerate(heads)], "part long, key long, hash long")
+    leads = rows.drop("part").join(F.broadcast(after), ["key", "hash"]).withColumn("lead", F.lit(True)).select(columns)
+    return own.unionByName(leads.dropDuplicates(["part", "key", "hash"]))
 
 
 def fingerprints(df: DataFrame, parts: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The next document is the one after it by id, then text (null ids first, null text is empty; after the last comes the
-    first; a single row is followed by itself). Equal texts have equal fingerprints. Other columns are ignored; an
+    The next document is the one after it by id, then by a hash of the text (null ids first, null text is empty; after the last comes the
+    first; a single row is followed by itself). Equal texts have equal fingerprints. A likeness below ``LEAST`` is 0. Other columns are ignored; an
     empty table gives an empty result. Texts cross the network once.
     """
     spark = df.sparkSession
@@ -177,18 +195,18 @@ def fingerprints(df: DataFrame, parts: int | None = None, id_column: str = "doc_
         if some:
             yield done(some)
 
-    ordered = dealt.repartition(tasks, "part").sortWithinPartitions("part", "lead", "key", "text")
+    ordered = dealt.repartition(tasks, "part").sortWithinPartitions("part", "lead", "key", "hash")
     return map_batches(ordered.select("part", "lead", "doc_id", "text"), rows, schema)
 
 
 def matches(prints: DataFrame, least: float = 0.8, id_column: str = "doc_id") -> DataFrame:
     """All pairs (a, b, likeness) of rows with different fingerprints whose likeness reaches ``least``.
 
-    Equal fingerprints are one row, under their least id. Lengths are partitioned so that a set can match in its own
+    Equal fingerprints are one row, under their least id; null and empty ones match nothing, null ids are left out. Lengths are partitioned so that a set can match in its own
     partition and the next alone; within those, pairs must share one of their rarest signatures (as many as a
     match cannot all miss), and what is left is counted.
     """
-    one = materialize(prints.groupBy("fingerprint").agg(F.min(id_column).alias("id")).filter("fingerprint <> ''"), "prints")
+    one = materialize(prints.groupBy("fingerprint").agg(F.min(id_column).alias("id")).filter("fingerprint <> '' and id is not null"), "prints")
 
     @F.pandas_udf("array<long>")
     def items(column):
