@@ -4,10 +4,12 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,7 +51,12 @@ def shingles(text, k):
 
 
 @pytest.mark.parametrize("k", [4, 5])
-def test_near_duplicates(docs, empty, k):
+def test_near_duplicates(spark, docs, empty, k):
+    rng = random.Random(k)
+    lone = words(rng, 14, 9000).split()
+    odd = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))  # a word and its complement
+    more = [(900, words(rng, 30, 9000)), (900, " ".join([*lone, "end"])), (901, " ".join([*lone, "end", "too"])), (902, None), (902, " ".join(lone)), (903, odd), (904, odd.translate({97: 98, 98: 97})), (905, "x " * 5000)]
+    docs = docs.unionByName(spark.createDataFrame([(*r, "en", "a", 0, 0, 0) for r in more], SCHEMA))
     rows = docs.select("doc_id", "text").collect()
     sets = [(i, shingles(t, k)) for i, t in rows]
     up = {i: i for i, _ in rows if i is not None}
@@ -100,6 +107,14 @@ def test_pii(spark, docs, empty):
         assert [s for s in pii.find(t, a) if s[0] in pii.BASE_KINDS] == want, t[:80]
     more = 'see https://x.example/a?b=1. iban DE89 3704 0044 0532 0130 00 and token = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e"; ssn 123-45-6789, account no. 12345678'
     assert [k for k, _, _ in pii.find(more, a) if k not in pii.BASE_KINDS] == ["url", "account", "account", "account", "secret"]
+    assert [k for k, _, _ in pii.find("token_" * 5000 + " secret: abcdefgh12345678 token=abcdefghijklmnopq token=1234567890abcdefg", a)] == ["secret", "secret"]
+    for part in ("token_", "secret=", "a@", "1.2.", "+1 ", "http://", "iban ", "1 ", "account no. ", "password1"):  # time grows with the text, not its square
+        took = []
+        for n in (20_000, 160_000):
+            began = time.thread_time()
+            pii.find(part * (n // len(part)), a)
+            took.append(time.thread_time() - began)
+        assert took[1] < 24 * max(took[0], 0.005), (part, took)
     assert pii.redact("mail a@b.co now", pii.find("mail a@b.co now", a)) == "mail <EMAIL> now"
     got = pii.find_pii(docs)
     assert got.count() == docs.count() and got.filter("base_sha256 is null").count() == 0 and pii.find_pii(empty).count() == 0
@@ -136,6 +151,21 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packed_windows_hold_the_target_shares(spark):
+    rows = [(i, "one two three four " * (20 + i % 90), "abc"[i % 3]) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    for targets in (None, {"a": 1, "b": 3, "c": 4}):
+        pieces = packing.pack(df, targets=targets).collect()
+        own, held = [0] * 3, defaultdict(lambda: [0] * 3)
+        for p in pieces:
+            own[p["doc_id"] % 3] += p["length"]
+            held[p["sequence_id"]][p["doc_id"] % 3] += p["length"]
+        want = [1, 3, 4] if targets else own
+        dry = min(n * sum(want) / w for n, w in zip(own, want, strict=True)) // 2048 - 1  # until a queue ends
+        full = [held[i] for i in range(int(dry))]
+        assert len(full) > 20 and all(abs(n - 2048 * w / sum(want)) < 2 * 256 for v in full for n, w in zip(v, want, strict=True))
+
+
 def test_packing_many_sources(docs, monkeypatch):
     for targets in (None, {"a": 1, "b": 3, None: 1}):
         few = packing.pack(docs, targets=targets, quantum=64).collect()
@@ -196,7 +226,10 @@ def test_schedule_is_the_round_robin():
 def test_encoder_equals_the_tokenizer():
     rng, e = random.Random(4), packing.Encoder(packing.default_tokenizer())
     texts = ["it's <|endoftext|> Ünï_code ½ ¿qué? a.b,c..! 12ab İ ŉ don't_x I'M", "ΑΣ ας", "日本 語", "a\x1cb c\x85d", ""] + ["".join(rng.choice("abÉß'’.,_<|>0 9ñ½\n İ") for _ in range(30)) for _ in range(500)]
-    assert e.encode(texts) == [e.whole(t) for t in texts]
+    texts += ["é x \u0301y K ÅŐő ẞßſ×÷ ÀÞ \x00 \x7f < | <|endoftext|>x <|startoftext|>", "x" * 5000, "ǅ" * 300, *("".join(rng.choice("aZé×ŉŐ°'<|>7_ \t\x1f\u2003") for _ in range(20)) for _ in range(2000))]
+    assert e.parted and e.encode(texts) == [e.whole(t) for t in texts] and e.encode([]) == [] and max(map(len, e.units)) <= packing.LONGEST_UNIT
+    other = packing.Encoder(str(public_tokenizers.path("byte_bpe_50k.json")))
+    assert not other.parted and other.encode(texts[:3]) == [other.whole(t) for t in texts[:3]]
 
 
 def test_warc_round_trip_and_salvage(spark, tmp_path):
@@ -218,6 +251,63 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
     assert [f.headers.get("warc-record-id", "")[-2:-1] for f in found if f.kind == "response"] == ["0", "2"]
     assert any(f.kind == "gap" and f.start == len(packed[0]) for f in found)
     assert [f.kind for f in warc.salvage(packed[0] + packed[2][:-9])][0] == "response"
+    whole = gzip.compress(b"".join(one))  # one member
+    assert [f.kind for f in warc.salvage(whole)] == ["response"] * 3
+    cut = gzip.compress(b"".join(one)[:200]) + gzip.compress(b"".join(one)[200:])  # records run on
+    assert [f.kind for f in warc.salvage(cut)] == ["response"] * 3
+
+
+def test_warc_against_a_plain_reading_and_after_damage(spark, tmp_path):
+    rng = random.Random(5)
+    bodies = ["".join(rng.choice("ab\r\n \u00e9W") for _ in range(rng.choice([0, 10, 999, 1500]))) for _ in range(60)] + [None, "WARC/1.1\r\n\r\n" * 90]
+    rows = [(i, f"http://x/{i}", rng.choice(bodies), "old", 7) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, record_type string, start long").repartition(3)
+    last = {}
+    for i, _, h, _, _ in rows:
+        last[h or ""] = i
+    want = {}
+    for i, _, h, _, _ in rows:
+        raw = (h or "").encode()
+        again = len(raw) >= 1000 and last[h or ""] != i
+        want[i] = (len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if again else "response", last[h or ""] if again else None)
+    path = tmp_path / "w"
+    got = warc.archive_pages(pages, str(path)).collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == want and len(got) == 400 and not (tmp_path / "w-gaps").exists()
+    files = sorted(path.glob("part*"))
+    for f in files:  # valid for any reader of gzip
+        gzip.decompress(f.read_bytes())
+    data = files[0].read_bytes()
+    every = [m.start() for m in re.finditer(re.escape(warc.MEMBER), data) if warc._opens(data, m.start())]
+    starts = [x for x in every if zlib.decompressobj(31).decompress(data[x:], 9)]  # without the empty members between
+    ids = lambda d: [f.headers["warc-record-id"] for f in warc.salvage(bytes(d)) if f.kind != "gap"]
+    whole = ids(data)
+    assert len(whole) > 100 and len(whole) == len(set(whole))
+    for k in (0, 1, len(whole) // 2, len(whole) - 1):  # damage to a record loses that record alone, and is logged
+        broken = bytearray(data)
+        for j in range(starts[k] + 12, starts[k] + 16):
+            broken[j] ^= 0xFF
+        assert ids(broken) == whole[:k] + whole[k + 1 :]
+        gaps = [(f.start, f.end) for f in warc.salvage(bytes(broken)) if f.kind == "gap"]
+        assert (starts[k], min(x for x in every if x > starts[k])) in gaps
+    files[0].write_bytes(bytes(broken))
+    for f in path.glob(".*crc"):
+        f.unlink()
+    lost = warc.read_archives(spark, str(path)).filter("record_type = 'gap'")
+    assert lost.count() >= 1 and lost.filter("error is null").count() == 0
+    small = tmp_path / "small"
+    warc.write_archives(warc.page_records(pages), str(small), file_bytes=2000)
+    sizes = [f.stat().st_size for f in small.glob("part*")]
+    assert len(sizes) > 10 and max(sizes) < 2000 + 2000 and warc.read_archives(spark, str(small), payloads=True).count() == 400
+
+
+def test_salvage_time_is_linear():
+    for part in (b"WARC/1.1\r\n", b"WARC/1.1\r\na: b\r\n", b"WARC/1.1\r\nContent-Length: 9\r\n\r\n", b"WARC/", b"\x1f\x8b\x08"):
+        took = []
+        for n in (50_000, 400_000):
+            began = time.thread_time()
+            assert all(f.kind == "gap" for f in warc.salvage(part * (n // len(part))))
+            took.append(time.thread_time() - began)
+        assert took[1] < 24 * max(took[0], 0.01), (part, took)
 
 
 def test_templates_and_chat(spark):
@@ -229,6 +319,11 @@ def test_templates_and_chat(spark):
         with pytest.raises(TemplateError):
             Template(bad)
     assert Template("{{ x.real }}").render(x=3)[0] == ""
+    for bad in ("{{ 'a' * 200000000 }}", "{{ '%50000000d' % 1 }}", "{{ 9999999999 * 9999999999 }}", "{{ 'a' + 1 }}"):
+        with pytest.raises(TemplateError):
+            Template(bad)
+    with pytest.raises(TemplateError):
+        Template("{% set x = 'abcdefgh' ~ messages %}" + "{% set x = x ~ x %}" * 40).render(messages="y")
     rng = random.Random(6)
     for _ in range(300):
         s = "".join(rng.choice(["\\", "<|im_end|>", "</s>", "[INST]", "<s>", "n", "\n", "<", "é", "[/INST]"]) for _ in range(12))
@@ -271,6 +366,39 @@ def test_url_rules(spark):
     assert [got[i] for i in range(26)] == want * 2
     assert urlrules.filter_urls(df.limit(0)).count() == 0
     assert urlrules.literal_tokens(r"\bab-cd\b.*ef") == ["ab", "cd"] and urlrules.literal_tokens("a|b") == []
+    assert urlrules.literal_tokens(r"ad(s-(x|y)-z)?/") == [] and urlrules.literal_tokens(r"/(foo-)bar(/x)?$") == ["foo"]
+    assert urlrules.literal_tokens(urlrules.BASE[1].pattern) == ["example", "com", "en"] and urlrules.literal_tokens(r"[[x]]foo/") == []
+    assert all(urlrules.literal_tokens(r.pattern) for r in urlrules.BASE + urlrules.METHOD)
+
+
+def test_url_rules_by_index_and_by_scanning(spark):
+    """Every match of a random rule shows the rule's tokens, and the index finds what trying all rules finds."""
+    rng = random.Random(11)
+
+    def pattern(depth=2):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            x = rng.choice(["a", "b", "ab", "b1", "/", "-", r"\.", r"\b", r"\b", "/", "[ab]", "[/-]", "[^a]", ".", "^", "$"])
+            if depth and rng.random() < 0.35:
+                x = f"({pattern(depth - 1)}{'|' + pattern(depth - 1) if rng.random() < 0.4 else ''})"
+            parts.append(x + (rng.choice(["?", "*", "+", "{0,2}"]) if rng.random() < 0.2 and x not in ("^", "$", r"\b") else ""))
+        return "".join(parts)
+
+    made = [pattern() for _ in range(3000)]
+    urls = ["".join(rng.choice("ab1/-.") for _ in range(rng.randint(0, 14))) for _ in range(400)]
+    shown = [set(re.split("[^a-z0-9]+", u)) for u in urls]
+    kept = []
+    for p in made:
+        need = set(urlrules.literal_tokens(p))
+        for u, has in zip(urls, shown, strict=True):
+            if need and not need <= has:
+                assert not re.search(p, u), (p, u)
+        kept += [p] * bool(need)
+    assert len(kept) > 200
+    rules = [urlrules.Rule(f"r{i}", "block", p) for i, p in enumerate(rng.sample(kept, 40))]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r["url"]: r["verdict"] for r in urlrules.filter_urls(df, [], rules).collect()}
+    assert got == {u: "block" if any(re.search(r.pattern, u) for r in rules) else "allow" for u in urls}
 
 
 def test_mixing(docs, empty):
@@ -284,20 +412,59 @@ def test_mixing(docs, empty):
         assert 0 <= r["taken"] <= 3 * r["size"]
     for (size, target), rs in by.items():
         assert sum(r["size"] for r in rs) == size and abs(sum(r["taken"] for r in rs) - target) <= 1
+        assert (r["positions"] or [None])[0] == r["position"] and len(r["positions"] or []) == (-(-r["taken"] // r["size"]) if r["size"] else 0)
     order = [r["position"] for r in rows if r["position"] is not None]
     assert order == sorted(order) and all(0 <= p <= 1 for p in order)
 
 
+def test_mixed_sources_share_time_by_their_schedules(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i if i % 9 else None, f"{i} " + "w " * rng.randint(1, 30), "abcd"[rng.randrange(4) if i % 3 else 0]) for i in range(6000)], "doc_id long, text string, source string")
+    rows = mixing.mix_sources(df.withColumn("positions", F.lit(0)), keep_text=True).select("source", "size", "target", "positions").collect()
+    target = {r["source"]: r["target"] for r in rows}
+    shape = dict(zip("abcd", [*mixing.SCHEDULES, mixing.SCHEDULES[0]], strict=True))
+    rate = lambda s, t: target[s] * (shape[s][0] + (shape[s][1] - shape[s][0]) * t) / (sum(shape[s]) / 2)
+    for k in range(10):
+        got = {s: sum(r["size"] for r in rows if r["source"] == s for p in r["positions"] or [] if k / 10 <= p < (k + 1) / 10) for s in "abcd"}
+        for s in "abcd":  # the words of a tenth of the time, against the schedules' middle
+            assert abs(got[s] / sum(got.values()) - rate(s, k / 10 + 0.05) / sum(rate(x, k / 10 + 0.05) for x in "abcd")) < 0.02
+
+
 def test_spotsigs(docs, empty):
-    texts = sorted(((i is not None, i or 0, t or "") for i, t in docs.select("doc_id", "text").collect()))
+    spark, rng = docs.sparkSession, random.Random(4)
+    common = [*spotsigs.ANCHORS, "The", "naïve", "x-ray", "Zebra", "apple", "b2b", "stone", "river", "cloud"]
+    prose = [(1000 + i, " ".join(rng.choice(common) for _ in range(rng.randint(0, 80)))) for i in range(60)]
+    prose += [(None, f"{i} the river and stone") for i in range(80)] + [(2000, "the big river")] * 3
+    docs = docs.unionByName(spark.createDataFrame([(i, t, "en", "a", 0, 0, 0) for i, t in prose], SCHEMA))
+
+    def plain(t):
+        w = re.findall(rb"[0-9A-Za-z\x80-\xff]+", t.encode())
+        w = [x.lower().decode() for x in w]
+        out = set()
+        for at, x in enumerate(w):
+            chain = [y for y in w[at + 1 :] if y not in spotsigs.ANCHORS][: spotsigs.CHAIN] if x in spotsigs.ANCHORS else []
+            out |= {(x, *chain)} if len(chain) == spotsigs.CHAIN else set()
+        return out or ({tuple(w)} if w else set())
+
+    def jaccard(a, b):
+        x = len(a & b) / len(a | b) if a | b else 1.0
+        return x if x >= spotsigs.LEAST else 0.0
+
+    marks = [(r[0] is not None, r[0] or 0, r[1], r[2]) for r in docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))), F.coalesce("text", F.lit(""))).collect()]
+    texts = [(i, t) for _, i, _, t in sorted(marks)]
     got = spotsigs.fingerprints(docs, parts=7).collect()
     want = []
-    for k, (_, i, t) in enumerate(texts):
-        e = spotsigs.edited(t, texts[(k + 1) % len(texts)][2])
-        a, b, c = spotsigs.signatures([t, e, texts[(k + 1) % len(texts)][2]])
-        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), spotsigs.encode(a), spotsigs.likeness(a, b), spotsigs.likeness(a, c)))
-    assert sorted((r["doc_id"] or 0, r["n_chars"], r["edited_sha256"], r["fingerprint"], r["near_edited"], r["near_next"]) for r in got) == sorted(want)
+    for k, (i, t) in enumerate(texts):
+        after = texts[(k + 1) % len(texts)][1]
+        half = len(t) // 2
+        e = t[: len(t) - half] + after[:half]
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), jaccard(plain(t), plain(e)), jaccard(plain(t), plain(after))))
+    assert sorted((r["doc_id"] or 0, r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in got) == sorted(want)
+    of = {r["fingerprint"]: len(spotsigs.decode(r["fingerprint"])) for r in got}
+    assert len(of) == len({frozenset(plain(t)) for _, t in texts}) and max(of.values()) == max(len(plain(t)) for _, t in texts)
     assert spotsigs.fingerprints(empty).count() == 0
+    assert spotsigs.matches(spark.createDataFrame([(1, None), (2, ""), (None, "AAAAAA=="), (3, "AAAAAA==")], "doc_id long, fingerprint string")).count() == 0
+    assert spotsigs.matches(spark.createDataFrame([], "doc_id long, fingerprint string")).count() == 0
     prints = {r["doc_id"]: r["fingerprint"] for r in got if r["doc_id"] is not None}
     first = {}
     for i in sorted(prints):
@@ -320,27 +487,47 @@ def test_language_code_lengths_and_accuracy(spark, empty):
         assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= got[i]["score"] <= 1
     model = langid.learn(df)
     assert langid.identify(empty).count() == 0
-    counts = [dict(zip(codes.tolist(), rows_.tolist())) for codes, rows_ in model.grams]  # noqa: B905
+    learned = defaultdict(int)  # by plain counting: every text in a language that is not held out, once
+    for i, t, g in rows:
+        if t and g and zlib.crc32(str(i).encode()) % 3 != 1:
+            x = (b"\n\n\n" + t.encode()).translate(langid._FOLD)
+            for at in range(3, len(x)):
+                for k in range(4):
+                    learned[(g, x[at - k : at + 1])] += 1
+    own = langid.learn(df.filter(~langid.held_out(F.col("doc_id"))))
 
     def cost(context, byte, lang, k=3):
-        w, c = model.width, 0
         if k < 0:
             return 8.0
-        for x in context[3 - k :] if k else ():
-            c = c * w + x
-        seen = [v[lang] for g, v in counts[k].items() if g // w == c and v[lang]]
+        c = context[3 - k :]
+        seen = [learned[(lang, c + bytes([b]))] for b in range(256) if (lang, c + bytes([b])) in learned]
         if not seen:
             return cost(context, byte, lang, k - 1)
-        n = counts[k].get(c * w + byte, [0] * 9)[lang]
+        n = learned.get((lang, c + byte), 0)
         return -np.log2(n / (sum(seen) + len(seen))) if n else -np.log2(len(seen) / (sum(seen) + len(seen))) + cost(context, byte, lang, k - 1)
 
-    for text in ("kalo schung", "zz9!é", "a"):
-        x = [int(model.classes[b]) for b in (b"\n\n\n" + text.encode()).translate(langid._FOLD)]
-        want = [sum(cost(x[i - 3 : i], x[i], lang) for i in range(3, len(x))) for lang in range(2)]
-        assert np.allclose(langid.code_lengths(model, [b"ka", text.encode(), b""])[1], want, atol=1e-3)
+    for text in ("kalo schung", "zz9!é 日", "a"):
+        x = (b"\n\n\n" + text.encode()).translate(langid._FOLD)
+        want = [sum(cost(x[i - 3 : i], x[i : i + 1], lang) for i in range(3, len(x))) for lang in own.languages]
+        assert np.allclose(langid.code_lengths(own, [b"ka", text.encode(), b""])[1], want, atol=1e-3) and not langid.code_lengths(own, [b"", b""]).any()
+    foreign = [(1, "日本語のテキスト" * 20), (2, "zxqv jkwp " * 30), (3, "Это русский текст. " * 20), (4, " ".join(t for _, t, g in rows[:6] if g == "xx")), (5, "kalomi")]
+    score = {r["doc_id"]: r["score"] for r in langid.predict(spark.createDataFrame(foreign, "doc_id long, text string"), model).collect()}
+    assert max(score[1], score[2], score[3]) < 0.1 and min(score[4], score[5]) > 0.9
+
+
+def test_language_learns_every_language(spark):
+    rng = random.Random(12)
+    syllables = [a + b for a in "bcdfghjklmnpqrstvwxz" for b in "aeiou"]
+    own = {f"l{i:03}": rng.sample(syllables, 6) for i in range(90)}
+    say = lambda g: " ".join("".join(rng.choice(own[g]) for _ in range(3)) for _ in range(60))
+    df = spark.createDataFrame([(g, say(g)) for g in own for _ in range(4)], "lang string, text string")
+    model = langid.learn(df, all_chars=90_000)
+    assert model.languages == sorted(own)
+    got = langid.predict(spark.createDataFrame([(g, say(g)) for g in own], "lang string, text string"), model)
+    assert got.filter("lang <> lang_pred").count() <= 2
 
 
-def test_language_sample(spark, monkeypatch):
+def test_language_sample(spark):
     rng = random.Random(2)
     parts = {"xx": ["ka", "lo", "mi", "tu"], "yy": ["sch", "ung", "er", "en"], "zz": ["qua", "vij", "wop"]}
     say = lambda g, n: " ".join("".join(rng.choice(parts[g]) for _ in range(3)) for _ in range(n))
@@ -350,10 +537,8 @@ def test_language_sample(spark, monkeypatch):
     model = langid.learn(df, chars=3000)
     assert model.languages == ["xx", "yy", "zz"]
     distinct = {g: sum(len(t) for t in {t for t, lang in rows if lang == g}) for g in model.languages}
-    for g, n in zip(model.languages, model.grams[0][1].sum(axis=0).tolist(), strict=True):
-        assert 0 <= n - min(3000, distinct[g]) <= langid.ORDER * 200  # the padding before each text counts too
+    keys, counts = model.tree.levels[0][:2]
+    for i, g in enumerate(model.languages):
+        assert counts[keys >> 8 == i].sum() == min(3000, distinct[g])
     got = langid.predict(spark.createDataFrame([(g, say(g, 6)) for g in parts for _ in range(20)], "lang string, text string"), model)
     assert got.filter("lang <> lang_pred").count() == 0
-    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
-    with pytest.raises(ValueError, match="languages"):
-        langid.learn(df)
