@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import shutil
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,13 +26,33 @@ class Lake(Dml, Ddl, History):
         self.spark, self.catalog = spark, Catalog(path, data_path, prefix)
         self.snapshot_column = f"_{prefix}internal_snapshot_id"
         self.retry = max_retries, retry_wait_ms, retry_backoff
+        self._attempt = threading.local()
         self.files_per_partition, self.target_file_size = files_per_partition, target_file_size
         spark.conf.set("spark.sql.parquet.fieldId.read.enabled", "true")
         spark.conf.set("spark.sql.parquet.fieldId.write.enabled", "true")
+        spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
 
     def retrying(self, run, max_retries: int | None = None, retry_wait_ms: float | None = None, retry_backoff: float | None = None):
+        """Run again after conflicts. What an attempt has written and not committed is deleted, however it ends."""
         a, b, c = self.retry
-        return retrying(a if max_retries is None else max_retries, b if retry_wait_ms is None else retry_wait_ms, c if retry_backoff is None else retry_backoff, run)
+
+        def attempt():
+            outer, self._attempt.folders = getattr(self._attempt, "folders", None), []
+            try:
+                return run()
+            finally:
+                for path in self._attempt.folders:
+                    if self.catalog.forget_write(path.rstrip("/").rsplit("/", 1)[-1]):
+                        self.remove(path)
+                self._attempt.folders = outer
+
+        return retrying(a if max_retries is None else max_retries, b if retry_wait_ms is None else retry_wait_ms, c if retry_backoff is None else retry_backoff, attempt)
+
+    def new_folder(self, base: str, name: str) -> str:
+        """A folder to write to; a vacuum spares it until it is committed, or its attempt has ended."""
+        self.catalog.begin_write(name)
+        self._attempt.folders.append(base + name)
+        return base + name
 
     def table(self, name: str, schema: str = "main", version: int | None = None, timestamp=None, columns: list[str] | None = None, where: str | None = None) -> DataFrame:
         """A lazy DataFrame, pinned to one snapshot. ``where`` also skips files by their statistics."""
@@ -51,11 +72,16 @@ class Lake(Dml, Ddl, History):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def local_path(self, path: str) -> str | None:
+        """The path on this machine's disk, if the store that it names (or the default one) is that disk."""
+        fs, p = self.file_system(path)
+        return p.toUri().getPath() if fs.getScheme() == "file" else None
+
     def remove(self, path: str) -> None:
-        if "://" in path:
+        if (local := self.local_path(path)) is None:
             fs, p = self.file_system(path)
             fs.delete(p, True)
-        elif os.path.isdir(path):
-            shutil.rmtree(path, ignore_errors=True)
-        elif os.path.exists(path):
-            os.remove(path)
+        elif os.path.isdir(local):
+            shutil.rmtree(local, ignore_errors=True)
+        elif os.path.exists(local):
+            os.remove(local)

@@ -17,5 +17,9 @@ class CatalogVersionError(LakeError, ValueError):
     pass
 
 
+class UnsupportedUnionTypeError(LakeError, TypeError):
+    """A column of values of several types."""
+
+
 class TransactionConflictError(LakeError):
     """Another transaction has changed the table in a way that this one cannot follow."""

@@ -16,7 +16,7 @@ def check(transform: str, kind: str) -> None:
         raise ValueError(f"Transform {transform} requires a date/timestamp column, not {kind}")
 
 
-def apply(transform: str, column: Column) -> Column:
+def apply(transform: str, column: Column, kind: str = "") -> Column:
     if transform == "year":
         return (F.year(column) - 1970).cast("string")
     if transform == "month":
@@ -25,6 +25,8 @@ def apply(transform: str, column: Column) -> Column:
         return F.unix_date(column.cast("date")).cast("string")
     if transform == "hour":
         return (F.unix_date(column.cast("date")).cast("long") * 24 + F.hour(column)).cast("string")
+    if kind == "timestamptz":  # an instant, whatever the session's zone
+        return F.concat(F.to_utc_timestamp(column, F.current_timezone()).cast("string"), F.lit("+00"))
     return column.cast("string")
 
 

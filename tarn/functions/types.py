@@ -10,21 +10,28 @@ from decimal import Decimal
 
 from pyspark.sql import types as T
 
-#: Canonical names and their SQL aliases.
+from ..errors import UnsupportedUnionTypeError
+
+#: Canonical names and their SQL aliases. Fixed values.
 NAMES = {
-    "boolean": "bool logical", "int8": "tinyint", "int16": "smallint short", "int32": "int integer signed", "int64": "bigint long",
-    "uint8": "utinyint", "uint16": "usmallint", "uint32": "uinteger", "uint64": "ubigint", "int128": "hugeint", "uint128": "uhugeint",
-    "float32": "float real float4", "float64": "double float8", "varchar": "text string char bpchar", "blob": "bytea binary varbinary",
-    "date": "", "time": "timetz time_ns", "timestamp": "datetime timestamp_us timestamp_s timestamp_ms timestamp_ntz", "timestamp_ns": "",
-    "timestamptz": "timestamp_tz", "interval": "", "uuid": "", "json": "", "variant": "", "geometry": "",
+    "boolean": ["bool", "logical"], "int8": ["tinyint"], "int16": ["smallint", "short"], "int32": ["int", "integer", "signed"], "int64": ["bigint", "long"],
+    "uint8": ["utinyint"], "uint16": ["usmallint"], "uint32": ["uinteger", "uint"], "uint64": ["ubigint"], "int128": ["hugeint"], "uint128": ["uhugeint"],
+    "float32": ["float", "real", "float4", "float16"], "float64": ["double", "float8"], "varchar": ["text", "string", "char", "bpchar"], "blob": ["bytea", "binary", "varbinary"],
+    "date": [], "time": ["timetz", "time_tz", "time_ns", "time with time zone"], "timestamp": ["datetime", "timestamp_us", "timestamp_s", "timestamp_ms", "timestamp_ntz"],
+    "timestamp_ns": [], "timestamptz": ["timestamp_tz", "timestamp with time zone"], "interval": [], "uuid": [], "json": [], "variant": [], "bit": [], "unknown": [],
+    "geometry": [
+        "point", "linestring", "polygon", "multipoint", "multilinestring", "multipolygon", "geometrycollection", "linestring_z", "point_z", "polygon_z",
+        "multipoint_z", "multilinestring_z", "multipolygon_z", "geometrycollection_z", "point_m", "linestring_m", "polygon_m", "multipoint_m", "multilinestring_m",
+        "multipolygon_m", "geometrycollection_m", "point_zm", "linestring_zm", "polygon_zm", "multipoint_zm", "multilinestring_zm", "multipolygon_zm", "geometrycollection_zm", "wkb_blob",
+    ],
 }
-ALIASES = {a: name for name, others in NAMES.items() for a in [name, *others.split()]} | {"timestamp with time zone": "timestamptz"}
+ALIASES = {a: name for name, others in NAMES.items() for a in [name, *others]}
 SPARK = {
     "boolean": T.BooleanType(), "int8": T.ByteType(), "int16": T.ShortType(), "int32": T.IntegerType(), "int64": T.LongType(),
     "uint8": T.ShortType(), "uint16": T.IntegerType(), "uint32": T.LongType(), "uint64": T.DecimalType(20, 0), "int128": T.DecimalType(38, 0),
     "uint128": T.DecimalType(38, 0), "float32": T.FloatType(), "float64": T.DoubleType(), "varchar": T.StringType(), "blob": T.BinaryType(),
     "date": T.DateType(), "time": T.StringType(), "timestamp": T.TimestampNTZType(), "timestamp_ns": T.TimestampNTZType(),
-    "timestamptz": T.TimestampType(), "interval": T.DayTimeIntervalType(), "uuid": T.StringType(), "json": T.StringType(), "variant": T.StringType(), "geometry": T.BinaryType(),
+    "timestamptz": T.TimestampType(), "interval": T.DayTimeIntervalType(), "uuid": T.StringType(), "json": T.StringType(), "variant": T.StringType(), "bit": T.StringType(), "unknown": T.StringType(), "geometry": T.BinaryType(),
 }
 FIELD_ID = "parquet.field.id"
 
@@ -96,7 +103,7 @@ def parse(name: str, text: str) -> Node:
     def one(label: str) -> Node:
         nonlocal at
         skip()
-        if m := re.compile(r"(timestamp with time zone|[A-Za-z_]\w*)", re.I).match(s, at):
+        if m := re.compile(r"((?:timestamp|time) with time zone|[A-Za-z_]\w*)", re.I).match(s, at):
             at = m.end()
             kind = m[1].lower()
         else:
@@ -125,6 +132,8 @@ def parse(name: str, text: str) -> Node:
                 parts.append(one("value"))
             expect(")")
             node = Node(label, kind, parts)
+        elif kind == "union":
+            raise UnsupportedUnionTypeError(f"column '{name}': union types are not supported ({text}); use a struct with a part for each")
         elif kind in ALIASES:
             node = Node(label, ALIASES[kind])
             if m := re.compile(r"\s*\(\s*\d+\s*\)").match(s, at):  # varchar(20)
@@ -160,6 +169,8 @@ def from_spark(name: str, t: T.DataType) -> Node:
         return Node(name, "interval")
     if isinstance(t, (T.StringType, T.CharType, T.VarcharType)):
         return Node(name, "varchar")
+    if isinstance(t, T.VariantType):
+        raise UnsupportedUnionTypeError(f"column '{name}': values of several types ({t.simpleString()}) have no column type; use a struct with a part for each")
     raise ValueError(f"Unknown type: {t.simpleString()}")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
@@ -53,27 +54,33 @@ class Dml:
             if not df.isEmpty():
                 self.insert(df, name, schema, inline_limit, author, message, **retry)
 
-    def insert(self, df: DataFrame, name: str, schema: str = "main", inline_limit: int = 0, author=None, message=None, extra: str | None = None, **retry) -> int:
+    def insert(self, df: DataFrame, name: str, schema: str = "main", inline_limit: int = 0, author=None, message=None, batch: tuple[str, int] | None = None, **retry) -> int:
+        """With ``batch`` (a streaming query's name and the batch's number), nothing happens if that batch is there already."""
+        asked = inline_limit
+
         def run() -> int:
             t = self.at(name, schema)
             rows = FILES.fitted(df, t)
+            inline_limit = asked or int(self.option("data_inlining_row_limit", t) or 0)
             if inline_limit > 0 and self._inlined_count(t) < inline_limit:
                 few = rows.limit(inline_limit - self._inlined_count(t) + 1).collect()
                 if not few:
                     raise ValueError("Cannot insert empty DataFrame")
                 if self._inlined_count(t) + len(few) <= inline_limit:
                     with self.catalog.transaction("insert", t.id, t.snapshot, author, message) as tx:
-                        self._inline(tx, t, few)
-                        tx.changes.append(f"inserted_into_table:{t.id}")
-                        tx.extra = extra
+                        if not batch or tx.advance(*batch):
+                            self._inline(tx, t, few)
+                            tx.changes.append(f"inserted_into_table:{t.id}")
+                            tx.extra = batch and f"{batch[0]}:{batch[1]}"
                     return tx.snapshot
             new = FILES.write_files(self, t, rows)
             if not new:
                 raise ValueError("Cannot insert empty DataFrame")
             with self.catalog.transaction("insert", t.id, t.snapshot, author, message) as tx:
-                FILES.register(tx, t, new)
-                tx.changes.append(f"inserted_into_table:{t.id}")
-                tx.extra = extra
+                if not batch or tx.advance(*batch):
+                    FILES.register(tx, t, new)
+                    tx.changes.append(f"inserted_into_table:{t.id}")
+                    tx.extra = batch and f"{batch[0]}:{batch[1]}"
             return tx.snapshot
 
         return self.retrying(run, **retry)
@@ -82,18 +89,22 @@ class Dml:
         """Table and rows in one snapshot."""
         if self.exists(name, schema):
             raise ValueError(f"Table '{schema}.{name}' already exists")
-        started = self.catalog.head()
-        nodes = FILES.columns_of(df.schema)
-        folder = self.schema_folder(schema) + f"{name}/"
-        self._number(nodes)
-        t = TableAt(-1, name, schema, folder, started, nodes)
-        new = FILES.write_files(self, t, df)
-        with self.catalog.transaction("ddl", None, started, author, message) as tx:
-            t.id = self._create(tx, name, schema, nodes)
-            if new:
-                FILES.register(tx, t, new)
-                tx.changes.append(f"inserted_into_table:{t.id}")
-        return tx.snapshot
+
+        def run() -> int:
+            started = self.catalog.head()
+            nodes = FILES.columns_of(df.schema)
+            folder = self.schema_folder(schema) + f"{name}/"
+            self._number(nodes)
+            t = TableAt(-1, name, schema, folder, started, nodes)
+            new = FILES.write_files(self, t, df)
+            with self.catalog.transaction("ddl", None, started, author, message) as tx:
+                t.id = self._create(tx, name, schema, nodes)
+                if new:
+                    FILES.register(tx, t, new)
+                    tx.changes.append(f"inserted_into_table:{t.id}")
+            return tx.snapshot
+
+        return self.retrying(run)
 
     def overwrite(self, df: DataFrame, name: str, schema: str = "main", author=None, message=None, **retry) -> int:
         def run() -> int:
@@ -121,6 +132,7 @@ class Dml:
             t = self.at(name, schema)
             new = []
             names = {c.id: c.name for c in t.columns}
+            sizes = {f: dict(FILES.listing(self, f)) for f in {p.removeprefix("file://").rsplit("/", 1)[0] for p in paths}}
             for p in paths:
                 if p.rsplit("/", 1)[-1][:1] in "_.":
                     raise ValueError(f"Spark does not read files whose names begin with _ or . ({p})")
@@ -130,8 +142,8 @@ class Dml:
                 if want != have:
                     raise ValueError(f"Schema mismatch: {p} has {have}, the table {want}")
                 local = p.removeprefix("file://")
-                known = FILES.footers([local], t.columns) if "://" not in local else FILES.aggregated(self, p, t.columns)
-                new.append({"path": local, "relative": False, "bytes": dict(FILES.listing(self, local.rsplit("/", 1)[0])).get(local, 0), "values": [], **known[place(local)]})
+                known = FILES.footers({local: on_disk}, t.columns, ours=False) if (on_disk := self.local_path(local)) is not None else FILES.aggregated(self, p, t.columns)
+                new.append({"path": local, "relative": False, "bytes": sizes[local.rsplit("/", 1)[0]].get(local, 0), "values": [], **known[place(local)]})
             with self.catalog.transaction("insert", t.id, t.snapshot) as tx:
                 mapping = tx.catalog_id()
                 tx.insert("column_mapping", mapping_id=mapping, table_id=t.id, type="map_by_name")
@@ -145,7 +157,7 @@ class Dml:
     @contextmanager
     def staged(self, df: DataFrame, t: TableAt):
         """A copy of ``df`` that stays the same however often it is read, in the shared store."""
-        path = f"{t.folder}.staging-{uuid.uuid4().hex}"
+        path = self.new_folder(t.folder, f".staging-{uuid.uuid4().hex}")
         df.write.parquet(path)
         try:
             yield self.spark.read.schema(df.schema).parquet(path)
@@ -160,10 +172,10 @@ class Dml:
             scanner = Scanner(self, t)
             hit = self._hits(scanner, where).select("_fid", "_pos")
             with self.staged(hit, t) as positions:
-                n = positions.count()
-                if n:
-                    self._commit_change(t, scanner, positions, [], "delete", author, message)
-            return n
+                counts = FILES.touched(positions)
+                if counts:
+                    self._commit_change(t, scanner, positions, counts, [], "delete", author, message)
+            return sum(counts.values())
 
         return self.retrying(run, **retry)
 
@@ -174,11 +186,11 @@ class Dml:
             t = self.at(name, schema)
             scanner = Scanner(self, t)
             with self.staged(self._hits(scanner, where), t) as rows:
-                n = rows.count()
-                if n:
+                counts = FILES.touched(rows)
+                if counts:
                     new = FILES.write_files(self, t, self._assigned(rows, t, updates))
-                    self._commit_change(t, scanner, rows.select("_fid", "_pos"), new, "update", author, message)
-            return n
+                    self._commit_change(t, scanner, rows.select("_fid", "_pos"), counts, new, "update", author, message)
+            return sum(counts.values())
 
         return self.retrying(run, **retry)
 
@@ -201,13 +213,17 @@ class Dml:
                 raise ValueError(f"Schema mismatch: columns {extra} are not in table '{t.name}'")
             with self.staged(offered, t) as s:
                 target = scanner.frame(internal=True).alias("t")
-                some = s.select(*map(quoted, own)).distinct().alias("s")
+                some = s.groupBy(*map(quoted, own)).agg(F.count("*").alias("_times")).alias("s")
                 changed = inserted = 0
+                counts: Counter = Counter()
                 gone, fresh = [], []
                 match_acts = when_matched_update is not None and when_matched_update is not False or when_matched_delete
-                with self.staged(target.join(some, same(own, "t", "s"), "left_semi"), t) as hit:
+                with self.staged(target.join(some, same(own, "t", "s")).select("t.*", "s._times"), t) as hit:
                     if match_acts:
-                        changed = hit.count()
+                        if when_matched_update is True and not hit.filter("_times > 1").isEmpty():
+                            raise ValueError("a row of the target matches several rows of the source")
+                        counts.update(FILES.touched(hit))
+                        changed = sum(counts.values())
                     if changed:
                         gone.append(hit.select("_fid", "_pos"))
                         if when_matched_update is True:
@@ -222,9 +238,10 @@ class Dml:
                         if inserted:
                             fresh.append(FILES.fitted(lone, t))
                     with self.staged(target.join(some, same(own, "t", "s"), "left_anti") if when_not_matched_by_source_delete or when_not_matched_by_source_update else scanner.empty(True), t) as left:
-                        n = left.count()
-                        if n:
-                            changed += n
+                        by_file = FILES.touched(left) if when_not_matched_by_source_delete or when_not_matched_by_source_update else {}
+                        if by_file:
+                            counts.update(by_file)
+                            changed += sum(by_file.values())
                             gone.append(left.select("_fid", "_pos"))
                             if when_not_matched_by_source_update:
                                 fresh.append(self._assigned(left, t, when_not_matched_by_source_update))
@@ -236,7 +253,7 @@ class Dml:
                             positions = gone[0] if gone else None
                             for g in gone[1:]:
                                 positions = positions.unionByName(g)
-                            self._commit_change(t, scanner, positions, new, "update" if gone else "insert", author, message)
+                            self._commit_change(t, scanner, positions, counts, new, "update" if gone else "insert", author, message)
             return changed, inserted
 
         return self.retrying(run, **retry)
@@ -252,9 +269,10 @@ class Dml:
             rows = rows.withColumn(c.name, value(v).cast(c.spark()))
         return rows.select(*[F.col(quoted(c.name)) for c in t.columns])
 
-    def _commit_change(self, t, scanner, positions, new, kind, author, message) -> None:
-        deletes = FILES.write_deletes(self, scanner, positions) if positions is not None else {}
-        inline = [(r["_fid"], r["_pos"]) for r in positions.filter("_fid < 0").collect()] if positions is not None and self._inlined_count(t) else []
+    def _commit_change(self, t, scanner, positions, counts, new, kind, author, message) -> None:
+        deletes = FILES.write_deletes(self, scanner, positions, counts) if positions is not None else {}
+        # as many as inlined rows are allowed to be
+        inline = [(r["_fid"], r["_pos"]) for r in positions.filter("_fid < 0").collect()] if any(i < 0 for i in counts) else []
         with self.catalog.transaction(kind, t.id, t.snapshot, author, message) as tx:
             FILES.register_deletes(tx, t, deletes)
             tables = [r["table_name"] for r in self.catalog.rows("SELECT * FROM {inlined_data_tables} WHERE table_id = ? ORDER BY schema_version", t.id)]

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import transforms
 from ..functions.types import Node, from_spark, from_text, to_text
-from ..plans.scan import Scanner, TableAt, place, place_of_row, quoted
+from ..plans.scan import Scanner, TableAt, few, place, place_of_row, quoted
 
 #: Kinds whose least and greatest values are kept.
 RANGED = ("int", "uint", "float", "decimal", "varchar", "date", "timestamp")
@@ -53,21 +53,37 @@ def write_files(lake, t: TableAt, df: DataFrame, snapshot_rows: bool = False) ->
     keys = [f"__p{i}" for i in range(len(t.partition))]
     source = df
     for k, (c, how) in zip(keys, t.partition, strict=True):
-        source = source.withColumn(k, transforms.encoded(transforms.apply(how, F.col(quoted(c.name)))))
+        source = source.withColumn(k, transforms.encoded(transforms.apply(how, F.col(quoted(c.name)), c.kind)))
     if keys:
         source = source.repartition(*keys, *([F.floor(F.rand(0) * lake.files_per_partition)] if lake.files_per_partition > 1 else []))
-    order = sort_columns(t, set(df.columns))
+    order = sort_columns(t, set(df.columns)) if lake.option("sort_on_insert", t) != "false" else []
     out = source.select(*stamped, *keys) if not order else source.sortWithinPartitions(*keys, *order).select(*stamped, *keys)
     sub = uuid.uuid4().hex
-    writer = out.write.option("compression", "zstd")
-    (writer.partitionBy(*keys) if keys else writer).parquet(t.folder + sub)
+    writer = out.write.options(**parquet_options(lake, t))
+    (writer.partitionBy(*keys) if keys else writer).parquet(lake.new_folder(t.folder, sub))
     return described(lake, t, sub)
 
 
+def parquet_options(lake, t: TableAt) -> dict[str, str]:
+    """The writer's options from those of the table, its schema or the catalog."""
+    codec = lake.option("parquet_compression", t) or "zstd"
+    out = {"compression": codec}
+    if (level := lake.option("parquet_compression_level", t)) and codec in ("zstd", "gzip", "brotli"):
+        out[{"zstd": "parquet.compression.codec.zstd.level", "gzip": "zlib.compress.level", "brotli": "compression.brotli.quality"}[codec]] = level
+    if size := lake.option("parquet_row_group_size_bytes", t):
+        out["parquet.block.size"] = size
+    if rows := lake.option("parquet_row_group_size", t):
+        out["parquet.block.row.count.limit"] = rows
+    if (version := lake.option("parquet_version", t)) in ("1", "2"):
+        out["parquet.writer.version"] = f"v{version}"
+    return out
+
+
 def listing(lake, folder: str) -> list[tuple[str, int]]:
     """(path, bytes) of Parquet files below a folder."""
-    if "://" not in folder:
-        return [(os.path.join(d, f), os.path.getsize(os.path.join(d, f))) for d, _, names in os.walk(folder) for f in sorted(names) if f.endswith(".parquet")]
+    if (local := lake.local_path(folder)) is not None:
+        head = folder.removesuffix("/")  # as the caller writes it
+        return [(head + os.path.join(d, f)[len(local.removesuffix("/")) :], os.path.getsize(os.path.join(d, f))) for d, _, names in os.walk(local) for f in sorted(names) if f.endswith(".parquet")]
     fs, path = lake.file_system(folder)
     out, found = [], fs.listFiles(path, True) if fs.exists(path) else None
     while found is not None and found.hasNext():
@@ -87,29 +103,40 @@ def described(lake, t: TableAt, sub: str) -> list[dict]:
             coded = unquote(part.partition("=")[2])
             values.append(None if coded == "n" else coded[1:])
         files.append({"path": relative, "relative": True, "full": path, "bytes": size, "values": values})
-    stats = footers([f["full"] for f in files], t.columns) if "://" not in base else aggregated(lake, base, t.columns)
+    stats = footers({f["full"]: lake.local_path(f["full"]) for f in files}, t.columns) if lake.local_path(base) is not None else aggregated(lake, base, t.columns)
     for f in files:
         f |= stats[place(f["full"])]
+    for f in files:
+        if not f["rows"]:  # of a task without rows
+            lake.remove(f["full"])
     return [f for f in files if f["rows"]]
 
 
-def footers(paths: list[str], columns: list[Node], names: dict[int, str] | None = None) -> dict[str, dict]:
-    """Statistics from Parquet footers, by place."""
+def footers(paths: dict[str, str], columns: list[Node], names: dict[int, str] | None = None, ours: bool = True) -> dict[str, dict]:
+    """Statistics from Parquet footers, by place; ``paths`` gives each file's path on this machine. Spark's writer leaves out the
+    range of a chunk that holds NaN; of files that are not ``ours``, NaN is unknown. What cannot be read is unknown."""
     import pyarrow.parquet as pq
 
     wanted = {(names or {}).get(c.id, c.name): c for c in columns if c.kind.startswith(RANGED) and not c.kind.startswith("interval") or c.kind == "boolean"}
 
     def one(path: str) -> tuple[str, dict]:
-        m = pq.read_metadata(path)
+        m = pq.read_metadata(paths[path])
         out: dict[int, dict] = {}
         for i in range(m.num_columns):
             if (c := wanted.get(m.schema.column(i).path)) is None:
                 continue
             low = high = None
-            nulls, whole = 0, c.kind != "boolean"
+            nulls, whole, size, nan = 0, c.kind != "boolean", 0, False
             for g in range(m.num_row_groups):
                 chunk = m.row_group(g).column(i)
-                s = chunk.statistics
+                size += chunk.total_compressed_size
+                try:
+                    s = chunk.statistics
+                    if s is not None and s.has_min_max:
+                        s.min, s.max
+                except (NotImplementedError, ValueError, OSError):  # such as the old 96-bit timestamps
+                    s = None
+                nan = nan or (s is None or not s.has_min_max) and not (s is not None and s.has_null_count and s.null_count == chunk.num_values)
                 if s is None or not s.has_null_count:
                     nulls = None
                 elif nulls is not None:
@@ -123,7 +150,8 @@ def footers(paths: list[str], columns: list[Node], names: dict[int, str] | None
                     whole = False
                     continue
                 low, high = a if low is None else min(low, a), b if high is None else max(high, b)
-            out[c.id] = {"nulls": nulls, "min": to_text(low) if whole else None, "max": to_text(high) if whole else None}
+            floating = {"nan": int(nan) if ours else None} if c.kind.startswith("float") else {}
+            out[c.id] = {"nulls": nulls, "min": to_text(low) if whole else None, "max": to_text(high) if whole else None, "bytes": size, **floating}
         return place(path), {"rows": m.num_rows, "footer": m.serialized_size, "stats": out}
 
     with ThreadPoolExecutor(16) as pool:
@@ -149,20 +177,27 @@ def aggregated(lake, base: str, columns: list[Node]) -> dict[str, dict]:
     """The same for stores that only Spark reads: one aggregate by file."""
     df = lake.spark.read.option("recursiveFileLookup", "true").parquet(base)
     kept = [c for c in columns if c.kind.startswith(RANGED)]
-    text = lambda c: c.cast("string")
     aggs = [F.count("*").alias("rows")]
     for c in kept:
         v = F.col(quoted(c.name))
         real = F.when(~F.isnan(v), v) if c.kind.startswith("float") else v
+        if c.kind == "timestamptz":  # as text in UTC, whatever the session's zone
+            real = F.timestamp_micros(F.unix_micros(v) + 0).cast("timestamp")
+            text = lambda x: F.date_format(F.to_utc_timestamp(x, F.current_timezone()), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        else:
+            text = lambda x: x.cast("string")
         aggs += [text(F.min(real)).alias(f"l{c.id}"), text(F.max(real)).alias(f"h{c.id}"), F.count(F.when(v.isNull(), 1)).alias(f"n{c.id}")]
+        if c.kind.startswith("float"):
+            aggs.append(F.coalesce(F.max(F.isnan(v)), F.lit(False)).cast("int").alias(f"x{c.id}"))
     out = {}
     for r in df.groupBy(place_of_row().alias("f")).agg(*aggs).collect():  # a row a file
-        out[r["f"]] = {"rows": r["rows"], "footer": 0, "stats": {c.id: {"nulls": r[f"n{c.id}"], "min": r[f"l{c.id}"], "max": r[f"h{c.id}"]} for c in kept}}
+        out[r["f"]] = {"rows": r["rows"], "footer": 0, "stats": {c.id: {"nulls": r[f"n{c.id}"], "min": r[f"l{c.id}"], "max": r[f"h{c.id}"], **({"nan": r[f"x{c.id}"]} if c.kind.startswith("float") else {})} for c in kept}}
     return out
 
 
 def register(tx, t: TableAt, files: list[dict], begin: int | None = None, partial_max: int | None = None, mapping: int | None = None, partition_id: int | None = -1) -> list[int]:
     """Enter files, their statistics and partition values, and add to the table's totals."""
+    tx.land({f["path"].split("/")[0] for f in files if f["relative"]})
     stats = tx.run("SELECT record_count, next_row_id, file_size_bytes FROM {table_stats} WHERE table_id = ?", t.id).fetchone() or (0, 0, 0)
     rows, next_row, size = stats
     part = t.partition_id if partition_id == -1 else partition_id
@@ -171,7 +206,7 @@ def register(tx, t: TableAt, files: list[dict], begin: int | None = None, partia
         ids.append(fid := tx.file_id())
         file_rows.append({"data_file_id": fid, "table_id": t.id, "begin_snapshot": tx.snapshot if begin is None else begin, "path": f["path"], "path_is_relative": int(f["relative"]), "file_format": "parquet", "record_count": f["rows"], "file_size_bytes": f["bytes"], "footer_size": f["footer"], "row_id_start": next_row, "partition_id": part if f["values"] else None, "partial_max": partial_max, "mapping_id": mapping})
         for c, s in f["stats"].items():
-            col_rows.append({"data_file_id": fid, "table_id": t.id, "column_id": c, "value_count": f["rows"] - (s["nulls"] or 0), "null_count": s["nulls"], "min_value": s["min"], "max_value": s["max"]})
+            col_rows.append({"data_file_id": fid, "table_id": t.id, "column_id": c, "value_count": f["rows"] - (s["nulls"] or 0), "null_count": s["nulls"], "min_value": s["min"], "max_value": s["max"], "contains_nan": s.get("nan"), "column_size_bytes": s.get("bytes")})
         for i, v in enumerate(f["values"]):
             val_rows.append({"data_file_id": fid, "table_id": t.id, "partition_key_index": i, "partition_value": v})
         rows, next_row, size = rows + f["rows"], next_row + f["rows"], size + f["bytes"]
@@ -187,31 +222,41 @@ def register(tx, t: TableAt, files: list[dict], begin: int | None = None, partia
 def widen(tx, t: TableAt, files: list[dict]) -> None:
     """Merge files' ranges into the table's."""
     kinds = {c.id: c.kind for c in t.columns}
-    have = {r[0]: list(r)[1:] for r in tx.run("SELECT column_id, contains_null, min_value, max_value FROM {table_column_stats} WHERE table_id = ?", t.id)}
+    have = {r[0]: list(r)[1:] for r in tx.run("SELECT column_id, contains_null, min_value, max_value, contains_nan FROM {table_column_stats} WHERE table_id = ?", t.id)}
     for f in files:
         for c, s in f["stats"].items():
-            nulls, low, high = have.get(c, [0, None, None])
+            nulls, low, high, nan = have.get(c, [0, None, None, s.get("nan")])
+            if s.get("nan") != nan:
+                nan = 1 if 1 in (nan, s.get("nan")) else None
             pick = lambda a, b, of: b if a is None else a if b is None else to_text(of(from_text(a, kinds.get(c, "")), from_text(b, kinds.get(c, "")))) if from_text(a, kinds.get(c, "")) is not None else a  # noqa: E731, B023
-            have[c] = [int(bool(nulls) or bool(s["nulls"])), pick(low, s["min"], min), pick(high, s["max"], max)]
+            have[c] = [int(bool(nulls) or bool(s["nulls"])), pick(low, s["min"], min), pick(high, s["max"], max), nan]
     tx.run("DELETE FROM {table_column_stats} WHERE table_id = ?", t.id)
-    tx.insert_many("table_column_stats", [{"table_id": t.id, "column_id": c, "contains_null": n, "min_value": a, "max_value": b} for c, (n, a, b) in have.items()])
+    tx.insert_many("table_column_stats", [{"table_id": t.id, "column_id": c, "contains_null": n, "min_value": a, "max_value": b, "contains_nan": x} for c, (n, a, b, x) in have.items()])
+
+
+def touched(positions: DataFrame) -> dict[int, int]:
+    """How many of ``positions`` (_fid, _pos) lie in each file. A row a touched file."""
+    return {r["_fid"]: r["n"] for r in positions.groupBy("_fid").agg(F.count("*").alias("n")).collect()}
 
 
-def write_deletes(lake, scanner: Scanner, positions: DataFrame) -> dict[int, dict]:
-    """Cumulative delete files for the data files of ``positions`` (_fid, _pos): what is new joined to what was deleted before."""
-    counts = {r["_fid"]: r["n"] for r in positions.filter("_fid >= 0").groupBy("_fid").agg(F.count("*").alias("n")).collect()}  # a row a touched file
+def write_deletes(lake, scanner: Scanner, positions: DataFrame, counts: dict[int, int]) -> dict[int, dict]:
+    """Cumulative delete files for the data files of ``positions`` (_fid, _pos), no position twice: what is new joined to what was
+    deleted before, which one scan reads for all files."""
+    counts = {i: n for i, n in counts.items() if i >= 0}
     if not counts:
         return {}
     files = {f["data_file_id"]: f for f in scanner.data_files() if f["data_file_id"] in counts}
     old = scanner.delete_files()
     named = lake.spark.createDataFrame([(i, scanner.path(f)) for i, f in files.items()], "_fid long, file_path string")
-    rows = positions.filter("_fid >= 0").join(F.broadcast(named), "_fid").select("_fid", "file_path", F.col("_pos").alias("pos"))
-    before = [old[i] for i in counts if i in old]
-    for d in before:  # one file each: names may repeat among added files
-        gone = scanner.positions([d])
-        rows = rows.unionByName(gone.select(F.lit(d["data_file_id"]).cast("long").alias("_fid"), F.lit(scanner.path(files[d["data_file_id"]])).alias("file_path"), F.col("_gone_pos").alias("pos")))
+    rows = positions.filter("_fid >= 0").select("_fid", F.col("_pos").alias("pos"))
+    if before := [old[i] for i in counts if i in old]:
+        # each delete file belongs to one data file; paths in it do not tell which, as a file may have been added twice
+        owner = lake.spark.createDataFrame([(place(scanner.path(d)), d["data_file_id"]) for d in before], "_of string, _fid long")
+        gone = scanner.delete_rows(before, place_of_row().alias("_of")).join(few(owner, len(before)), "_of")
+        rows = rows.unionByName(gone.select("_fid", "pos"))
+    rows = rows.repartition(F.col("_fid")).sortWithinPartitions("_fid", "pos").join(few(named, len(files)), "_fid").select("_fid", "file_path", "pos")
     sub = uuid.uuid4().hex
-    rows.distinct().repartition(F.col("_fid")).sortWithinPartitions("_fid", "pos").write.option("compression", "zstd").partitionBy("_fid").parquet(scanner.t.folder + sub)
+    rows.write.option("compression", "zstd").partitionBy("_fid").parquet(lake.new_folder(scanner.t.folder, sub))
     out = {}
     for path, size in listing(lake, scanner.t.folder + sub):
         relative = path[path.index(sub) :]
@@ -221,6 +266,7 @@ def write_deletes(lake, scanner: Scanner, positions: DataFrame) -> dict[int, dic
 
 
 def register_deletes(tx, t: TableAt, deletes: dict[int, dict]) -> None:
+    tx.land({d["path"].split("/")[0] for d in deletes.values()})
     for fid, d in deletes.items():
         tx.end("delete_file", "data_file_id = ?", fid)
         tx.insert("delete_file", delete_file_id=tx.file_id(), table_id=t.id, begin_snapshot=tx.snapshot, data_file_id=fid, path=d["path"], path_is_relative=1, format="parquet", delete_count=d["count"], file_size_bytes=d["bytes"])

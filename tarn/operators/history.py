@@ -9,7 +9,7 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scan import VISIBLE, Scanner, place, quoted
+from ..plans.scan import VISIBLE, Scanner, few, place, quoted
 from ..sources.catalog import VERSION, instant
 from . import files as FILES
 
@@ -55,7 +55,7 @@ class History:
                 old = [before[i] for i in now if i in before]
                 if old:
                     names = self.spark.createDataFrame([(place(sc.path(every[i])), i) for i in now], "_n string, _f long")
-                    gone = sc.positions(old).join(F.broadcast(names), F.col("_gone_name") == F.col("_n"))  # a row a touched file
+                    gone = sc.positions(old).join(few(names, len(now)), F.col("_gone_name") == F.col("_n"))
                     part = part.join(gone, (F.col("_fid") == F.col("_f")) & (F.col("_pos") == F.col("_gone_pos")), "left_anti")
                 frames.append(part.withColumn("_row_snapshot", F.lit(s).cast("long")))
         ended: dict[int, list[dict]] = {}
@@ -92,13 +92,15 @@ class History:
                 return -1
             rows = sc.united(sc.files_frame(files, deletes, False))
             size = sum(f["file_size_bytes"] or 0 for f in files)
-            new = FILES.write_files(self, t, rows if t.partition else rows.coalesce(max(1, size // self.target_file_size)))
+            new = FILES.write_files(self, t, rows if t.partition else rows.coalesce(max(1, size // self.file_size(t))))
             with self.catalog.transaction("compact", t.id, t.snapshot) as tx:
                 ids = ",".join(str(f["data_file_id"]) for f in files)
                 tx.end("data_file", f"data_file_id IN ({ids})")
                 tx.end("delete_file", f"data_file_id IN ({ids})")
-                tx.run("UPDATE {table_stats} SET record_count = 0, file_size_bytes = 0 WHERE table_id = ?", t.id)
-                tx.run("DELETE FROM {table_column_stats} WHERE table_id = ?", t.id)
+                # what others have inserted since stays counted
+                tx.run("UPDATE {table_stats} SET record_count = record_count - ?, file_size_bytes = file_size_bytes - ? WHERE table_id = ?", sum(f["record_count"] for f in files), size, t.id)
+                if not tx.run("SELECT 1 FROM {data_file} WHERE table_id = ? AND end_snapshot IS NULL", t.id).fetchone():
+                    tx.run("DELETE FROM {table_column_stats} WHERE table_id = ?", t.id)
                 FILES.register(tx, t, new)
                 tx.changes.append(f"compacted_table:{t.id}")
             return tx.snapshot
@@ -129,7 +131,7 @@ class History:
                 rows = sc.united(sc.files_frame(files, {}, True), True).drop("_fid", "_pos")
                 flat = type(t)(**{**t.__dict__, "partition": [], "partition_id": None})
                 size = sum(f["file_size_bytes"] or 0 for f in files)
-                new = FILES.write_files(self, flat, rows.coalesce(max(1, size // self.target_file_size)), snapshot_rows=True)
+                new = FILES.write_files(self, flat, rows.coalesce(max(1, size // self.file_size(t))), snapshot_rows=True)
                 for n in new:
                     n["values"] = vals
                 made.append((pid, files, new))
@@ -194,13 +196,22 @@ class History:
             raise
         return len(gone)
 
-    def delete_orphaned_files(self, dry_run: bool = False) -> list[str]:
-        """Parquet files under the data path that no row of the catalog names; returns them."""
+    def delete_orphaned_files(self, dry_run: bool = False, spare_hours: float = 24) -> list[str]:
+        """Parquet files under the data path that no row of the catalog names; returns them. Files of writes that have not ended are spared,
+        unless they began more than ``spare_hours`` ago; such a write then fails at its commit and runs again."""
+        listed = [p for p, _ in FILES.listing(self, self.catalog.data_path)]
+        # in this order: what was listed and has landed since is named by now
+        old = dt.datetime.now(dt.timezone.utc) - dt.timedelta(hours=spare_hours)
+        flying = {f for f, at in self.catalog.in_flight().items() if at > old}
         named = {r["path"] for table in ("data_file", "delete_file", "files_scheduled_for_deletion") for r in self.catalog.rows(f"SELECT path FROM {{{table}}}")}
         ours = lambda p: any(p == n or p.endswith("/" + n) for n in ("/".join(p.split("/")[-k:]) for k in range(1, p.count("/") + 2)) if n in named) or p in named
-        found = [p for p, _ in FILES.listing(self, self.catalog.data_path) if not ours(p)]
-        for p in [] if dry_run else found:
-            self.remove(p)
+        found = [p for p in listed if not ours(p) and not flying & set(p.split("/"))]
+        if not dry_run:
+            for f, at in self.catalog.in_flight().items():
+                if at <= old:
+                    self.catalog.forget_write(f)
+            for p in found:
+                self.remove(p)
         return found
 
     vacuum = delete_orphaned_files
@@ -217,17 +228,21 @@ class History:
 
     def flush_inlined(self, name: str, schema: str = "main") -> int:
         """Inlined rows into a data file; -1 if there are none. A compaction: no change in content."""
-        t = self.at(name, schema)
-        rows = Scanner(self, t).inlined(VISIBLE, t.snapshot, t.snapshot)
-        if rows is None:
-            return -1
-        new = FILES.write_files(self, t, rows.coalesce(1))
-        with self.catalog.transaction("compact", t.id, t.snapshot) as tx:
-            for r in self.catalog.rows("SELECT table_name FROM {inlined_data_tables} WHERE table_id = ?", t.id):
-                tx.run(f"UPDATE \"{r['table_name']}\" SET end_snapshot = ? WHERE end_snapshot IS NULL", tx.snapshot)
-            FILES.register(tx, t, new)
-            tx.changes.append(f"compacted_table:{t.id}")
-        return tx.snapshot
+
+        def run() -> int:
+            t = self.at(name, schema)
+            rows = Scanner(self, t).inlined(VISIBLE, t.snapshot, t.snapshot)
+            if rows is None:
+                return -1
+            new = FILES.write_files(self, t, rows.coalesce(1))
+            with self.catalog.transaction("compact", t.id, t.snapshot) as tx:
+                for r in self.catalog.rows("SELECT table_name FROM {inlined_data_tables} WHERE table_id = ?", t.id):
+                    tx.run(f"UPDATE \"{r['table_name']}\" SET end_snapshot = ? WHERE end_snapshot IS NULL AND begin_snapshot <= ?", tx.snapshot, t.snapshot)
+                FILES.register(tx, t, new)
+                tx.changes.append(f"compacted_table:{t.id}")
+            return tx.snapshot
+
+        return self.retrying(run)
 
     def migrate(self) -> str:
         """Bring an older catalog to the current version, in place; returns the version it had."""
@@ -236,14 +251,18 @@ class History:
         from ..sources.catalog import LAYOUT
 
         con.execute("BEGIN IMMEDIATE")
-        for table, columns in LAYOUT.items():
-            con.execute(self.catalog.sql(f"CREATE TABLE IF NOT EXISTS {{{table}}} ({columns})"))
-            have = {r[1] for r in con.execute(self.catalog.sql(f"PRAGMA table_info({{{table}}})"))}
-            for c in columns.split(", "):
-                if c.split()[0] not in have:
-                    con.execute(self.catalog.sql(f"ALTER TABLE {{{table}}} ADD COLUMN {c}"))
-        con.execute(self.catalog.sql("UPDATE {metadata} SET value = ? WHERE key = 'version' AND scope IS NULL"), (VERSION,))
-        con.execute("COMMIT")
+        try:
+            for table, columns in LAYOUT.items():
+                con.execute(self.catalog.sql(f"CREATE TABLE IF NOT EXISTS {{{table}}} ({columns})"))
+                have = {r[1] for r in con.execute(self.catalog.sql(f"PRAGMA table_info({{{table}}})"))}
+                for c in columns.split(", "):
+                    if c.split()[0] not in have:
+                        con.execute(self.catalog.sql(f"ALTER TABLE {{{table}}} ADD COLUMN {c.replace(' PRIMARY KEY', '')}"))
+            con.execute(self.catalog.sql("UPDATE {metadata} SET value = ? WHERE key = 'version' AND scope IS NULL"), (VERSION,))
+            con.execute("COMMIT")
+        except BaseException:
+            con.execute("ROLLBACK")
+            raise
         self.catalog.version = VERSION
         return old
 

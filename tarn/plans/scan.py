@@ -20,9 +20,16 @@ from .prune import Range, compile_predicate
 
 #: Delete positions up to this many (some 100 MB in memory) are broadcast.
 BROADCAST_DELETES = 2_000_000
+#: Tables with a row a file are broadcast up to this many rows (some 100 MB in memory); more are joined by shuffling.
+BROADCAST_FILES = 500_000
 VISIBLE = "begin_snapshot <= ? AND (end_snapshot IS NULL OR end_snapshot > ?)"
 
 
+def few(df: DataFrame, n: int) -> DataFrame:
+    """A table of ``n`` rows, broadcast if they are not many."""
+    return F.broadcast(df) if n <= BROADCAST_FILES else df
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -183,13 +190,24 @@ class Scanner:
             df = df.join(gone, (F.col("_name") == F.col("_gone_name")) & (F.col("_pos") == F.col("_gone_pos")), "left_semi" if keep_deleted else "left_anti")
         if internal:
             ids = self.spark.createDataFrame([(place(self.path(f)), f["data_file_id"], f["begin_snapshot"]) for f in files], "_file_name string, _fid long, _begin long")
-            df = df.join(F.broadcast(ids), F.col("_name") == F.col("_file_name")).withColumn("_row_snapshot", F.coalesce("_row_snapshot", "_begin"))  # a row a file
+            df = df.join(few(ids, len(files)), F.col("_name") == F.col("_file_name")).withColumn("_row_snapshot", F.coalesce("_row_snapshot", "_begin"))  # a row a file
             return df.select(*[F.col(quoted(c.name)) for c in self.t.columns], "_fid", "_pos", "_row_snapshot")
         return df.select(*[F.col(quoted(c.name)) for c in self.t.columns])
 
+    def delete_rows(self, deletes: list[dict], *more: Column) -> DataFrame:
+        """(file_path, pos, ...) of delete files. Rows of a cumulative file that came after the snapshot, where it says so, are left out."""
+        late = [d for d in deletes if d["partial_max"] is not None and d["partial_max"] > self.t.snapshot]
+        plain = [d for d in deletes if d not in late]
+        snap, frames = self.lake.snapshot_column, []
+        if plain:
+            frames.append(self.spark.read.schema("file_path string, pos long").parquet(*[self.path(d) for d in plain]).select("file_path", "pos", *more))
+        if late:
+            frames.append(self.spark.read.schema(f"file_path string, pos long, `{snap}` long").parquet(*[self.path(d) for d in late]).filter(F.coalesce(F.col(quoted(snap)), F.lit(0)) <= self.t.snapshot).select("file_path", "pos", *more))
+        return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+
     def positions(self, deletes: list[dict]) -> DataFrame:
         """(_gone_name, _gone_pos) of delete files."""
-        raw = self.spark.read.schema("file_path string, pos long").parquet(*[self.path(d) for d in deletes])
+        raw = self.delete_rows(deletes)
         return raw.select(F.regexp_replace("file_path", "^[a-z0-9]+:/+", "/").alias("_gone_name"), F.col("pos").alias("_gone_pos"))
 
     def inlined(self, condition: str, *args, internal: bool = False) -> DataFrame | None:

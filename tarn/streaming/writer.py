@@ -20,8 +20,11 @@ class StreamWriter:
         return self._flushed + self.buffer_rows
 
     def append(self, df: DataFrame) -> None:
+        df = df.persist()  # computed once, for the count and for the flush
         n = df.count()
-        if n:
+        if not n:
+            df.unpersist()
+        else:
             self.buffer.append(df)
             self.buffer_rows += n
             if self.buffer_rows >= self.threshold:
@@ -36,6 +39,11 @@ class StreamWriter:
         self.lake.write(rows, self.table, "append", self.schema, self.evolution)
         self._flushed += self.buffer_rows
         self.flush_count += 1
+        self._empty()
+
+    def _empty(self) -> None:
+        for b in self.buffer:
+            b.unpersist()
         self.buffer, self.buffer_rows = [], 0
 
     def close(self) -> None:
@@ -50,18 +58,18 @@ class StreamWriter:
         if kind is None:
             self.close()
         else:
-            self.buffer, self.buffer_rows = [], 0
+            self._empty()
 
 
 def batch_sink(lake, table: str, query: str, schema: str = "main") -> Callable[[DataFrame, int], None]:
-    """For ``writeStream.foreachBatch``: each batch is committed once, however often it is delivered, by its number in the commit."""
+    """For ``writeStream.foreachBatch``: each batch is committed once, however often it is delivered. The commit notes the last
+    batch of each query beside the snapshots, so that their expiry does not forget it. Empty batches are not noted."""
 
     def commit(df: DataFrame, batch_id: int) -> None:
-        mark = f"{query}:{batch_id}"
-        if lake.catalog.rows("SELECT 1 FROM {snapshot_changes} WHERE commit_extra_info = ?", mark) or df.isEmpty():
+        if lake.catalog.progress(query) >= batch_id or df.isEmpty():
             return
         if not lake.exists(table, schema):
             lake.create_table(table, df.schema, schema)
-        lake.insert(df, table, schema, extra=mark)
+        lake.insert(df, table, schema, batch=(query, batch_id))
 
     return commit

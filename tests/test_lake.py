@@ -233,3 +233,209 @@ def test_partition_hour_loads_all_events(spark, monkeypatch):
     events = queries.raw(spark, d, "events")
     assert queries.partition_hour(spark, d).filter("skips").count() == events.filter("ts >= '2024-01-05 06:00:00' AND ts < '2024-01-05 08:00:00'").count()
     assert made[0].table("t").count() == events.count()
+
+
+def interloper(lake, monkeypatch, act):
+    """``act`` commits just before the next transaction opens."""
+    real, done = lake.catalog.transaction, []
+
+    def first(*args, **named):
+        if not done:
+            done.append(1)
+            act()
+        return real(*args, **named)
+
+    monkeypatch.setattr(lake.catalog, "transaction", first)
+    return done
+
+
+@pytest.mark.parametrize("compact", ["rewrite_data_files", "merge_adjacent_files", "flush_inlined"])
+@pytest.mark.parametrize("change", ["delete", "update", "merge"])
+def test_changes_are_not_lost_to_a_compaction(spark, lake, monkeypatch, compact, change):
+    inline = 9 if compact == "flush_inlined" else 0
+    lake.create_table("t", {"id": "bigint", "v": "varchar"})
+    for i in range(3):
+        lake.insert(kv(spark, (i, "a"), (i + 10, "b")), "t", inline_limit=inline)
+    done = interloper(lake, monkeypatch, lambda: getattr(lake, compact)("t"))
+    if change == "delete":
+        assert lake.delete("t", "id = 1") == 1
+        want = [(0, "a"), (2, "a"), (10, "b"), (11, "b"), (12, "b")]
+    elif change == "update":
+        assert lake.update("t", {"v": "x"}, "id = 1") == 1
+        want = [(0, "a"), (1, "x"), (2, "a"), (10, "b"), (11, "b"), (12, "b")]
+    else:
+        assert lake.merge("t", kv(spark, (1, "x"), (77, "n")), "id", when_matched_update=True) == (1, 1)
+        want = [(0, "a"), (1, "x"), (2, "a"), (10, "b"), (11, "b"), (12, "b"), (77, "n")]
+    assert done and rows(lake.table("t")) == sorted(want, key=repr)
+    assert not lake.catalog.in_flight() and lake.vacuum(dry_run=True) == []  # the losing attempt has left nothing
+
+
+def test_compaction_keeps_what_was_inserted_meanwhile(spark, lake, monkeypatch):
+    lake.create_table("t", {"id": "bigint", "v": "varchar"})
+    for i in range(3):
+        lake.insert(kv(spark, (i, "a")), "t", inline_limit=9)
+    interloper(lake, monkeypatch, lambda: lake.insert(kv(spark, (9, "z")), "t", inline_limit=9))
+    lake.flush_inlined("t")
+    assert rows(lake.table("t")) == [(0, "a"), (1, "a"), (2, "a"), (9, "z")]
+    monkeypatch.undo()
+    lake.insert(kv(spark, (5, "q")), "t")
+    interloper(lake, monkeypatch, lambda: lake.insert(kv(spark, (6, "r")), "t"))
+    lake.rewrite_data_files("t")
+    assert len(rows(lake.table("t"))) == 6
+    assert lake.catalog.rows("SELECT record_count FROM {table_stats}")[0]["record_count"] >= 5
+
+
+def test_vacuum_spares_writes_in_flight(spark, lake, monkeypatch, tmp_path):
+    lake.write(kv(spark, (1, "a")), "t")
+    seen = []
+    interloper(lake, monkeypatch, lambda: seen.append(lake.vacuum()))
+    lake.insert(kv(spark, (2, "b")), "t")
+    assert seen == [[]] and rows(lake.table("t")) == [(1, "a"), (2, "b")]
+    monkeypatch.undo()
+    # a vacuum that takes the write for dead: it runs again
+    interloper(lake, monkeypatch, lambda: seen.append(lake.vacuum(spare_hours=0)))
+    lake.insert(kv(spark, (3, "c")), "t")
+    assert len(seen[1]) >= 1 and rows(lake.table("t")) == [(1, "a"), (2, "b"), (3, "c")]
+    monkeypatch.undo()
+    kv(spark, (9, "x")).write.parquet(str(tmp_path / "data/main/t/stray"))
+    assert len(lake.vacuum()) >= 1 and lake.vacuum() == []
+
+
+def test_sink_remembers_batches_after_expiry(spark, lake):
+    commit = batch_sink(lake, "t", "q")
+    commit(kv(spark, (1, "a")), 0)
+    commit(kv(spark, (2, "b")), 1)
+    lake.expire_snapshots(keep_last_n=1)
+    commit(kv(spark, (1, "a")), 0)
+    commit(kv(spark, (2, "b")), 1)
+    batch_sink(lake, "t", "other")(kv(spark, (3, "c")), 1)
+    assert rows(lake.table("t")) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles"])
+def test_timestamps_in_any_zone(spark, lake, zone):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        d = spark.range(6).selectExpr("id", "timestamp'2024-01-04 22:00:00' + make_interval(0, 0, 0, 0, CAST(id AS INT)) AS ts", "timestamp_ntz'2024-01-04 22:00:00' + make_interval(0, 0, 0, 0, CAST(id AS INT)) AS n")
+        lake.create_table("t", d.schema)
+        for i in range(6):
+            lake.insert(d.filter(f"id = {i}"), "t")
+        assert str(lake.table("t").orderBy("id").collect()) == str(d.orderBy("id").collect())
+        assert lake.catalog.rows("SELECT count(*) AS n FROM {file_column_stats} WHERE min_value IS NOT NULL")[0]["n"] == 18
+        for where in ("ts < '2024-01-05 00:00:00'", "ts >= timestamp'2024-01-05 01:00:00'", "ts = '2024-01-05 00:00:00'", "ts < date'2024-01-05'", "n < '2024-01-05 00:00:00'", "n < timestamp'2024-01-05 00:00:00'", "ts > timestamp_ntz'2024-01-05 00:30:00'", "ts BETWEEN '2024-01-04 23:00:00' AND '2024-01-05 00:00:00'", "ts IN ('2024-01-05 02:00:00')", "ts < '2024-01-05 08:00:00Z'"):
+            assert rows(lake.table("t", where=where)) == rows(d.filter(where)), where
+        assert lake.files_scanned("t", "ts < '2024-01-05 00:00:00'") == (2, 6)
+        assert lake.update("t", {"n": F.col("ts").cast("timestamp_ntz")}, "id = 3") == 1 and lake.delete("t", "ts > '2024-01-05 01:30:00'") == 2
+        lake.create_table("p", d.schema)
+        lake.set_partitioned_by("p", ["ts"])
+        lake.insert(d, "p")
+        assert rows(lake.table("p", where="ts = '2024-01-05 00:00:00'")) == rows(d.filter("ts = '2024-01-05 00:00:00'"))
+        assert len(rows(lake.table("p"))) == 6
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_files_with_old_timestamps_can_be_added(spark, lake, tmp_path):
+    spark.conf.set("spark.sql.parquet.outputTimestampType", "INT96")
+    d = spark.sql("SELECT 1L AS id, timestamp'2024-01-04 22:00:00' AS ts")
+    d.coalesce(1).write.parquet(str(tmp_path / "x"))
+    spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
+    lake.create_table("t", d.schema)
+    lake.add_files("t", [str(next((tmp_path / "x").glob("part*.parquet")))])
+    assert str(lake.table("t", where="ts > '2024-01-01'").collect()) == str(d.collect())
+
+
+def test_merge_refuses_several_source_rows_for_one(spark, lake):
+    lake.write(kv(spark, (1, "a"), (2, "b")), "t")
+    with pytest.raises(ValueError, match="several rows"):
+        lake.merge("t", kv(spark, (1, "x"), (1, "y")), "id", when_matched_update=True)
+    assert lake.merge("t", kv(spark, (1, "x"), (1, "y"), (5, "p"), (5, "q")), "id", when_matched_delete=True) == (1, 2)
+    assert rows(lake.table("t")) == [(2, "b"), (5, "p"), (5, "q")]
+
+
+def test_options_act(spark, lake, tmp_path):
+    import pyarrow.parquet as pq
+
+    lake.set_option("parquet_compression", "snappy")
+    lake.write(kv(spark, (3, "a"), (1, "b"), (2, None)).coalesce(1), "t")
+    lake.set_option("parquet_compression", "gzip", table="t")
+    lake.set_sorted_by("t", [("id", "DESC", "NULLS_FIRST")])
+    lake.insert(kv(spark, (7, "a"), (8, "b"), (None, "c")).coalesce(1), "t")
+    lake.set_option("sort_on_insert", "false", table="t")
+    lake.insert(kv(spark, (7, "a"), (8, "b"), (None, "c")).coalesce(1), "t")
+    files = [r["data_file"] for r in lake.list_files("t").collect()]
+    assert [pq.read_metadata(f).row_group(0).column(0).compression for f in files] == ["SNAPPY", "GZIP", "GZIP"]
+    assert [pq.read_table(f).column(0).to_pylist() for f in files[1:]] == [[None, 8, 7], [7, 8, None]]
+    lake.set_option("data_inlining_row_limit", 10)
+    lake.insert(kv(spark, (5, "x")), "t")
+    assert lake.list_files("t").count() == 3 and len(rows(lake.table("t"))) == 10
+    lake.set_option("require_commit_message", "yes")
+    with pytest.raises(ValueError, match="commit message"):
+        lake.insert(kv(spark, (5, "x")), "t")
+    lake.insert(kv(spark, (6, "x")), "t", message="six")
+    for key, value in (("auto_compact", True), ("write_deletion_vectors", "off"), ("parquet_compression", "lz4_raw"), ("parquet_version", 2)):
+        lake.set_option(key, value)
+
+
+def test_statistics_of_files(spark, lake):
+    d = spark.createDataFrame([(1, 1.5, float("nan")), (2, 2.5, 3.0), (3, None, None)], "i int, a double, b double")
+    lake.write(d.coalesce(1), "t")
+    got = {r["column_id"]: (r["contains_nan"], r["null_count"], r["min_value"], r["column_size_bytes"] > 0) for r in lake.catalog.rows("SELECT * FROM {file_column_stats}")}
+    assert got == {1: (None, 0, "1", True), 2: (0, 1, "1.5", True), 3: (1, 1, None, True)}
+    assert {r["column_id"]: r["contains_nan"] for r in lake.catalog.rows("SELECT * FROM {table_column_stats}")} == {1: None, 2: 0, 3: 1}
+
+
+def test_foreign_cumulative_delete_file(spark, lake, tmp_path):
+    """A delete file of another writer may hold deletes of later snapshots, each row with its own."""
+    lake.write(kv(spark, *[(i, "a") for i in range(6)]).coalesce(1), "t")
+    s, t = lake.current_snapshot(), lake.at("t")
+    f = lake.catalog.rows("SELECT * FROM {data_file}")[0]
+    full = t.folder + f["path"]
+    for _ in range(2):
+        lake.set_table_tag("t", "k", "v")
+    frame = spark.createDataFrame([(full, 0, s), (full, 1, s + 2)], f"file_path string, pos long, {lake.snapshot_column} long")
+    frame.coalesce(1).write.parquet(str(tmp_path / "d"))
+    path = str(next((tmp_path / "d").glob("part*.parquet")))
+    lake.catalog.connection().execute(lake.catalog.sql("INSERT INTO {delete_file} (delete_file_id, table_id, begin_snapshot, data_file_id, path, path_is_relative, format, delete_count, partial_max) VALUES (900, ?, ?, ?, ?, 0, 'parquet', 2, ?)"), (t.id, s, f["data_file_id"], path, s + 2))
+    assert [r[0] for r in rows(lake.table("t", version=s))] == [1, 2, 3, 4, 5]
+    assert [r[0] for r in rows(lake.table("t"))] == [2, 3, 4, 5]
+
+
+def test_types_of_foreign_catalogs(spark, lake):
+    assert [parse("c", x).kind for x in ("BIT", "UNKNOWN", "UINT", "TIME WITH TIME ZONE", "POINT", "MULTIPOLYGON_ZM")] == ["bit", "unknown", "uint32", "time", "geometry", "geometry"]
+    from tarn.errors import UnsupportedUnionTypeError
+
+    with pytest.raises(UnsupportedUnionTypeError):
+        parse("c", "UNION(a INT, b VARCHAR)")
+    with pytest.raises(TypeError):
+        lake.write(spark.sql("SELECT parse_json('1') AS v"), "t")
+
+
+def test_migration_can_be_undone_and_repeated(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "m.db"))
+    lake.write(kv(spark, (1, "a")), "t")
+    con = lake.catalog.connection()
+    con.execute(lake.catalog.sql("UPDATE {metadata} SET value = '0.3' WHERE key = 'version'"))
+    con.execute(lake.catalog.sql("ALTER TABLE {data_file} DROP COLUMN partial_max"))
+    con.execute(lake.catalog.sql("DROP TABLE {macro_impl}"))
+    old = Lake(spark, str(tmp_path / "m.db"))
+    assert old.catalog.version == "0.3"
+    with pytest.raises(ValueError, match="0.4"):
+        old.merge_adjacent_files("t")
+    assert old.migrate() == "0.3" and old.migrate() == "1.0"
+    assert rows(old.table("t")) == [(1, "a")]
+
+
+def test_stream_writer_computes_frames_once(spark, lake):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(it):
+        for x in it:
+            calls.add(1)
+            yield x
+
+    df = spark.createDataFrame(spark.sparkContext.parallelize([(i, "a") for i in range(20)], 2).mapPartitions(seen), "id long, v string")
+    with lake.stream_writer("t", flush_threshold=5) as w:
+        w.append(df)
+    assert calls.value == 20 and w.total_rows == 20 and w.flush_count == 1 and lake.table("t").count() == 20
