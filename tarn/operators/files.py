@@ -113,8 +113,8 @@ def described(lake, t: TableAt, sub: str) -> list[dict]:
 
 
 def footers(paths: dict[str, str], columns: list[Node], names: dict[int, str] | None = None, ours: bool = True) -> dict[str, dict]:
-    """Statistics from Parquet footers, by place; ``paths`` gives each file's path on this machine. Spark's writer leaves out the
-    range of a chunk that holds NaN; of files that are not ``ours``, NaN is unknown. What cannot be read is unknown."""
+    """Statistics from Parquet footers, by place; ``paths`` gives each file's path on this machine. In files of
+    Spark's writer NaN is a chunk's greatest value or its range is left out; of files that are not ``ours``, NaN is unknown. What cannot be read is unknown."""
     import pyarrow.parquet as pq
 
     wanted = {(names or {}).get(c.id, c.name): c for c in columns if c.kind.startswith(RANGED) and not c.kind.startswith("interval") or c.kind == "boolean"}
@@ -136,7 +136,10 @@ def footers(paths: dict[str, str], columns: list[Node], names: dict[int, str] |
                         s.min, s.max
                 except (NotImplementedError, ValueError, OSError):  # such as the old 96-bit timestamps
                     s = None
-                nan = nan or (s is None or not s.has_min_max) and not (s is not None and s.has_null_count and s.null_count == chunk.num_values)
+                if s is not None and s.has_min_max:
+                    nan = nan or any(isinstance(x, float) and math.isnan(x) for x in (s.min, s.max))
+                else:
+                    nan = nan or s is None or not s.has_null_count or s.null_count < chunk.num_values
                 if s is None or not s.has_null_count:
                     nulls = None
                 elif nulls is not None:
