@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
@@ -133,10 +134,11 @@ class Dml:
             new = []
             names = {c.id: c.name for c in t.columns}
             sizes = {f: dict(FILES.listing(self, f)) for f in {p.removeprefix("file://").rsplit("/", 1)[0] for p in paths}}
-            for p in paths:
-                if p.rsplit("/", 1)[-1][:1] in "_.":
-                    raise ValueError(f"Spark does not read files whose names begin with _ or . ({p})")
-                got = self.spark.read.parquet(p).schema
+            if bad := [p for p in paths if p.rsplit("/", 1)[-1][:1] in "_."]:
+                raise ValueError(f"Spark does not read files whose names begin with _ or . ({bad[0]})")
+            with ThreadPoolExecutor(8) as pool:
+                schemas = list(pool.map(lambda p: self.spark.read.parquet(p).schema, paths))
+            for p, got in zip(paths, schemas, strict=True):
                 want = {c.name: c.spark().simpleString() for c in t.columns}
                 have = {f.name: f.dataType.simpleString() for f in got.fields}
                 if want != have:
@@ -298,7 +300,8 @@ class Dml:
         table = f"{self.catalog.prefix}inlined_data_{t.id}_{version}"
         columns = ", ".join(f"c{c.id}" for c in t.columns)
         if not tx.run("SELECT 1 FROM {inlined_data_tables} WHERE table_name = ?", table).fetchone():
-            tx.run(f'CREATE TABLE "{table}" (row_id INTEGER, begin_snapshot INTEGER, end_snapshot INTEGER, {columns})')
+            typed = ", ".join(f"c{c.id}{self.catalog.backend.untyped}" for c in t.columns)
+            tx.run(f'CREATE TABLE "{table}" (row_id INTEGER, begin_snapshot INTEGER, end_snapshot INTEGER, {typed})')
             tx.insert("inlined_data_tables", table_id=t.id, table_name=table, schema_version=version)
         stats = tx.run("SELECT record_count, next_row_id, file_size_bytes FROM {table_stats} WHERE table_id = ?", t.id).fetchone() or (0, 0, 0)
         for i, r in enumerate(rows):

@@ -220,10 +220,10 @@ class History:
         """Delete files scheduled for deletion."""
         if older_than is None and not cleanup_all:
             raise ValueError("Must specify either older_than or cleanup_all")
-        due = [r for r in self.catalog.rows("SELECT rowid AS at, * FROM {files_scheduled_for_deletion}") if cleanup_all or instant(r["schedule_start"]) < instant(older_than)]
+        due = [r for r in self.catalog.rows("SELECT rowid AS row_at, * FROM {files_scheduled_for_deletion}") if cleanup_all or instant(r["schedule_start"]) < instant(older_than)]
         for r in [] if dry_run else due:
             self.remove(r["path"] if not r["path_is_relative"] else self.catalog.data_path + r["path"])
-            self.catalog.connection().execute(self.catalog.sql("DELETE FROM {files_scheduled_for_deletion} WHERE rowid = ?"), (r["at"],))
+            self.catalog.connection().execute(self.catalog.sql("DELETE FROM {files_scheduled_for_deletion} WHERE rowid = ?"), (r["row_at"],))
         return [r["path"] for r in due]
 
     def flush_inlined(self, name: str, schema: str = "main") -> int:
@@ -358,7 +358,7 @@ class History:
         return self._rows([(r["key"], r["value"], r["scope"], r["scope_id"]) for r in self.catalog.rows("SELECT * FROM {metadata} ORDER BY key")], "key string, value string, scope string, scope_id long")
 
     def settings(self) -> DataFrame:
-        return self._rows([("sqlite", self.catalog.data_path)], "catalog_type string, data_path string")
+        return self._rows([(self.catalog.backend.name, self.catalog.data_path)], "catalog_type string, data_path string")
 
     def catalog_info(self) -> dict:
         return {"version": self.catalog.version, "data_path": self.catalog.data_path, "snapshot": self.catalog.head(), "path": os.path.abspath(self.catalog.path)}

@@ -178,18 +178,24 @@ class Scanner:
         hidden = {}
         if partial or internal:
             hidden["_row_snapshot"] = F.col(quoted(snap)) if partial else F.lit(None).cast("long")
+        # file names alone tell these files apart, mostly; they cost nothing a row
+        names = [place(self.path(f)) for f in files]
+        short = [n.rsplit("/", 1)[-1] for n in names]
+        by_name = len(set(short)) == len(short) and all(re.fullmatch(r"[\w.=-]+", n, re.ASCII) for n in short)
         if has_deletes or internal:
-            hidden |= {"_name": place_of_row(), "_pos": F.col("_metadata.row_index")}
+            hidden |= {"_name": F.col("_metadata.file_name") if by_name else place_of_row(), "_pos": F.col("_metadata.row_index")}
         df = df.select(*[(value(c) if stored(c) == _without_ids(c.spark()) else value(c).cast(_without_ids(c.spark()))).alias(c.name) for c in self.t.columns], *[v.alias(k) for k, v in hidden.items()])
         if partial and any(f["partial_max"] > upto for f in files):
             df = df.filter(F.col("_row_snapshot") <= upto)
         if has_deletes:
             own = [deletes[f["data_file_id"]] for f in files]
             gone = self.positions(own)
+            if by_name:
+                gone = gone.withColumn("_gone_name", F.substring_index("_gone_name", "/", -1))
             gone = F.broadcast(gone) if sum(d["delete_count"] for d in own) <= BROADCAST_DELETES else gone
             df = df.join(gone, (F.col("_name") == F.col("_gone_name")) & (F.col("_pos") == F.col("_gone_pos")), "left_semi" if keep_deleted else "left_anti")
         if internal:
-            ids = self.spark.createDataFrame([(place(self.path(f)), f["data_file_id"], f["begin_snapshot"]) for f in files], "_file_name string, _fid long, _begin long")
+            ids = self.spark.createDataFrame([(n, f["data_file_id"], f["begin_snapshot"]) for n, f in zip(short if by_name else names, files, strict=True)], "_file_name string, _fid long, _begin long")
             df = df.join(few(ids, len(files)), F.col("_name") == F.col("_file_name")).withColumn("_row_snapshot", F.coalesce("_row_snapshot", "_begin"))  # a row a file
             return df.select(*[F.col(quoted(c.name)) for c in self.t.columns], "_fid", "_pos", "_row_snapshot")
         return df.select(*[F.col(quoted(c.name)) for c in self.t.columns])

@@ -18,6 +18,11 @@ def lake(spark, tmp_path):
     return Lake(spark, str(tmp_path / "c.db"))
 
 
+@pytest.fixture(params=["c.db", "c.duckdb"])
+def any_lake(spark, tmp_path, request):
+    return Lake(spark, str(tmp_path / request.param))
+
+
 def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
@@ -37,7 +42,8 @@ def test_type_aliases():
         parse("c", "nonsense")
 
 
-def test_write_modes_and_snapshots(spark, lake):
+def test_write_modes_and_snapshots(spark, any_lake):
+    lake = any_lake
     lake.write(kv(spark, (1, "a")), "t")
     assert lake.current_snapshot() == 2
     with pytest.raises(ValueError, match="already exists"):
@@ -140,7 +146,8 @@ def test_conflict_matrix_and_retry(spark, lake):
     assert not errors and len(rows(lake.table("t"))) == 4
 
 
-def test_inlined_rows_types(spark, lake):
+def test_inlined_rows_types(spark, any_lake):
+    lake = any_lake
     d = spark.sql("SELECT 1 AS i, true AS b, date'2024-01-02' AS d, cast(1.50 AS decimal(10,2)) AS m, timestamp_ntz'2024-01-02 03:04:05.5' AS ts, array(1, 2) AS a, struct('x' AS p) AS s, double('NaN') AS f")
     lake.create_table("t", d.schema)
     lake.insert(d, "t", inline_limit=5)
@@ -150,7 +157,8 @@ def test_inlined_rows_types(spark, lake):
     assert lake.changes("t").count() == 1
 
 
-def test_views_macros_tags_options(spark, lake):
+def test_views_macros_tags_options(spark, any_lake):
+    lake = any_lake
     lake.write(kv(spark, (1, "a")), "t")
     lake.create_view("w", "SELECT id + 1 AS x FROM t")
     assert lake.view("w").collect()[0][0] == 2 and lake.list_views() == ["w"]
@@ -184,7 +192,8 @@ def test_expiry_arguments_and_missing_files(spark, lake):
         lake.table("t").collect()
 
 
-def test_batch_sink_commits_once(spark, lake):
+def test_batch_sink_commits_once(spark, any_lake):
+    lake = any_lake
     commit = batch_sink(lake, "t", "q")
     commit(kv(spark, (1, "a")), 0)
     commit(kv(spark, (1, "a")), 0)
@@ -192,7 +201,8 @@ def test_batch_sink_commits_once(spark, lake):
     assert rows(lake.table("t")) == [(1, "a"), (2, "b")]
 
 
-def test_random_story_against_a_model(spark, lake):
+def test_random_story_against_a_model(spark, any_lake):
+    lake = any_lake
     """Every snapshot after every step reads as an in-memory model says; compaction changes none."""
     rng = random.Random(5)
     lake.create_table("t", {"id": "bigint", "v": "varchar"})
@@ -285,7 +295,8 @@ def test_compaction_keeps_what_was_inserted_meanwhile(spark, lake, monkeypatch):
     assert lake.catalog.rows("SELECT record_count FROM {table_stats}")[0]["record_count"] >= 5
 
 
-def test_vacuum_spares_writes_in_flight(spark, lake, monkeypatch, tmp_path):
+def test_vacuum_spares_writes_in_flight(spark, any_lake, monkeypatch, tmp_path):
+    lake = any_lake
     lake.write(kv(spark, (1, "a")), "t")
     seen = []
     interloper(lake, monkeypatch, lambda: seen.append(lake.vacuum()))
@@ -427,6 +438,19 @@ def test_migration_can_be_undone_and_repeated(spark, tmp_path):
     assert rows(old.table("t")) == [(1, "a")]
 
 
+def test_catalogs_by_prefix_and_content(spark, tmp_path):
+    lake = Lake(spark, f"duckdb:{tmp_path}/plain")
+    lake.write(kv(spark, (1, "a")), "t")
+    lake.merge("t", kv(spark, (1, "b"), (2, "c")), "id", when_matched_update=True)
+    again = Lake(spark, f"{tmp_path}/plain")  # by its first bytes
+    assert again.settings().first()["catalog_type"] == "duckdb" and rows(again.table("t")) == [(1, "b"), (2, "c")]
+    assert again.expire_snapshots(keep_last_n=1) > 0 and again.cleanup_old_files(cleanup_all=True) is not None
+    assert Lake(spark, f"sqlite:{tmp_path}/s").settings().first()["catalog_type"] == "sqlite"
+    for path in ("postgres://x/y", "host=a dbname=b"):
+        with pytest.raises(NotImplementedError):
+            Lake(spark, path)
+
+
 def test_stream_writer_computes_frames_once(spark, lake):
     calls = spark.sparkContext.accumulator(0)
 
