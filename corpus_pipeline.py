@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; every result is written as
 Parquet and read again. All but the last return the columns of ``documents``. Empty tables pass through; extra
-columns are dropped; null texts are rejected by the first stage, which finds no letters in them.
+columns, also of names that the stages use inside, are dropped. Null texts are rejected by the first stage, which finds no
+letters in them; the later stages, called alone, keep them: near_dedup and pii as they are, mixing drops them with all
+texts without a word, packing gives them their end mark. Rows that tie in every order are equal, so it does not
+matter which comes first.
 """
 
 from __future__ import annotations
@@ -18,12 +21,14 @@ from tarn.llm.pii import redact_pii
 from tarn.llm.storage import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A prediction below this score is no decision, and the document goes.
+#: Below this score a document goes: no language stands out, or the text costs over half a bit a byte more than twice what texts of its
+#: language do.
 LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach; texts without letters or without a clear language go. A missing label is filled in."""
+    """Documents in a language that the labelled ones teach; texts without letters, in other languages or scripts, and junk go.
+    A missing label is filled in; null ids and repeated rows are judged like others."""
     docs = docs.select(COLUMNS)
     judged = predict(docs, learn(docs)).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
     return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
@@ -43,12 +48,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind, lengths to match."""
+    """All documents, personal data replaced by its kind, lengths to match. Null and empty texts stay."""
     return redact_pii(docs.select(COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them (a part counts as a whole). Their training order is set by the packing stage, as no order of rows outlives a table."""
+    """Documents as often as the mixture takes them (a part counts as a whole; null and wordless texts are never taken). Null
+    sources are a source; documents without an id are told apart by their text. Their training order is set by the packing stage, as no order of rows outlives a table."""
     mixed = mix_sources(docs.select(COLUMNS), keep_text=True)
     return mixed.filter("taken > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")))).select(COLUMNS)
 
@@ -57,7 +63,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows of 2048 tokens along the mixture's curriculum: each source has its share of the mix,
     early or late as its schedule says, and takes its documents round by round in hash order.
 
-    Schedules go to sources in turn by name, as in the mix; a source of which the mix took nothing (a target under one word) has no turn here."""
+    Null texts are one end mark, null ids are packed row by row. Schedules go to sources in turn by name, as in the mix; a source of which the mix took nothing (a target under one word) has no turn here."""
     docs = docs.select(COLUMNS)
     return pack(docs, schedules=source_schedules(docs))
 
