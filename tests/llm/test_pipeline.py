@@ -84,3 +84,27 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in cp.STAGES:
         assert stage(spark, docs, "").count() == 0
+
+
+def test_language_stage_keeps_clean_documents_and_drops_others(spark):
+    """On the synthetic documents: the share kept of those in the four languages, and of planted texts in no language that they teach."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(cp.COLUMNS)
+    rng = random.Random(7)
+    letters = lambda n: " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(4, 9))) for _ in range(n))
+    foreign = ["これは日本語の文章です。" * 8, "Это обычный русский текст о погоде. " * 5, "这是一个中文句子。" * 9, "مرحبا بكم في هذا النص. " * 6, *(letters(40) for _ in range(16))]
+    planted = spark.createDataFrame([(10_000_000 + i, t, None, "src0", len(t)) for i, t in enumerate(foreign)], docs.schema)
+    kept = {r["doc_id"] for r in cp.language_id(spark, docs.unionByName(planted), "").select("doc_id").collect()}
+    clean = [r["doc_id"] for r in docs.filter("lang is not null and length(text) >= 20").select("doc_id").collect()]
+    assert sum(i in kept for i in clean) >= 0.995 * len(clean) and len(clean) > 900
+    assert not kept & {10_000_000 + i for i in range(len(foreign))}
+
+
+def test_stages_on_nulls_ties_and_clashing_columns(spark):
+    rows = [(1, "one two three four five six", "en", None, 5, "x", 1), (1, "one two three four five six", "en", None, 5, "x", 1), (None, "seven eight nine ten", None, "a", None, None, 2), (2, None, "en", "a", 0, "y", 3), (3, "", None, "", 0, "z", 4), (None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string, source string, n_chars long, taken string, position int")
+    seen = {name: stage(spark, docs, "").collect() for name, stage in cp.STAGES}
+    assert {r["doc_id"] for r in seen["language_id"]} <= {1, None} and all(r["text"] for r in seen["language_id"])
+    assert sorted(str(r["doc_id"]) for r in seen["near_dedup"]) == sorted(["1", "2", "3", *["None"] * 4])
+    assert len(seen["pii"]) == 12 and sum(r["text"] is None for r in seen["pii"]) == 4
+    assert all(r["text"] for r in seen["mixing"]) and all(list(r.asDict()) == cp.COLUMNS for r in seen["mixing"])
+    assert sum(r["offset"] == 0 for r in seen["packing"]) == 1 and sum(r["doc_tokens"] == 1 for r in seen["packing"]) == 6
