@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import threading
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,18 @@ class Lake(Dml, Ddl, History):
 
         return retrying(a if max_retries is None else max_retries, b if retry_wait_ms is None else retry_wait_ms, c if retry_backoff is None else retry_backoff, attempt)
 
+    def together(self, *runs) -> list:
+        """The results of independent jobs, run at the same time as parts of this attempt."""
+        folders = self._attempt.folders
+
+        def part(run):
+            self._attempt.folders = folders
+            return run()
+
+        with ThreadPoolExecutor(len(runs)) as pool:
+            done = [pool.submit(part, r) for r in runs]
+        return [d.result() for d in done]
+
     def new_folder(self, base: str, name: str) -> str:
         """A folder to write to; a vacuum spares it until it is committed, or its attempt has ended."""
         self.catalog.begin_write(name)

@@ -173,10 +173,15 @@ class Dml:
             t = self.at(name, schema)
             scanner = Scanner(self, t)
             hit = self._hits(scanner, where).select("_fid", "_pos")
+            if self._untouched(scanner):
+                deletes = FILES.write_deletes(self, scanner, hit, None)
+                if deletes:
+                    self._commit_change(t, deletes, [], [], "delete", author, message)
+                return sum(d["new"] for d in deletes.values())
             with self.staged(hit, t) as positions:
-                counts = FILES.touched(positions)
+                counts = {i: n for i, (n,) in FILES.touched(positions).items()}
                 if counts:
-                    self._commit_change(t, scanner, positions, counts, [], "delete", author, message)
+                    self._commit_change(t, FILES.write_deletes(self, scanner, positions, counts), self._inline_hits(positions, counts), [], "delete", author, message)
             return sum(counts.values())
 
         return self.retrying(run, **retry)
@@ -188,11 +193,13 @@ class Dml:
             t = self.at(name, schema)
             scanner = Scanner(self, t)
             with self.staged(self._hits(scanner, where), t) as rows:
-                counts = FILES.touched(rows)
-                if counts:
-                    new = FILES.write_files(self, t, self._assigned(rows, t, updates))
-                    self._commit_change(t, scanner, rows.select("_fid", "_pos"), counts, new, "update", author, message)
-            return sum(counts.values())
+                counts = None if self._untouched(scanner) else {i: n for i, (n,) in FILES.touched(rows).items()}
+                if counts == {}:
+                    return 0
+                new, deletes = self.together(lambda: FILES.write_files(self, t, self._assigned(rows, t, updates)), lambda: FILES.write_deletes(self, scanner, rows, counts))
+                if new:
+                    self._commit_change(t, deletes, self._inline_hits(rows, counts or {}), new, "update", author, message)
+            return sum(f["rows"] for f in new)
 
         return self.retrying(run, **retry)
 
@@ -222,10 +229,12 @@ class Dml:
                 match_acts = when_matched_update is not None and when_matched_update is not False or when_matched_delete
                 with self.staged(target.join(some, same(own, "t", "s")).select("t.*", "s._times"), t) as hit:
                     if match_acts:
-                        if when_matched_update is True and not hit.filter("_times > 1").isEmpty():
+                        found = FILES.touched(hit, F.max("_times"))
+                        if when_matched_update is True and any(times > 1 for _, times in found.values()):
                             raise ValueError("a row of the target matches several rows of the source")
-                        counts.update(FILES.touched(hit))
+                        counts.update({i: n for i, (n, _) in found.items()})
                         changed = sum(counts.values())
+                    counts_of_hits = changed
                     if changed:
                         gone.append(hit.select("_fid", "_pos"))
                         if when_matched_update is True:
@@ -235,12 +244,9 @@ class Dml:
                             fresh.append(self._assigned(hit, t, when_matched_update))
                     if when_not_matched_insert:
                         there = hit.select(*map(quoted, own)).distinct().alias("t")
-                        lone = s.alias("s").join(there, same(own, "s", "t"), "left_anti")
-                        inserted = lone.count()
-                        if inserted:
-                            fresh.append(FILES.fitted(lone, t))
+                        fresh.append(FILES.fitted(s.alias("s").join(there, same(own, "s", "t"), "left_anti"), t))
                     with self.staged(target.join(some, same(own, "t", "s"), "left_anti") if when_not_matched_by_source_delete or when_not_matched_by_source_update else scanner.empty(True), t) as left:
-                        by_file = FILES.touched(left) if when_not_matched_by_source_delete or when_not_matched_by_source_update else {}
+                        by_file = {i: n for i, (n,) in FILES.touched(left).items()} if when_not_matched_by_source_delete or when_not_matched_by_source_update else {}
                         if by_file:
                             counts.update(by_file)
                             changed += sum(by_file.values())
@@ -251,11 +257,14 @@ class Dml:
                             rows = fresh[0] if fresh else None
                             for f in fresh[1:]:
                                 rows = rows.unionByName(f)
-                            new = FILES.write_files(self, t, rows) if rows is not None else []
                             positions = gone[0] if gone else None
                             for g in gone[1:]:
                                 positions = positions.unionByName(g)
-                            self._commit_change(t, scanner, positions, counts, new, "update" if gone else "insert", author, message)
+                            new, deletes = self.together(lambda: FILES.write_files(self, t, rows) if rows is not None else [], lambda: FILES.write_deletes(self, scanner, positions, counts) if gone else {})
+                            # every other row written replaces one that goes
+                            inserted = sum(f["rows"] for f in new) - (counts_of_hits if when_matched_update else 0) - (sum(by_file.values()) if when_not_matched_by_source_update else 0)
+                            if new or gone:
+                                self._commit_change(t, deletes, self._inline_hits(positions, counts), new, "update" if gone else "insert", author, message)
             return changed, inserted
 
         return self.retrying(run, **retry)
@@ -271,10 +280,15 @@ class Dml:
             rows = rows.withColumn(c.name, value(v).cast(c.spark()))
         return rows.select(*[F.col(quoted(c.name)) for c in t.columns])
 
-    def _commit_change(self, t, scanner, positions, counts, new, kind, author, message) -> None:
-        deletes = FILES.write_deletes(self, scanner, positions, counts) if positions is not None else {}
-        # as many as inlined rows are allowed to be
-        inline = [(r["_fid"], r["_pos"]) for r in positions.filter("_fid < 0").collect()] if any(i < 0 for i in counts) else []
+    def _untouched(self, scanner: Scanner) -> bool:
+        """Whether all the table's rows are in files without deletes."""
+        return not scanner.delete_files() and not self._inlined_count(scanner.t)
+
+    def _inline_hits(self, positions: DataFrame, counts: dict[int, int]) -> list[tuple[int, int]]:
+        """Inlined rows among the positions: as many as inlined rows are allowed to be."""
+        return [(r["_fid"], r["_pos"]) for r in positions.filter("_fid < 0").collect()] if any(i < 0 for i in counts) else []
+
+    def _commit_change(self, t, deletes, inline, new, kind, author, message) -> None:
         with self.catalog.transaction(kind, t.id, t.snapshot, author, message) as tx:
             FILES.register_deletes(tx, t, deletes)
             tables = [r["table_name"] for r in self.catalog.rows("SELECT * FROM {inlined_data_tables} WHERE table_id = ? ORDER BY schema_version", t.id)]

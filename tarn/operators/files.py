@@ -9,13 +9,14 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import transforms
 from ..functions.types import Node, from_spark, from_text, to_text
-from ..plans.scan import Scanner, TableAt, few, place, place_of_row, quoted
+from ..plans.scan import Scanner, TableAt, few, listed, place, place_of_row, quoted
 
 #: Kinds whose least and greatest values are kept.
 RANGED = ("int", "uint", "float", "decimal", "varchar", "date", "timestamp")
@@ -237,24 +238,24 @@ def widen(tx, t: TableAt, files: list[dict]) -> None:
     tx.insert_many("table_column_stats", [{"table_id": t.id, "column_id": c, "contains_null": n, "min_value": a, "max_value": b, "contains_nan": x} for c, (n, a, b, x) in have.items()])
 
 
-def touched(positions: DataFrame) -> dict[int, int]:
-    """How many of ``positions`` (_fid, _pos) lie in each file. A row a touched file."""
-    return {r["_fid"]: r["n"] for r in positions.groupBy("_fid").agg(F.count("*").alias("n")).collect()}
+def touched(positions: DataFrame, *more) -> dict[int, tuple]:
+    """How many of ``positions`` (_fid, _pos) lie in each file, and other aggregates. A row a touched file."""
+    return {r[0]: tuple(r)[1:] for r in positions.groupBy("_fid").agg(F.count("*").alias("n"), *more).collect()}
 
 
-def write_deletes(lake, scanner: Scanner, positions: DataFrame, counts: dict[int, int]) -> dict[int, dict]:
+def write_deletes(lake, scanner: Scanner, positions: DataFrame, counts: dict[int, int] | None) -> dict[int, dict]:
     """Cumulative delete files for the data files of ``positions`` (_fid, _pos), no position twice: what is new joined to what was
-    deleted before, which one scan reads for all files."""
-    counts = {i: n for i, n in counts.items() if i >= 0}
-    if not counts:
+    deleted before, which one scan reads for all files. Without ``counts`` (new positions by file) no file has had deletes, and
+    the written files tell; one job evaluates and writes then."""
+    files = {f["data_file_id"]: f for f in scanner.data_files() if counts is None or f["data_file_id"] in counts}
+    if not files:
         return {}
-    files = {f["data_file_id"]: f for f in scanner.data_files() if f["data_file_id"] in counts}
-    old = scanner.delete_files()
-    named = lake.spark.createDataFrame([(i, scanner.path(f)) for i, f in files.items()], "_fid long, file_path string")
+    old = scanner.delete_files() if counts is not None else {}
+    named = listed(lake.spark, [(i, scanner.path(f)) for i, f in files.items()], ["_fid", "file_path"], [pa.int64(), pa.string()])
     rows = positions.filter("_fid >= 0").select("_fid", F.col("_pos").alias("pos"))
-    if before := [old[i] for i in counts if i in old]:
+    if before := [old[i] for i in files if i in old]:
         # each delete file belongs to one data file; paths in it do not tell which, as a file may have been added twice
-        owner = lake.spark.createDataFrame([(place(scanner.path(d)), d["data_file_id"]) for d in before], "_of string, _fid long")
+        owner = listed(lake.spark, [(place(scanner.path(d)), d["data_file_id"]) for d in before], ["_of", "_fid"], [pa.string(), pa.int64()])
         gone = scanner.delete_rows(before, place_of_row().alias("_of")).join(few(owner, len(before)), "_of")
         rows = rows.unionByName(gone.select("_fid", "pos"))
     rows = rows.repartition(F.col("_fid")).sortWithinPartitions("_fid", "pos").join(few(named, len(files)), "_fid").select("_fid", "file_path", "pos")
@@ -264,10 +265,26 @@ def write_deletes(lake, scanner: Scanner, positions: DataFrame, counts: dict[int
     for path, size in listing(lake, scanner.t.folder + sub):
         relative = path[path.index(sub) :]
         fid = int(relative.split("/")[1].partition("=")[2])
-        out[fid] = {"path": relative, "bytes": size, "count": counts[fid] + (old[fid]["delete_count"] if fid in old else 0)}
+        out[fid] = {"path": relative, "bytes": size, "full": path}
+    if counts is None:
+        sizes = row_counts(lake, [d["full"] for d in out.values()])
+    for fid, d in out.items():
+        d["new"] = sizes[place(d["full"])] if counts is None else counts[fid]
+        d["count"] = d["new"] + (old[fid]["delete_count"] if fid in old else 0)
     return out
 
 
+def row_counts(lake, paths: list[str]) -> dict[str, int]:
+    """Rows of each file, by place."""
+    import pyarrow.parquet as pq
+
+    if paths and lake.local_path(paths[0]) is None:
+        df = lake.spark.read.parquet(*paths)
+        return {r["f"]: r["count"] for r in df.groupBy(place_of_row().alias("f")).count().collect()}  # a row a file
+    with ThreadPoolExecutor(16) as pool:
+        return dict(pool.map(lambda p: (place(p), pq.read_metadata(lake.local_path(p)).num_rows), paths))
+
+
 def register_deletes(tx, t: TableAt, deletes: dict[int, dict]) -> None:
     tx.land({d["path"].split("/")[0] for d in deletes.values()})
     for fid, d in deletes.items():

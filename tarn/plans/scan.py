@@ -11,6 +11,7 @@ import re
 from collections import defaultdict
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,12 @@ BROADCAST_FILES = 500_000
 VISIBLE = "begin_snapshot <= ? AND (end_snapshot IS NULL OR end_snapshot > ?)"
 
 
+def listed(spark, rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> DataFrame:
+    """Rows of the catalog as a DataFrame that is part of the plan: no job makes it."""
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names))
+
+
 def few(df: DataFrame, n: int) -> DataFrame:
     """A table of ``n`` rows, broadcast if they are not many."""
     return F.broadcast(df) if n <= BROADCAST_FILES else df
@@ -195,7 +202,7 @@ class Scanner:
             gone = F.broadcast(gone) if sum(d["delete_count"] for d in own) <= BROADCAST_DELETES else gone
             df = df.join(gone, (F.col("_name") == F.col("_gone_name")) & (F.col("_pos") == F.col("_gone_pos")), "left_semi" if keep_deleted else "left_anti")
         if internal:
-            ids = self.spark.createDataFrame([(n, f["data_file_id"], f["begin_snapshot"]) for n, f in zip(short if by_name else names, files, strict=True)], "_file_name string, _fid long, _begin long")
+            ids = listed(self.spark, [(n, f["data_file_id"], f["begin_snapshot"]) for n, f in zip(short if by_name else names, files, strict=True)], ["_file_name", "_fid", "_begin"], [pa.string(), pa.int64(), pa.int64()])
             df = df.join(few(ids, len(files)), F.col("_name") == F.col("_file_name")).withColumn("_row_snapshot", F.coalesce("_row_snapshot", "_begin"))  # a row a file
             return df.select(*[F.col(quoted(c.name)) for c in self.t.columns], "_fid", "_pos", "_row_snapshot")
         return df.select(*[F.col(quoted(c.name)) for c in self.t.columns])
