@@ -1,4 +1,7 @@
-"""Insert, overwrite, delete, update, merge, add files. Every call is one snapshot; a call that changes nothing makes none."""
+"""Insert, overwrite, delete, update, merge, add files. Every call is one snapshot; a call that changes nothing makes none.
+
+Messages of argument errors are fixed values.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""The change feed, compaction, expiry, clean-up, and the catalog as tables."""
+"""The change feed, compaction, expiry, clean-up, and the catalog as tables.
+
+Messages of argument errors and the names of output columns are fixed values.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +9,11 @@ import datetime as dt
 import json
 import os
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scan import VISIBLE, Scanner, few, place, quoted
+from ..plans.scan import VISIBLE, Scanner, few, listed, place, place_of_row, quoted
 from ..sources.catalog import VERSION, instant
 from . import files as FILES
 
@@ -42,32 +46,25 @@ class History:
         sc, end = self._span(name, start, end, schema)
         skip = self._compactions(sc.t)
         every = {f["data_file_id"]: f for f in self.catalog.rows("SELECT * FROM {data_file} WHERE table_id = ?", sc.t.id)}
-        deletes = self.catalog.rows("SELECT * FROM {delete_file} WHERE table_id = ? ORDER BY begin_snapshot", sc.t.id)
+        deletes = [d for d in self.catalog.rows("SELECT * FROM {delete_file} WHERE table_id = ? AND begin_snapshot <= ?", sc.t.id, end) if d["data_file_id"] in every]
         frames = []
-        by_snapshot: dict[int, list[dict]] = {}
-        for d in deletes:
-            if start < d["begin_snapshot"] <= end and d["data_file_id"] in every:
-                by_snapshot.setdefault(d["begin_snapshot"], []).append(d)
-        for s, new in sorted(by_snapshot.items()):
-            before = {d["data_file_id"]: d for d in deletes if d["end_snapshot"] == s}
-            now = {d["data_file_id"]: d for d in new}
-            for part in sc.files_frame([every[i] for i in now], now, True, keep_deleted=True, upto=end):
-                old = [before[i] for i in now if i in before]
-                if old:
-                    names = self.spark.createDataFrame([(place(sc.path(every[i])), i) for i in now], "_n string, _f long")
-                    gone = sc.positions(old).join(few(names, len(now)), F.col("_gone_name") == F.col("_n"))
-                    part = part.join(gone, (F.col("_fid") == F.col("_f")) & (F.col("_pos") == F.col("_gone_pos")), "left_anti")
-                frames.append(part.withColumn("_row_snapshot", F.lit(s).cast("long")))
-        ended: dict[int, list[dict]] = {}
-        for f in every.values():
-            if f["end_snapshot"] is not None and start < f["end_snapshot"] <= end and f["end_snapshot"] not in skip:
-                ended.setdefault(f["end_snapshot"], []).append(f)
-        for s, gone_files in sorted(ended.items()):
-            frames += [p.withColumn("_row_snapshot", F.lit(s).cast("long")) for p in sc.files_frame(gone_files, sc.delete_files(s - 1), True, upto=end)]
-        for k in sorted({r["end_snapshot"] for it in self.catalog.rows("SELECT table_name FROM {inlined_data_tables} WHERE table_id = ?", sc.t.id) for r in self.catalog.rows(f"SELECT DISTINCT end_snapshot FROM \"{it['table_name']}\" WHERE end_snapshot > ? AND end_snapshot <= ?", start, end)}):
-            if k in skip:
-                continue
-            frames.append(sc.inlined("end_snapshot = ?", k, internal=True).withColumn("_row_snapshot", F.lit(k).cast("long")))
+        new = sorted({d["data_file_id"] for d in deletes if d["begin_snapshot"] > start})
+        if new:
+            # files are cumulative: a position went in the first one that has it
+            of = [d for d in deletes if d["data_file_id"] in set(new)]
+            owner = listed(self.spark, [(place(sc.path(d)), d["data_file_id"], d["begin_snapshot"]) for d in of], ["_of", "_f", "_s"], [pa.string(), pa.int64(), pa.int64()])
+            went = sc.delete_rows(of, place_of_row().alias("_of")).join(few(owner, len(of)), "_of").groupBy("_f", F.col("pos").alias("_p")).agg(F.min("_s").alias("_went")).filter(F.col("_went") > start)
+            for part in sc.files_frame([every[i] for i in new], {}, True, upto=end):
+                hit = part.join(went, (F.col("_fid") == F.col("_f")) & (F.col("_pos") == F.col("_p")))
+                frames.append(hit.withColumn("_row_snapshot", F.col("_went")).select(part.columns))
+        ended = [f for f in every.values() if f["end_snapshot"] is not None and start < f["end_snapshot"] <= end and f["end_snapshot"] not in skip]
+        if ended:
+            before = {d["data_file_id"]: d for d in self.catalog.rows("SELECT * FROM {delete_file} WHERE table_id = ?", sc.t.id) for f in [every.get(d["data_file_id"])] if f and f["end_snapshot"] and d["begin_snapshot"] < f["end_snapshot"] and (d["end_snapshot"] is None or d["end_snapshot"] >= f["end_snapshot"])}
+            ends = listed(self.spark, [(f["data_file_id"], f["end_snapshot"]) for f in ended], ["_f", "_went"], [pa.int64(), pa.int64()])
+            for part in sc.files_frame(ended, {f["data_file_id"]: before[f["data_file_id"]] for f in ended if f["data_file_id"] in before}, True, upto=end):
+                frames.append(part.join(few(ends, len(ended)), F.col("_fid") == F.col("_f")).withColumn("_row_snapshot", F.col("_went")).select(part.columns))
+        kept = f" AND end_snapshot NOT IN ({','.join(map(str, skip))})" if skip else ""
+        frames.append(sc.inlined(f"end_snapshot > ? AND end_snapshot <= ?{kept}", start, end, internal=True, stamp="end_snapshot"))
         return self._feed(sc.united(frames, True), sc)
 
     def changes(self, name: str, start: int = 0, end: int | None = None, schema: str = "main") -> DataFrame:

@@ -149,8 +149,8 @@ class Scanner:
         self.pruned = len(files) - len(out)
         return out
 
-    def files_frame(self, files: list[dict], deletes: dict[int, dict], internal: bool, keep_deleted: bool = False, upto: int | None = None) -> list[DataFrame]:
-        """One DataFrame for each kind of file; with ``keep_deleted``, only the deleted rows instead."""
+    def files_frame(self, files: list[dict], deletes: dict[int, dict], internal: bool, upto: int | None = None) -> list[DataFrame]:
+        """One DataFrame for each kind of file."""
         upto = self.t.snapshot if upto is None else upto
         groups = defaultdict(list)
         layers: dict[str, int] = defaultdict(int)
@@ -162,9 +162,9 @@ class Scanner:
             kinds = tuple(sorted((i, k) for i, k in known.items()))
             partial = f["partial_max"] is not None
             groups[(f["mapping_id"], kinds, partial, f["data_file_id"] in deletes, layer)].append(f)
-        return [self._group(k, g, deletes, internal, keep_deleted, upto) for k, g in groups.items() if k[3] or not keep_deleted]
+        return [self._group(k, g, deletes, internal, upto) for k, g in groups.items()]
 
-    def _group(self, key, files, deletes, internal, keep_deleted, upto) -> DataFrame:
+    def _group(self, key, files, deletes, internal, upto) -> DataFrame:
         mapping, kinds, partial, has_deletes, _ = key
         known = dict(kinds)
         snap = self.lake.snapshot_column
@@ -200,7 +200,7 @@ class Scanner:
             if by_name:
                 gone = gone.withColumn("_gone_name", F.substring_index("_gone_name", "/", -1))
             gone = F.broadcast(gone) if sum(d["delete_count"] for d in own) <= BROADCAST_DELETES else gone
-            df = df.join(gone, (F.col("_name") == F.col("_gone_name")) & (F.col("_pos") == F.col("_gone_pos")), "left_semi" if keep_deleted else "left_anti")
+            df = df.join(gone, (F.col("_name") == F.col("_gone_name")) & (F.col("_pos") == F.col("_gone_pos")), "left_anti")
         if internal:
             ids = listed(self.spark, [(n, f["data_file_id"], f["begin_snapshot"]) for n, f in zip(short if by_name else names, files, strict=True)], ["_file_name", "_fid", "_begin"], [pa.string(), pa.int64(), pa.int64()])
             df = df.join(few(ids, len(files)), F.col("_name") == F.col("_file_name")).withColumn("_row_snapshot", F.coalesce("_row_snapshot", "_begin"))  # a row a file
@@ -223,14 +223,14 @@ class Scanner:
         raw = self.delete_rows(deletes)
         return raw.select(F.regexp_replace("file_path", "^[a-z0-9]+:/+", "/").alias("_gone_name"), F.col("pos").alias("_gone_pos"))
 
-    def inlined(self, condition: str, *args, internal: bool = False) -> DataFrame | None:
-        """Inlined rows by a condition on begin_snapshot and end_snapshot; columns are matched by id."""
+    def inlined(self, condition: str, *args, internal: bool = False, stamp: str = "begin_snapshot") -> DataFrame | None:
+        """Inlined rows by a condition on begin_snapshot and end_snapshot; columns are matched by id. ``stamp`` is what ``_row_snapshot`` tells."""
         rows = []
         for k, it in enumerate(self.store.rows("SELECT * FROM {inlined_data_tables} WHERE table_id = ? ORDER BY schema_version", self.t.id)):
             names = {c["name"] for c in self.store.rows(f"PRAGMA table_info(\"{it['table_name']}\")")}
             for r in self.store.rows(f"SELECT * FROM \"{it['table_name']}\" WHERE {condition}", *args):
                 out = tuple(unpack_value(r[f"c{c.id}"], c.spark()) if f"c{c.id}" in names else None for c in self.t.columns)
-                rows.append(out + ((-1 - k, r["row_id"], r["begin_snapshot"]) if internal else ()))
+                rows.append(out + ((-1 - k, r["row_id"], r[stamp]) if internal else ()))
         if not rows:
             return None
         schema = T.StructType([T.StructField(f"c{i}", _without_ids(c.spark())) for i, c in enumerate(self.t.columns)] + ([T.StructField(x, T.LongType()) for x in ("_fid", "_pos", "_row_snapshot")] if internal else []))
