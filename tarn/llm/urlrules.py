@@ -133,7 +133,7 @@ def filter_urls(df: DataFrame, base: list[Rule] = BASE, method: list[Rule] = MET
 
     Of the base rules that fit, the longest wins and gives the verdict; else a URL is blocked if a method rule
     matches, and allowed if none does. A null URL or one without ``://`` has empty host and path. Rows are
-    judged by their URL, so repeated rows agree; columns of ``df`` by these names are replaced, others stay.
+    judged by their URL, so repeated rows agree; null URLs are spread over the tasks of the join; columns of ``df`` by these names are replaced, others stay.
     """
     rules = base + method
     df = df.drop("host", "path", "rule", "verdict")
@@ -146,5 +146,7 @@ def filter_urls(df: DataFrame, base: list[Rule] = BASE, method: list[Rule] = MET
     fits = F.when(F.col("rank") < len(base), F.struct(F.length("name").alias("long"), (-F.col("rank")).alias("first"), "name", "action"))
     found = hits.groupBy(F.col("url").alias("__url")).agg(F.max(fits).alias("__fit"), F.max(F.when(F.col("rank") >= len(base), F.col("action"))).alias("__method"))
     host, path = split_url(F.col(url_column).cast("string"))
-    out = df.join(found, F.col(url_column).cast("string") == F.col("__url"), "left")
+    rest = [f.name for f in df.schema.fields if "map" not in f.dataType.simpleString()]
+    out = df.withColumn("__key", F.coalesce(F.col(url_column).cast("string"), F.concat(F.lit("\0"), F.xxhash64(*rest).cast("string"))))
+    out = out.join(found, F.col("__key") == F.col("__url"), "left").drop("__key")
     return out.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit("")), "rule": F.col("__fit.name"), "verdict": F.coalesce("__fit.action", "__method", F.lit("allow"))}).drop("__url", "__fit", "__method")
