@@ -82,7 +82,7 @@ class Model:
 
 
 #: Grams looked up at once, times languages; and bytes of costs that a worker keeps.
-_AT_ONCE, _KEPT_BYTES = 1 << 20, 32_000_000
+_AT_ONCE, _KEPT_BYTES = 1 << 18, 16_000_000
 _KNOWN: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -217,7 +217,7 @@ def predict(df: DataFrame, model: Model, text_column: str = "text") -> DataFrame
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for batch in slices(batches, text_column, 2_000_000):
+        for batch in slices(batches, text_column, 1_000_000):
             texts = batch.column(at).to_pylist()
             lettered = np.array([bool(t and _LETTER.search(t)) for t in texts])
             pred, score = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))

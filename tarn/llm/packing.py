@@ -31,8 +31,8 @@ QUANTUM = 256
 EOS = 1
 #: With more sources than this, a distributed sort places the blocks (in the same order), so that what a task holds is bounded.
 MOST_QUEUES = 1024
-#: Units of words whose ids a worker keeps (some 70 MB), and the longest that is kept.
-CACHED_UNITS, LONGEST_UNIT = 400_000, 64
+#: Units of words whose ids a worker keeps (some 50 MB), and the longest that is kept.
+CACHED_UNITS, LONGEST_UNIT = 250_000, 64
 #: The tokenizer's own first step, which ``Encoder`` follows over bytes; another one is given whole texts. Fixed value.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _GAP, _LETTER, _DIGIT, _SIGN, _ODD, _WORD = range(6)

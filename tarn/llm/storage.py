@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_BYTES = 4_000_000
 _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 _MADE: list[tuple[SparkSession, str]] = []
+_LOCAL: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,9 +27,10 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="tarn-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="tarn-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return f"file://{_LOCAL[0]}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
