@@ -20,7 +20,7 @@ from .streaming.writer import StreamWriter
 class Lake(Dml, Ddl, History):
     """``path`` is the catalog file, made if absent; data lies under ``data_path`` (any store that Spark reads; by default ``data/`` beside it).
 
-    ``prefix`` names the catalog's tables. ``files_per_partition`` salts partitioned writes, for partitions too large for one task.
+    ``prefix`` names the catalog's tables. ``files_per_partition`` above 1 salts partitioned writes, where adaptive execution does not split large partitions.
     """
 
     def __init__(self, spark: SparkSession, path: str, data_path: str | None = None, prefix: str = "lake_", max_retries: int = 3, retry_wait_ms: float = 100, retry_backoff: float = 2.0, files_per_partition: int = 1, target_file_size: int = 512 << 20):

@@ -147,8 +147,10 @@ class Dml:
                 if want != have:
                     raise ValueError(f"Schema mismatch: {p} has {have}, the table {want}")
                 local = p.removeprefix("file://")
-                known = FILES.footers({local: on_disk}, t.columns, ours=False) if (on_disk := self.local_path(local)) is not None else FILES.aggregated(self, p, t.columns)
-                new.append({"path": local, "relative": False, "bytes": sizes[local.rsplit("/", 1)[0]].get(local, 0), "values": [], **known[place(local)]})
+                size = sizes[local.rsplit("/", 1)[0]].get(local, 0)
+                new.append({"path": local, "relative": False, "bytes": size, "values": []})
+            known = FILES.footers(self, {f["path"]: f["bytes"] for f in new}, t.columns, ours=False)
+            new = [f | known[place(f["path"])] for f in new]
             with self.catalog.transaction("insert", t.id, t.snapshot) as tx:
                 mapping = tx.catalog_id()
                 tx.insert("column_mapping", mapping_id=mapping, table_id=t.id, type="map_by_name")

@@ -56,7 +56,8 @@ def write_files(lake, t: TableAt, df: DataFrame, snapshot_rows: bool = False) ->
     for k, (c, how) in zip(keys, t.partition, strict=True):
         source = source.withColumn(k, transforms.encoded(transforms.apply(how, F.col(quoted(c.name)), c.kind)))
     if keys:
-        source = source.repartition(*keys, *([F.floor(F.rand(0) * lake.files_per_partition)] if lake.files_per_partition > 1 else []))
+        # adaptive execution splits large partition values and puts small ones together; without it, files_per_partition salts them
+        source = source.hint("rebalance", *keys) if lake.files_per_partition <= 1 else source.repartition(*keys, F.floor(F.rand(0) * lake.files_per_partition))
     order = sort_columns(t, set(df.columns)) if lake.option("sort_on_insert", t) != "false" else []
     out = source.select(*stamped, *keys) if not order else source.sortWithinPartitions(*keys, *order).select(*stamped, *keys)
     sub = uuid.uuid4().hex
@@ -104,7 +105,7 @@ def described(lake, t: TableAt, sub: str) -> list[dict]:
             coded = unquote(part.partition("=")[2])
             values.append(None if coded == "n" else coded[1:])
         files.append({"path": relative, "relative": True, "full": path, "bytes": size, "values": values})
-    stats = footers({f["full"]: lake.local_path(f["full"]) for f in files}, t.columns) if lake.local_path(base) is not None else aggregated(lake, base, t.columns)
+    stats = footers(lake, {f["full"]: f["bytes"] for f in files}, t.columns)
     for f in files:
         f |= stats[place(f["full"])]
     for f in files:
@@ -113,15 +114,13 @@ def described(lake, t: TableAt, sub: str) -> list[dict]:
     return [f for f in files if f["rows"]]
 
 
-def footers(paths: dict[str, str], columns: list[Node], names: dict[int, str] | None = None, ours: bool = True) -> dict[str, dict]:
-    """Statistics from Parquet footers, by place; ``paths`` gives each file's path on this machine. In files of
+def footers(lake, paths: dict[str, int], columns: list[Node], names: dict[int, str] | None = None, ours: bool = True) -> dict[str, dict]:
+    """Statistics from Parquet footers, by place; ``paths`` gives each file's size. In files of
     Spark's writer NaN is a chunk's greatest value or its range is left out; of files that are not ``ours``, NaN is unknown. What cannot be read is unknown."""
-    import pyarrow.parquet as pq
-
     wanted = {(names or {}).get(c.id, c.name): c for c in columns if c.kind.startswith(RANGED) and not c.kind.startswith("interval") or c.kind == "boolean"}
 
     def one(path: str) -> tuple[str, dict]:
-        m = pq.read_metadata(paths[path])
+        m = metadata(lake, path, paths[path])
         out: dict[int, dict] = {}
         for i in range(m.num_columns):
             if (c := wanted.get(m.schema.column(i).path)) is None:
@@ -177,26 +176,25 @@ def plain(v, kind: str):
     return v
 
 
-def aggregated(lake, base: str, columns: list[Node]) -> dict[str, dict]:
-    """The same for stores that only Spark reads: one aggregate by file."""
-    df = lake.spark.read.option("recursiveFileLookup", "true").parquet(base)
-    kept = [c for c in columns if c.kind.startswith(RANGED)]
-    aggs = [F.count("*").alias("rows")]
-    for c in kept:
-        v = F.col(quoted(c.name))
-        real = F.when(~F.isnan(v), v) if c.kind.startswith("float") else v
-        if c.kind == "timestamptz":  # as text in UTC, whatever the session's zone
-            real = F.timestamp_micros(F.unix_micros(v) + 0).cast("timestamp")
-            text = lambda x: F.date_format(F.to_utc_timestamp(x, F.current_timezone()), "yyyy-MM-dd HH:mm:ss.SSSSSS")
-        else:
-            text = lambda x: x.cast("string")
-        aggs += [text(F.min(real)).alias(f"l{c.id}"), text(F.max(real)).alias(f"h{c.id}"), F.count(F.when(v.isNull(), 1)).alias(f"n{c.id}")]
-        if c.kind.startswith("float"):
-            aggs.append(F.coalesce(F.max(F.isnan(v)), F.lit(False)).cast("int").alias(f"x{c.id}"))
-    out = {}
-    for r in df.groupBy(place_of_row().alias("f")).agg(*aggs).collect():  # a row a file
-        out[r["f"]] = {"rows": r["rows"], "footer": 0, "stats": {c.id: {"nulls": r[f"n{c.id}"], "min": r[f"l{c.id}"], "max": r[f"h{c.id}"], **({"nan": r[f"x{c.id}"]} if c.kind.startswith("float") else {})} for c in kept}}
-    return out
+def metadata(lake, path: str, size: int = 0):
+    """A Parquet file's footer; of a file in another store, only that part is fetched."""
+    import pyarrow.parquet as pq
+
+    if (local := lake.local_path(path)) is not None:
+        return pq.read_metadata(local)
+    fs, p = lake.file_system(path)
+    size = size or fs.getFileStatus(p).getLen()
+    read = lake.spark._jvm.org.apache.commons.io.IOUtils.toByteArray
+    stream = fs.open(p)
+    try:
+        stream.seek(size - 8)
+        tail = bytes(read(stream, 8))
+        length = int.from_bytes(tail[:4], "little")
+        stream.seek(size - 8 - length)
+        footer = bytes(read(stream, length))
+    finally:
+        stream.close()
+    return pq.read_metadata(pa.BufferReader(b"PAR1" + footer + tail))
 
 
 def register(tx, t: TableAt, files: list[dict], begin: int | None = None, partial_max: int | None = None, mapping: int | None = None, partition_id: int | None = -1) -> list[int]:
@@ -267,22 +265,17 @@ def write_deletes(lake, scanner: Scanner, positions: DataFrame, counts: dict[int
         fid = int(relative.split("/")[1].partition("=")[2])
         out[fid] = {"path": relative, "bytes": size, "full": path}
     if counts is None:
-        sizes = row_counts(lake, [d["full"] for d in out.values()])
+        sizes = row_counts(lake, {d["full"]: d["bytes"] for d in out.values()})
     for fid, d in out.items():
         d["new"] = sizes[place(d["full"])] if counts is None else counts[fid]
         d["count"] = d["new"] + (old[fid]["delete_count"] if fid in old else 0)
     return out
 
 
-def row_counts(lake, paths: list[str]) -> dict[str, int]:
+def row_counts(lake, sizes: dict[str, int]) -> dict[str, int]:
     """Rows of each file, by place."""
-    import pyarrow.parquet as pq
-
-    if paths and lake.local_path(paths[0]) is None:
-        df = lake.spark.read.parquet(*paths)
-        return {r["f"]: r["count"] for r in df.groupBy(place_of_row().alias("f")).count().collect()}  # a row a file
     with ThreadPoolExecutor(16) as pool:
-        return dict(pool.map(lambda p: (place(p), pq.read_metadata(lake.local_path(p)).num_rows), paths))
+        return dict(pool.map(lambda p: (place(p), metadata(lake, p, sizes[p]).num_rows), sizes))
 
 
 def register_deletes(tx, t: TableAt, deletes: dict[int, dict]) -> None:
