@@ -19,8 +19,12 @@ from pyspark.sql import types as T
 from ..functions.types import Node, from_text, unpack_value
 from .prune import Range, compile_predicate
 
-#: Delete positions up to this many (some 100 MB in memory) are broadcast.
+#: Delete positions up to this many (some 100 MB in memory) are broadcast as they are.
 BROADCAST_DELETES = 2_000_000
+#: More are broadcast as bitmaps, if the files that have them hold up to this many rows (a bit each: 100 MB); beyond it, both sides are shuffled.
+BROADCAST_BITS = 800_000_000
+#: Rows to a bitmap.
+BITMAP = 32_768
 #: Tables with a row a file are broadcast up to this many rows (some 100 MB in memory); more are joined by shuffling.
 BROADCAST_FILES = 500_000
 VISIBLE = "begin_snapshot <= ? AND (end_snapshot IS NULL OR end_snapshot > ?)"
@@ -199,8 +203,12 @@ class Scanner:
             gone = self.positions(own)
             if by_name:
                 gone = gone.withColumn("_gone_name", F.substring_index("_gone_name", "/", -1))
-            gone = F.broadcast(gone) if sum(d["delete_count"] for d in own) <= BROADCAST_DELETES else gone
-            df = df.join(gone, (F.col("_name") == F.col("_gone_name")) & (F.col("_pos") == F.col("_gone_pos")), "left_anti")
+            n = sum(d["delete_count"] for d in own)
+            if n > BROADCAST_DELETES and sum(f["record_count"] for f in files) <= BROADCAST_BITS:
+                df = _without_bits(df, gone)
+            else:
+                gone = F.broadcast(gone) if n <= BROADCAST_DELETES else gone
+                df = df.join(gone, (F.col("_name") == F.col("_gone_name")) & (F.col("_pos") == F.col("_gone_pos")), "left_anti")
         if internal:
             ids = listed(self.spark, [(n, f["data_file_id"], f["begin_snapshot"]) for n, f in zip(short if by_name else names, files, strict=True)], ["_file_name", "_fid", "_begin"], [pa.string(), pa.int64(), pa.int64()])
             df = df.join(few(ids, len(files)), F.col("_name") == F.col("_file_name")).withColumn("_row_snapshot", F.coalesce("_row_snapshot", "_begin"))  # a row a file
@@ -258,6 +266,17 @@ class Scanner:
         return df.filter(where) if where else df
 
 
+def _without_bits(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``df`` (_name, _pos, ...) that are not in ``gone`` (_gone_name, _gone_pos), by a bitmap for each stretch of a file."""
+    stretch = lambda pos: F.floor(pos / BITMAP)
+    maps = gone.groupBy("_gone_name", stretch(F.col("_gone_pos")).alias("_gone_part")).agg(F.bitmap_construct_agg(F.col("_gone_pos") % BITMAP).alias("_bits"))
+    joined = df.join(F.broadcast(maps), (F.col("_name") == F.col("_gone_name")) & (stretch(F.col("_pos")) == F.col("_gone_part")), "left")
+    bit = F.col("_pos") % BITMAP
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.call_function("getbit", byte, (bit % 8).cast("int")) == 1
+    return joined.filter(F.isnull("_bits") | ~held).select(df.columns)
+
+
 def _without_ids(t: T.DataType) -> T.DataType:
     if isinstance(t, T.StructType):
         return T.StructType([T.StructField(f.name, _without_ids(f.dataType)) for f in t.fields])

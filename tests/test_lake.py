@@ -451,6 +451,24 @@ def test_catalogs_by_prefix_and_content(spark, tmp_path):
             Lake(spark, path)
 
 
+@pytest.mark.parametrize("bits", [10**9, 0])
+def test_many_deletes_as_bitmaps_or_shuffled(spark, lake, monkeypatch, bits):
+    from tarn.plans import scan
+
+    d = spark.range(100_000).withColumn("v", F.col("id") % 97)
+    lake.write(d.coalesce(2), "t")
+    lake.delete("t", "id % 7 = 3 OR id BETWEEN 32760 AND 32780 OR id = 0")
+    lake.delete("t", "v = 5")
+    want = d.filter("NOT (id % 7 = 3 OR id BETWEEN 32760 AND 32780 OR id = 0) AND v <> 5")
+    assert lake.table("t").exceptAll(want).isEmpty() and lake.table("t").count() == want.count()
+    monkeypatch.setattr(scan, "BROADCAST_DELETES", 10)
+    monkeypatch.setattr(scan, "BROADCAST_BITS", bits)
+    plan = lake.table("t")._jdf.queryExecution().optimizedPlan().toString()
+    assert ("bitmap_construct_agg" in plan) == (bits > 0)
+    assert lake.table("t").exceptAll(want).isEmpty() and lake.table("t").count() == want.count()
+    assert lake.update("t", {"v": -1}, "id < 50000") == want.filter("id < 50000").count()
+
+
 def test_stream_writer_computes_frames_once(spark, lake):
     calls = spark.sparkContext.accumulator(0)
 
