@@ -184,7 +184,7 @@ def learn(df: DataFrame, language_column: str = "lang", text_column: str = "text
                 yield pa.RecordBatch.from_arrays([pa.array([number[lang]] * len(code), pa.int32()), pa.array([half] * len(code), pa.int32()), pa.array(code.astype(np.int64)), pa.array(counts.astype(np.int64))], ["lang", "half", "code", "n"])
 
     counted = materialize(map_batches(picked, grams, "lang int, half int, code long, n long").groupBy("lang", "half", "code").agg(F.sum("n").alias("n")), "grams")
-    got = counted.orderBy("lang", "half", "code").toArrow()  # at most ``all_chars`` characters' grams
+    got = counted.toArrow()  # at most ``all_chars`` characters' grams
     lang, half, code, count = (got.column(c).to_numpy() for c in ("lang", "half", "code", "n"))
     return Model(languages, Tree(lang, code, count), usual_bits(lang, half, code, count, len(languages)))
 

@@ -31,6 +31,8 @@ BINS = BANDS * ROWS
 #: Six standard errors: a pair of similarity 0.8 is dismissed with probability 1e-8, less than what banding loses.
 MARGIN = 6.0
 HUB_ROUNDS = 3
+#: Between hub rounds, labels spread so many steps: members that still have other labels than their hub are compared, perhaps in vain.
+HUB_STEPS = 2
 #: Rows to a side of a block that compares sketches (some 400 bytes a row), and of one that compares full sets.
 BRIEF_BLOCK, BLOCK = 512, 256
 #: Slim rows up to this many (some 40 MB in memory) are broadcast; more are joined by shuffling.
@@ -134,19 +136,22 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), rows, "a long, b long")
 
 
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, steps: int | None = None) -> DataFrame:
     """(node, component): the least node reachable. Least labels spread along links, then each label takes its own label, until
-    nothing changes."""
+    nothing changes, or for some ``steps`` where it is enough that nodes of one label are linked."""
     both = scratch.table(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
-    while True:
+    while steps is None or steps > 0:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("least"))
         spread = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("component").alias("old"), F.least("component", "least").alias("to"))
         up = labels.select(F.col("node").alias("to"), F.col("component").alias("further"))
         after = scratch.table(spread.join(up, "to", "left").select("node", "old", F.least("to", F.coalesce("further", "to")).alias("component")))
         labels = after.select("node", "component")
-        if after.filter("old <> component").isEmpty():
-            return labels
+        if steps is not None:
+            steps -= 1
+        elif after.filter("old <> component").isEmpty():
+            break
+    return labels
 
 
 def _ordered(x, y):
@@ -272,7 +277,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_column: str
             good = confirm(open_.filter("component <> of").select(*_ordered(F.col("node"), F.col("hub"))).distinct())
             if good.isEmpty():
                 continue
-            joined = components(reduce(DataFrame.unionByName, found), scratch).withColumnRenamed("component", "now")
+            joined = components(reduce(DataFrame.unionByName, found), scratch, HUB_STEPS).withColumnRenamed("component", "now")
             entries = scratch.table(open_.select("key", "band", "node").join(small(joined), "node", "left").select("key", "band", "node", F.coalesce("now", "node").alias("component")))
         found.append(block_links(entries, reps, sets, percent, scratch))
     # rows of one id with different texts are one document
