@@ -7,6 +7,8 @@ is rejected.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,19 +22,33 @@ BOILERPLATE = (
     "(?i)(all rights reserved|cookie (policy|settings)|use[s]? cookies|terms of (use|service)|privacy policy|enable javascript"
     "|subscribe to|sign (in|up)|log in|click here|read more|share (this|on)|lorem ipsum|powered by|copyright \\S* ?[0-9]{4})"
 )
+#: One of these is in every lower-cased text that matches BOILERPLATE, and one of those in every text that matches NAVIGATION: texts without are not searched line by line.
+BOILERPLATE_PARTS = (
+    "all rights reserved", "cookie policy", "cookie settings", "use cookies", "uses cookies", "terms of use", "terms of service", "privacy policy", "enable javascript",
+    "subscribe to", "sign in", "sign up", "log in", "click here", "read more", "share this", "share on", "lorem ipsum", "powered by", "copyright ",
+)
+BARS = ("|", "\u00bb", "\u203a", ">")
+WORD = "[^\\x20\\x09-\\x0D]+"
+#: Characters at a line's end that are looked at first.
+TAIL = 16
 #: A document stays if its remaining lines hold at least this share of its words.
 LEAST_PERCENT = 50
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, GAP), lambda w: w != "")
+    return F.array_remove(F.split(text, GAP), "")
+
+
+def has_any(text: Column, parts: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in parts])
 
 
-def line_passes(line: Column) -> Column:
-    """Lines without a word pass; they only part paragraphs."""
-    n = F.regexp_count(line, F.lit("[^\\x20\\x09-\\x0D]+"))
-    ends = line.rlike(TERMINAL) | (n >= SHORT_LINE)
-    return (n == 0) | (ends & ~line.rlike(NAVIGATION) & ~line.rlike(BOILERPLATE))
+def line_passes(line: Column, suspect: Column, barred: Column) -> Column:
+    """Lines without a word pass; they only part paragraphs. ``suspect`` and ``barred``: whether the text may have boilerplate, or bars."""
+    tail = F.substring(line, -TAIL, TAIL)
+    ends = F.when(tail.rlike(WORD), tail.rlike(TERMINAL)).otherwise(line.rlike(TERMINAL))
+    whole = ends | (F.regexp_count(line, F.lit(WORD)) >= SHORT_LINE)
+    return ~line.rlike(WORD) | (whole & ~(barred & line.rlike(NAVIGATION)) & ~(suspect & line.rlike(BOILERPLATE)))
 
 
 def _covered(starts: Column) -> Column:
@@ -50,21 +66,27 @@ def clean_lines(df: DataFrame, text_column: str = "text") -> DataFrame:
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     df = df.withColumn("__text", text)
-    df = df.withColumns({"__words": words(F.col("__text")), "__lines": F.split("__text", "\n")})
+    df = df.withColumn("__lower", F.lower("__text"))
+    # in one step with the words, which are used often: a projection of its own would be moved into the loop over the lines
+    df = df.withColumns({"__words": words(F.col("__text")), "__lines": F.split("__text", "\n"), "__suspect": has_any(F.col("__lower"), BOILERPLATE_PARTS), "__barred": has_any(F.col("__text"), BARS)})
     hashes = F.transform("__words", lambda w: F.xxhash64(w))
     df = df.withColumns(
         {
             "n_words": F.size("__words").cast("long"),
             "__hashes": hashes,
-            "__full": F.filter("__lines", lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
-            "__good": F.filter("__lines", line_passes),
+            "__full": F.filter("__lines", lambda x: x.rlike(WORD)),
+            "__good": F.filter("__lines", lambda x: line_passes(x, F.col("__suspect"), F.col("__barred"))),
         }
     )
     n = F.col("n_words").cast("int")
-    df = df.withColumn("__windows", F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("__hashes", i, F.lit(WINDOW))))))
-    df = df.withColumn("__sorted", F.sort_array("__windows"))
-    twice = F.exists(F.sequence(F.lit(1), F.size("__sorted") - 1), lambda i: F.get("__sorted", i) == F.get("__sorted", i - 1))
-    df = df.withColumn("__twice", F.when(F.size("__sorted") >= 2, twice).otherwise(F.lit(False)))
+    # a window's hash by doubling: of two words, of four, of eight
+    step, name = 1, "__hashes"
+    while step < WINDOW:
+        far = F.slice(name, F.lit(step + 1), F.greatest(n - 2 * step + 1, F.lit(0)))
+        df = df.withColumn(f"__over{2 * step}", F.when(n >= WINDOW, F.zip_with(F.slice(name, F.lit(1), F.size(far)), far, lambda a, b: F.xxhash64(a, b))))
+        step, name = 2 * step, f"__over{2 * step}"
+    df = df.withColumn("__windows", F.col(name))
+    df = df.withColumn("__twice", F.coalesce(F.size(F.array_distinct("__windows")) < F.size("__windows"), F.lit(False)))
     placed = F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     df = df.withColumn("__placed", F.when(F.col("__twice"), placed))
     same = lambda x, i: (F.get(F.col("__placed"), i - 1)["h"] == x["h"]) | (F.get(F.col("__placed"), i + 1)["h"] == x["h"])
@@ -73,7 +95,7 @@ def clean_lines(df: DataFrame, text_column: str = "text") -> DataFrame:
     df = df.withColumns(
         {
             "cleaned_text": F.array_join("__good", "\n"),
-            "word_chars": F.length(F.regexp_replace("__text", GAP, "")).cast("long"),
+            "word_chars": F.length(F.array_join("__words", "")).cast("long"),
             "n_symbols": (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long"),
             "n_dup_lines": (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long"),
             "n_repeat_words": F.when(F.col("__twice"), _covered(F.col("__starts"))).otherwise(F.lit(0).cast("long")),
@@ -82,8 +104,8 @@ def clean_lines(df: DataFrame, text_column: str = "text") -> DataFrame:
     df = df.withColumns(
         {
             "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
-            "__left": F.regexp_count("cleaned_text", F.lit("[^\\x20\\x09-\\x0D]+")),
+            "__left": F.when(F.size("__good") == F.size("__lines"), F.col("n_words")).otherwise(F.regexp_count("cleaned_text", F.lit(WORD)).cast("long")),
         }
     )
     df = df.withColumn("kept", ~F.col("base_failed") & (100 * F.col("__left") >= LEAST_PERCENT * F.col("n_words")))
-    return df.drop("__text", "__words", "__lines", "__hashes", "__full", "__good", "__windows", "__sorted", "__twice", "__placed", "__starts", "__left")
+    return df.drop(*[c for c in df.columns if c.startswith("__")])
