@@ -13,7 +13,7 @@ from .operators.ddl import Ddl
 from .operators.dml import Dml
 from .operators.history import History
 from .plans.scan import Scanner, quoted
-from .sources.catalog import Catalog, retrying
+from .sources.catalog import VERSION, Catalog, retrying
 from .streaming.writer import StreamWriter
 
 
@@ -21,14 +21,17 @@ class Lake(Dml, Ddl, History):
     """``path`` is the catalog file, made if absent; data lies under ``data_path`` (any store that Spark reads; by default ``data/`` beside it).
 
     ``prefix`` names the catalog's tables. ``files_per_partition`` above 1 salts partitioned writes, where adaptive execution does not split large partitions.
+    ``automatic_migration`` brings an older catalog to the current version.
     """
 
-    def __init__(self, spark: SparkSession, path: str, data_path: str | None = None, prefix: str = "lake_", max_retries: int = 3, retry_wait_ms: float = 100, retry_backoff: float = 2.0, files_per_partition: int = 1, target_file_size: int = 512 << 20):
+    def __init__(self, spark: SparkSession, path: str, data_path: str | None = None, prefix: str = "lake_", max_retries: int = 3, retry_wait_ms: float = 100, retry_backoff: float = 2.0, files_per_partition: int = 1, target_file_size: int = 512 << 20, automatic_migration: bool = False):
         self.spark, self.catalog = spark, Catalog(path, data_path, prefix)
         self.snapshot_column = f"_{prefix}internal_snapshot_id"
         self.retry = max_retries, retry_wait_ms, retry_backoff
         self._attempt = threading.local()
         self.files_per_partition, self.target_file_size = files_per_partition, target_file_size
+        if automatic_migration and self.catalog.version != VERSION:
+            self.migrate()
         spark.conf.set("spark.sql.parquet.fieldId.read.enabled", "true")
         spark.conf.set("spark.sql.parquet.fieldId.write.enabled", "true")
         spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")

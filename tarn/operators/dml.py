@@ -267,7 +267,7 @@ class Dml:
                                 positions = positions.unionByName(g)
                             new, deletes = self.together(lambda: FILES.write_files(self, t, rows) if rows is not None else [], lambda: FILES.write_deletes(self, scanner, positions, counts) if gone else {})
                             # every other row written replaces one that goes
-                            inserted = sum(f["rows"] for f in new) - (counts_of_hits if when_matched_update else 0) - (sum(by_file.values()) if when_not_matched_by_source_update else 0)
+                            inserted = sum(f["rows"] for f in new) - (counts_of_hits if match_acts and not when_matched_delete else 0) - (sum(by_file.values()) if when_not_matched_by_source_update else 0)
                             if new or gone:
                                 self._commit_change(t, deletes, self._inline_hits(positions, counts), new, "update" if gone else "insert", author, message)
             return changed, inserted

@@ -363,6 +363,9 @@ def test_merge_refuses_several_source_rows_for_one(spark, lake):
         lake.merge("t", kv(spark, (1, "x"), (1, "y")), "id", when_matched_update=True)
     assert lake.merge("t", kv(spark, (1, "x"), (1, "y"), (5, "p"), (5, "q")), "id", when_matched_delete=True) == (1, 2)
     assert rows(lake.table("t")) == [(2, "b"), (5, "p"), (5, "q")]
+    assert lake.merge("t", kv(spark, (2, "z"), (6, "r")), "id", when_matched_update={}) == (1, 1)
+    assert lake.merge("t", kv(spark, (2, "z"), (9, "s")), "id", when_matched_update={"v": "y"}, when_not_matched_by_source_update={"v": "w"}) == (4, 1)
+    assert rows(lake.table("t")) == [(2, "y"), (5, "w"), (5, "w"), (6, "w"), (9, "s")]
 
 
 def test_options_act(spark, lake, tmp_path):
@@ -436,6 +439,8 @@ def test_migration_can_be_undone_and_repeated(spark, tmp_path):
         old.merge_adjacent_files("t")
     assert old.migrate() == "0.3" and old.migrate() == "1.0"
     assert rows(old.table("t")) == [(1, "a")]
+    con.execute(lake.catalog.sql("UPDATE {metadata} SET value = '0.4' WHERE key = 'version'"))
+    assert Lake(spark, str(tmp_path / "m.db"), automatic_migration=True).catalog.version == "1.0"
 
 
 def test_catalogs_by_prefix_and_content(spark, tmp_path):
