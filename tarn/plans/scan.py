@@ -122,12 +122,15 @@ class Scanner:
             return files
         ids = {c.id: c for c in self.t.columns if c.name.lower() in used}
         stats = defaultdict(dict)
-        for r in self.store.rows(f"SELECT * FROM {{file_column_stats}} WHERE table_id = ? AND column_id IN ({','.join(map(str, ids))})", self.t.id):
+        s = self.t.snapshot
+        seen = f"data_file_id IN (SELECT data_file_id FROM {{data_file}} WHERE table_id = ? AND {VISIBLE})"
+        for r in self.store.rows(f"SELECT data_file_id, column_id, null_count, min_value, max_value FROM {{file_column_stats}} WHERE table_id = ? AND column_id IN ({','.join(map(str, ids))}) AND {seen}", self.t.id, self.t.id, s, s):
             stats[r["data_file_id"]][r["column_id"]] = r
         specs = {(r["partition_id"], r["partition_key_index"]): r for r in self.store.rows("SELECT * FROM {partition_column} WHERE table_id = ?", self.t.id)}
         values = defaultdict(dict)
-        for r in self.store.rows("SELECT * FROM {file_partition_value} WHERE table_id = ?", self.t.id):
-            values[r["data_file_id"]][r["partition_key_index"]] = r["partition_value"]
+        if any(x["column_id"] in ids and x["transform"] == "identity" for x in specs.values()):
+            for r in self.store.rows(f"SELECT * FROM {{file_partition_value}} WHERE table_id = ? AND {seen}", self.t.id, self.t.id, s, s):
+                values[r["data_file_id"]][r["partition_key_index"]] = r["partition_value"]
         out = []
         for f in files:
             of = {}
