@@ -34,7 +34,7 @@ HUB_ROUNDS = 3
 #: Between hub rounds, labels spread so many steps: members that still have other labels than their hub are compared, perhaps in vain.
 HUB_STEPS = 2
 #: Rows to a side of a block that compares sketches (some 400 bytes a row), and of one that compares full sets.
-BRIEF_BLOCK, BLOCK = 512, 256
+BRIEF_BLOCK, BLOCK = 256, 256
 #: Slim rows up to this many (some 40 MB in memory) are broadcast; more are joined by shuffling.
 BROADCAST_IDS = 400_000
 
