@@ -36,6 +36,13 @@ _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _ACCOUNT = re.compile(r"[0-9](?:[ -]?[0-9]){5,17}(?![0-9])")
 _SECRET = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
 
+#: Keys that tell by their beginning what they are. Fixed values.
+PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "AIza", "-----BEGIN ")
+_KEY = re.compile(
+    r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pos]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20}|xox[bp]-[A-Za-z0-9-]{10,}"
+    r"|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|-----BEGIN (?:[A-Z]{2,9} ){0,2}PRIVATE KEY-----"
+)
+_END_KEY, LONGEST_KEY = "PRIVATE KEY-----", 8192
 SCHEMES = ("http://", "https://", "ftp://")
 CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "account", "acct": "account", "passport": "account", "token": "secret", "secret": "secret", "password": "secret", "api_key": "secret", "api key": "secret"}
 
@@ -47,6 +54,8 @@ def automaton() -> ahocorasick.Automaton:
     for s in SCHEMES:
         for x in {s, s.upper()}:
             a.add_word(x, ("scheme", len(x)))
+    for x in PREFIXES:
+        a.add_word(x, ("key", len(x)))
     for cue, kind in CUES.items():
         for x in {cue, cue.upper(), cue.capitalize(), cue.title()}:
             a.add_word(x, (kind, len(x)))
@@ -98,6 +107,10 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[Span]:
                 add("url", at, last + 1 + len(body))
         elif at and text[at - 1].isalnum():
             continue
+        elif kind == "key":
+            if at >= done["secret"] and (m := _KEY.match(text, at)):
+                end = text.find(_END_KEY, m.end(), m.end() + LONGEST_KEY) if m[0].endswith(_END_KEY) else -1
+                add("secret", at, m.end() if end < 0 else end + len(_END_KEY))
         else:
             a = _AFTER_CUE.match(text, last + 1).end()
             to = "secret" if kind == "secret" else "account"
