@@ -178,8 +178,8 @@ class Dml:
             t = self.at(name, schema)
             scanner = Scanner(self, t)
             hit = self._hits(scanner, where).select("_fid", "_pos")
-            if self._untouched(scanner):
-                deletes = FILES.write_deletes(self, scanner, hit, None)
+            if (files := self._at_once(scanner, where)) is not None:
+                deletes = FILES.write_deletes(self, scanner, hit, None, files)
                 if deletes:
                     self._commit_change(t, deletes, [], [], "delete", author, message)
                 return sum(d["new"] for d in deletes.values())
@@ -198,10 +198,11 @@ class Dml:
             t = self.at(name, schema)
             scanner = Scanner(self, t)
             with self.staged(self._hits(scanner, where), t) as rows:
-                counts = None if self._untouched(scanner) else {i: n for i, (n,) in FILES.touched(rows).items()}
+                files = self._at_once(scanner, where)
+                counts = None if files is not None else {i: n for i, (n,) in FILES.touched(rows).items()}
                 if counts == {}:
                     return 0
-                new, deletes = self.together(lambda: FILES.write_files(self, t, self._assigned(rows, t, updates)), lambda: FILES.write_deletes(self, scanner, rows, counts))
+                new, deletes = self.together(lambda: FILES.write_files(self, t, self._assigned(rows, t, updates)), lambda: FILES.write_deletes(self, scanner, rows, counts, files))
                 if new:
                     self._commit_change(t, deletes, self._inline_hits(rows, counts or {}), new, "update", author, message)
             return sum(f["rows"] for f in new)
@@ -285,9 +286,14 @@ class Dml:
             rows = rows.withColumn(c.name, value(v).cast(c.spark()))
         return rows.select(*[F.col(quoted(c.name)) for c in t.columns])
 
-    def _untouched(self, scanner: Scanner) -> bool:
-        """Whether all the table's rows are in files without deletes."""
-        return not scanner.delete_files() and not self._inlined_count(scanner.t)
+    def _at_once(self, scanner: Scanner, where) -> list[dict] | None:
+        """The files that a change may touch, if its delete files can be written without counting first: no inlined rows, few old positions."""
+        if self._inlined_count(scanner.t):
+            return None
+        files = scanner.data_files()
+        files = scanner.prune(files, where) if isinstance(where, str) else files
+        old = scanner.delete_files()
+        return files if sum(old[f["data_file_id"]]["delete_count"] for f in files if f["data_file_id"] in old) <= FILES.FEW_POSITIONS else None
 
     def _inline_hits(self, positions: DataFrame, counts: dict[int, int]) -> list[tuple[int, int]]:
         """Inlined rows among the positions: as many as inlined rows are allowed to be."""

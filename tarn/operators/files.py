@@ -18,6 +18,8 @@ from ..functions import transforms
 from ..functions.types import Node, from_spark, from_text, to_text
 from ..plans.scan import Scanner, TableAt, few, listed, place, place_of_row, quoted
 
+#: With so many old positions in the files that a change may touch, they are written again rather than asked which files are touched.
+FEW_POSITIONS = 1_000_000
 #: Kinds whose least and greatest values are kept.
 RANGED = ("int", "uint", "float", "decimal", "varchar", "date", "timestamp")
 
@@ -241,14 +243,14 @@ def touched(positions: DataFrame, *more) -> dict[int, tuple]:
     return {r[0]: tuple(r)[1:] for r in positions.groupBy("_fid").agg(F.count("*").alias("n"), *more).collect()}
 
 
-def write_deletes(lake, scanner: Scanner, positions: DataFrame, counts: dict[int, int] | None) -> dict[int, dict]:
+def write_deletes(lake, scanner: Scanner, positions: DataFrame, counts: dict[int, int] | None, files: list[dict] | None = None) -> dict[int, dict]:
     """Cumulative delete files for the data files of ``positions`` (_fid, _pos), no position twice: what is new joined to what was
-    deleted before, which one scan reads for all files. Without ``counts`` (new positions by file) no file has had deletes, and
-    the written files tell; one job evaluates and writes then."""
-    files = {f["data_file_id"]: f for f in scanner.data_files() if counts is None or f["data_file_id"] in counts}
+    deleted before, which one scan reads for all files. Without ``counts`` (new positions by file) one job evaluates and writes:
+    the old positions of all ``files`` that may be touched go along, and those that turn out to have nothing new are thrown away."""
+    files = {f["data_file_id"]: f for f in (scanner.data_files() if files is None else files) if counts is None or f["data_file_id"] in counts}
     if not files:
         return {}
-    old = scanner.delete_files() if counts is not None else {}
+    old = scanner.delete_files()
     named = listed(lake.spark, [(i, scanner.path(f)) for i, f in files.items()], ["_fid", "file_path"], [pa.int64(), pa.string()])
     rows = positions.filter("_fid >= 0").select("_fid", F.col("_pos").alias("pos"))
     if before := [old[i] for i in files if i in old]:
@@ -267,9 +269,12 @@ def write_deletes(lake, scanner: Scanner, positions: DataFrame, counts: dict[int
     if counts is None:
         sizes = row_counts(lake, {d["full"]: d["bytes"] for d in out.values()})
     for fid, d in out.items():
-        d["new"] = sizes[place(d["full"])] if counts is None else counts[fid]
-        d["count"] = d["new"] + (old[fid]["delete_count"] if fid in old else 0)
-    return out
+        had = old[fid]["delete_count"] if fid in old else 0
+        d["new"] = sizes[place(d["full"])] - had if counts is None else counts[fid]
+        d["count"] = d["new"] + had
+        if not d["new"]:
+            lake.remove(d["full"])
+    return {fid: d for fid, d in out.items() if d["new"]}
 
 
 def row_counts(lake, sizes: dict[str, int]) -> dict[str, int]:

@@ -201,8 +201,10 @@ def test_batch_sink_commits_once(spark, any_lake):
     assert rows(lake.table("t")) == [(1, "a"), (2, "b")]
 
 
-def test_random_story_against_a_model(spark, any_lake):
+@pytest.mark.parametrize("few", [1000, -1])
+def test_random_story_against_a_model(spark, any_lake, monkeypatch, few):
     lake = any_lake
+    monkeypatch.setattr("tarn.operators.files.FEW_POSITIONS", few)
     """Every snapshot after every step reads as an in-memory model says; compaction changes none."""
     rng = random.Random(5)
     lake.create_table("t", {"id": "bigint", "v": "varchar"})
