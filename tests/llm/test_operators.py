@@ -225,11 +225,14 @@ def test_schedule_is_the_round_robin():
     assert abs(int(big[0]) - 11 * 10**12) < 10 and abs(int(big[1]) - 11 * 10**12) < 20
 
 
-def test_encoder_equals_the_tokenizer():
+def test_encoder_equals_the_tokenizer(monkeypatch):
     rng, e = random.Random(4), packing.Encoder(packing.default_tokenizer())
     texts = ["it's <|endoftext|> Ünï_code ½ ¿qué? a.b,c..! 12ab İ ŉ don't_x I'M", "ΑΣ ας", "日本 語", "a\x1cb c\x85d", ""] + ["".join(rng.choice("abÉß'’.,_<|>0 9ñ½\n İ") for _ in range(30)) for _ in range(500)]
     texts += ["é x \u0301y K ÅŐő ẞßſ×÷ ÀÞ \x00 \x7f < | <|endoftext|>x <|startoftext|>", "x" * 5000, "ǅ" * 300, *("".join(rng.choice("aZé×ŉŐ°'<|>7_ \t\x1f\u2003") for _ in range(20)) for _ in range(2000))]
     assert e.parted and e.encode(texts) == [e.whole(t) for t in texts] and e.encode([]) == [] and max(map(len, e.units)) <= packing.LONGEST_UNIT
+    monkeypatch.setattr(packing, "CACHED_UNITS", 40)
+    small = packing.Encoder(packing.default_tokenizer())
+    assert [small.encode([t])[0] for t in texts[:400]] == [e.whole(t) for t in texts[:400]]
     other = packing.Encoder(str(public_tokenizers.path("byte_bpe_50k.json")))
     assert not other.parted and other.encode(texts[:3]) == [other.whole(t) for t in texts[:3]]
 
