@@ -488,3 +488,17 @@ def test_stream_writer_computes_frames_once(spark, lake):
     with lake.stream_writer("t", flush_threshold=5) as w:
         w.append(df)
     assert calls.value == 20 and w.total_rows == 20 and w.flush_count == 1 and lake.table("t").count() == 20
+
+
+def test_reset_partitions_where_values_fill_several_files(spark, monkeypatch):
+    from tarn import queries
+
+    made, fresh = [], queries.fresh
+    monkeypatch.setattr(queries, "fresh", lambda s: made.append(fresh(s)) or setattr(made[-1], "files_per_partition", 8) or made[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = queries.ddl_reset_partitions(spark, "/root/testdata/sf0.01").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(map(tuple, got)) == [(False, 1), (True, 3)]
+    assert made[0].list_files("t").count() > 4
