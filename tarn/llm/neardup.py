@@ -8,8 +8,9 @@ with probability equal to the Jaccard similarity, with concentration as for inde
 Documents of equal shingle sets are one class before anything is compared. Class representatives that share a
 band are candidates. Each round compares a bucket's members with one hub, so its cost is linear; members already
 linked drop out. What then remains in buckets of several components is compared in blocks: first by sketches
-(pairs ``MARGIN`` standard errors below the threshold are dismissed), then on full sets. No pair inside one
-component is compared, only links leave a block, and no bucket is capped.
+(pairs ``MARGIN`` standard errors below the threshold are dismissed), then on full sets. Large buckets of the same
+documents, one a band, are compared once, as a group. No pair inside one component is compared, only links leave a
+block, and no bucket is capped.
 """
 
 from __future__ import annotations
@@ -33,8 +34,11 @@ MARGIN = 6.0
 HUB_ROUNDS = 3
 #: Between hub rounds, labels spread so many steps: members that still have other labels than their hub are compared, perhaps in vain.
 HUB_STEPS = 2
-#: Rows to a side of a block that compares sketches (some 400 bytes a row), and of one that compares full sets.
-BRIEF_BLOCK, BLOCK = 256, 256
+#: Rows to a side of a block; a bucket of more than ``SPLIT`` times as many has larger ones, until a side holds so many bytes of
+#: sketches (some ``BRIEF_BYTES`` a row) or sets. Up to there a bucket gives at most 2 * ``SPLIT`` rows a member.
+SIDE, SPLIT, SIDE_BYTES, BRIEF_BYTES = 256, 8, 4_000_000, 400
+#: Steps in which the members of large buckets agree on their group.
+GROUP_STEPS = 3
 #: Slim rows up to this many (some 40 MB in memory) are broadcast; more are joined by shuffling.
 BROADCAST_IDS = 400_000
 
@@ -158,18 +162,52 @@ def _ordered(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def in_blocks(entries: DataFrame, size: int, scratch: Scratch) -> DataFrame:
-    """(key, band, block, turn, node, component, asks, asker): members outside a bucket's largest component meet the whole bucket, ``size``
-    by ``size`` rows to a block."""
-    by_component = entries.groupBy("key", "component").agg(F.count("*").alias("n"))
-    per_key = by_component.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds")).filter("kinds > 1")
-    per_key = per_key.select("key", F.ceil(F.col("total") / size).cast("int").alias("blocks"), F.ceil((F.col("total") - F.col("top.n")) / size).cast("int").alias("turns"), F.col("top.component").alias("largest"))
-    sized = entries.join(small(scratch.table(per_key)), "key").withColumn("asks", F.col("component") != F.col("largest"))
+def gathered(entries: DataFrame, scratch: Scratch) -> DataFrame:
+    """The buckets (key, band, node, component) of several components as what has to be compared, with ``part``: rows of one key meet
+    unless their component or part is the same.
+
+    Near copies share large buckets in many bands. The members of such buckets agree on a group, as labels spread from bucket to
+    member and back; a group that is cheaper to compare than its shares of the buckets becomes a key of its own (band -1), and is one
+    part of each bucket. That choice bears on costs only: two members of a bucket meet there or in their group.
+    """
+    per_key = entries.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("o"), "node")).alias("hub"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most")
+    per_key = scratch.table(per_key.select("key", "n", F.col("hub.node").alias("label")))
+    large = scratch.table(per_key.filter(F.col("n") > SIDE))
+    columns = ["key", "band", "node", "component", "part"]
+    if large.isEmpty():
+        return scratch.table(entries.join(small(per_key), "key", "left_semi").withColumn("part", F.col("component")).select(columns))
+    rest = entries.join(small(per_key.filter(F.col("n") <= SIDE)), "key", "left_semi").withColumn("part", F.col("component"))
+    wide = scratch.table(entries.join(small(large.select("key", "n")), "key"))
+    labels = large.select("key", "label")
+    for step in range(GROUP_STEPS):
+        votes = wide.join(small(labels), "key").groupBy("node", "label").agg(F.sum("n").alias("w"))
+        owns = scratch.table(votes.groupBy("node").agg(F.max(F.struct("w", "label")).alias("m")).select(F.col("node").alias("of"), F.col("m.label").alias("label")))
+        shares = wide.join(small(owns), F.col("node") == F.col("of")).groupBy("key", "label").agg(F.count("*").alias("m"))
+        shares = scratch.table(shares)
+        labels = scratch.table(shares.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top")).select("key", "top.label"))
+    pairs = shares.groupBy("label").agg(F.sum(F.col("m") * F.col("m")).alias("apart"))
+    sizes = owns.groupBy("label").agg(F.count("*").alias("n"))
+    used = scratch.table(pairs.join(sizes, "label").filter(F.col("n") * F.col("n") < F.col("apart")).select("label"))
+    owns = scratch.table(owns.join(small(used), "label", "left_semi"))
+    wide = scratch.table(wide.drop("n").join(small(owns), F.col("node") == F.col("of"), "left").withColumn("part", F.coalesce("label", -1 - F.col("component"))))
+    groups = wide.filter("label is not null").select(F.xxhash64(F.lit("group"), "label").alias("key"), F.lit(-1).alias("band"), "node", "component", F.col("component").alias("part")).distinct()
+    return scratch.table(rest.select(columns).unionByName(wide.select(columns)).unionByName(groups))
+
+
+def in_blocks(entries: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, band, block, turn, node, component, part, asks, asker): members outside a key's largest part meet the whole key, in
+    blocks of so many rows and ``bytes`` to a side."""
+    by_part = entries.groupBy("key", "part").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"))
+    per_key = by_part.groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "part", "size")).alias("top"), F.count("*").alias("kinds")).filter("kinds > 1")
+    cuts = lambda n, size: F.greatest(F.least(F.ceil(n / SIDE), F.lit(SPLIT)), F.ceil(size / SIDE_BYTES)).cast("int")
+    blocks, turns = cuts(F.col("n"), F.col("size")), cuts(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size"))
+    per_key = per_key.select("key", blocks.alias("blocks"), turns.alias("turns"), F.col("top.part").alias("largest"))
+    sized = entries.join(small(scratch.table(per_key)), "key").withColumn("asks", F.col("part") != F.col("largest"))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     targets = sized.withColumn("block", own("blocks")).withColumn("turn", every("turns")).withColumn("asker", F.lit(False))
     askers = sized.filter("asks").withColumn("turn", own("turns")).withColumn("block", every("blocks")).withColumn("asker", F.lit(True))
-    columns = ["key", "band", "block", "turn", "node", "component", "asks", "asker"]
+    columns = ["key", "band", "block", "turn", "node", "component", "part", "asks", "asker"]
     return targets.select(columns).unionByName(askers.select(columns))
 
 
@@ -181,15 +219,16 @@ class Block:
         self.least = (p - MARGIN * np.sqrt(p * (1 - p) / BINS)) * BINS
         self.asker, self.asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("asker", "asks"))
         self.ids, self.of = table.column("node").to_numpy(), table.column("component").to_numpy().copy()
+        self.part = table.column("part").to_numpy()
         self.band = table.column("band")[0].as_py()
         self.brief = np.frombuffer(b"".join(table.column("brief").to_pylist()), np.uint8).reshape(-1, BINS)
         self.bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
 
     def hopeful(self, i: int) -> np.ndarray:
-        """Rows of other components whose sketches do not rule row ``i`` out, in the bucket of the first band that the two share."""
-        fit = np.flatnonzero(~self.asker & (self.of != self.of[i]) & (~self.asks | (self.ids > self.ids[i])))
+        """Rows of other components and parts whose sketches do not rule row ``i`` out, in a group or the bucket of the first band that the two share."""
+        fit = np.flatnonzero(~self.asker & (self.of != self.of[i]) & (self.part != self.part[i]) & (~self.asks | (self.ids > self.ids[i])))
         fit = fit[np.count_nonzero(self.brief[fit] == self.brief[i], axis=1) >= self.least]
-        return fit[(self.bands[fit] == self.bands[i]).argmax(axis=1) == self.band]
+        return fit if self.band < 0 else fit[(self.bands[fit] == self.bands[i]).argmax(axis=1) == self.band]
 
 
 def block_links(entries: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -206,7 +245,7 @@ def block_links(entries: DataFrame, reps: DataFrame, sets: DataFrame, percent: i
             fit = block.hopeful(i)
             some[fit] = True
             some[i] = len(fit) > 0
-        return table.select(["key", "node"]).filter(pa.array(some))
+        return table.select(["key", "node", "n_shingles"]).filter(pa.array(some))
 
     def compare(table: pa.Table) -> pa.Table:
         block = Block(table, percent)
@@ -220,13 +259,15 @@ def block_links(entries: DataFrame, reps: DataFrame, sets: DataFrame, percent: i
                     of[of == of[j]] = of[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    brief = reps.select("node", "bands", "brief")
-    left = in_blocks(entries, BRIEF_BLOCK, scratch).join(brief, "node").groupBy("key", "block", "turn").applyInArrow(survivors, "key long, node long")
+    brief = reps.select("node", "n_shingles", "bands", "brief")
+    entries = gathered(entries, scratch)
+    blocks = in_blocks(entries.withColumn("bytes", F.lit(BRIEF_BYTES)), scratch)
+    left = blocks.join(brief, "node").groupBy("key", "block", "turn").applyInArrow(survivors, "key long, node long, n_shingles long")
     left = scratch.table(left.distinct())
     if left.isEmpty():
         return scratch.table(df_of_links(entries.sparkSession))
-    entries = scratch.table(entries.join(small(left), ["key", "node"], "left_semi"))
-    return scratch.table(in_blocks(entries, BLOCK, scratch).join(brief.join(sets, "node"), "node").groupBy("key", "block", "turn").applyInArrow(compare, "a long, b long").distinct())
+    entries = scratch.table(entries.join(small(left), ["key", "node"]).withColumn("bytes", 8 * F.col("n_shingles") + BRIEF_BYTES).drop("n_shingles"))
+    return scratch.table(in_blocks(entries, scratch).join(brief.join(sets, "node"), "node").groupBy("key", "block", "turn").applyInArrow(compare, "a long, b long").distinct())
 
 
 def df_of_links(spark) -> DataFrame:
@@ -246,9 +287,9 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_column: str
     scratch = Scratch(spark, "near")
     rows = materialize(sketch_rows(df, k, id_column, text_column), "sketches")
     known = rows.filter("doc_id is not null")
-    classes = known.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "bands", "brief")).alias("m"))
+    classes = known.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "brief")).alias("m"))
     # one number to a class of equal sets; fixed once written
-    reps = scratch.table(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "m.doc_id", "m.bands", "m.brief"))
+    reps = scratch.table(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "m.doc_id", "m.n_shingles", "m.bands", "m.brief"))
 
     entries = reps.select("node", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("key"), "band", "node")
     sums = [F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(20,0)")).alias(f"sum{i}") for i in range(2)]
