@@ -82,6 +82,14 @@ def test_near_duplicates(spark, docs, empty, k):
     assert neardup.near_duplicates(empty, k).count() == 0
 
 
+def test_rows_in_blocks_grow_with_the_bucket(spark):
+    scratch = neardup.Scratch(spark, "test")
+    for n in (3000, 12000):
+        entries = spark.range(n).selectExpr("1L AS key", "0 AS band", "id AS node", "id AS component", "id AS part", "400 AS bytes")
+        assert neardup.in_blocks(entries, scratch).count() <= 2 * neardup.SPLIT * n
+    scratch.drop()
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 62, 900).astype(np.uint64))
